@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceloom.llm import minhash, mixing, secrets, sharding, warc
+from sliceloom.llm import fingerprints, minhash, mixing, repeats, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op3_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -39,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_secret_links": op2_secret_links,
     "op3_min_max_hash": op3_min_max_hash,
+    "op4_scaled_sketch": op4_scaled_sketch,
+    "op5_block_anchors": op5_block_anchors,
     "op8_warc_revisits": op8_warc_revisits,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
