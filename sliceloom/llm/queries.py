@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceloom.llm import fingerprints, minhash, mixing, repeats, secrets, sharding, warc
+from sliceloom.llm import embeddings, fingerprints, minhash, mixing, packing, repeats, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,20 @@ def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op6_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_min_max_hash": op3_min_max_hash,
     "op4_scaled_sketch": op4_scaled_sketch,
     "op5_block_anchors": op5_block_anchors,
+    "op6_metric_range_join": op6_metric_range_join,
+    "op7_certified_packing": op7_certified_packing,
     "op8_warc_revisits": op8_warc_revisits,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
