@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceloom.llm import embeddings, fingerprints, minhash, mixing, packing, repeats, secrets, sharding, warc
+from sliceloom.llm import embeddings, fingerprints, minhash, mixing, packing, quality, repeats, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, table(spark, sf_dir, "labels")).select(F.col("_0").alias("doc_id"), "kept", "bad", "toxic", "weak_bad", "weak_toxic")
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "copies", "position")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_metric_range_join": op6_metric_range_join,
     "op7_certified_packing": op7_certified_packing,
     "op8_warc_revisits": op8_warc_revisits,
+    "op9_weak_quality": op9_weak_quality,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
 
