@@ -7,6 +7,7 @@ the next stage's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sliceloom.llm import minhash, mixing, packing, quality, secrets
 from sliceloom.llm.queries import table, tokenizer_path
@@ -16,6 +17,11 @@ from sliceloom.llm.store import save
 ORACLE_SQL = None
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
@@ -28,12 +34,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret, and every weak part linked to one, is cut from its text; documents stay."""
-    return secrets.redact(docs)
+    return _counted(secrets.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
-    return mixing.training_order(docs)
+    return _counted(mixing.training_order(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
