@@ -2,8 +2,7 @@
 
 Base kinds are reported wherever they stand. The method adds weak candidates - identifiers, lone secrets and
 endpoints that alone say nothing - where complementary parts stand within one scope: the interval of `reach` code
-points around a part. Parts are joined to intervals by a sort-merge over starts in each text (the nearest part of
-every kind before and after), so no pair of parts is ever made and a text with many parts stays linear.
+points around a part. Parts meet intervals by a semi-join on cells of that length, so no pair of parts is put out.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sliceloom.llm.store import save
+
 #: Base patterns and the least length of the part that counts.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -30,66 +31,72 @@ KINDS = {
     "endpoint": (ENDPOINT, 0, 1, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
-PARTS = ("id", "secret", "endpoint")
+#: What a weak part needs beside it: an identifier a secret, a lone secret an identifier or endpoint, an endpoint a secret.
+NEEDS = {"identifier": ("secret",), "lone": ("id", "endpoint"), "endpoint": ("secret",)}
 #: Code points between two parts that may still belong together.
 REACH = 200
 
 
 def _found(text: Column, kind: str) -> Column:
-    """[(kind, code points before this match since the last, of the match, whether it counts)] of one kind, in order.
+    """[(kind, code points since the last match, of this match, whether it counts)] of one kind, in order.
 
-    Each element of the extraction is a gap and the match after it; the alternative end of text takes the rest, so
-    the search is linear where nothing matches.
+    What stands between matches comes from splitting at them; texts without a match are only searched once.
     """
     pattern, group, least, _ = KINDS[kind]
-    whole = rf"(?s)(.*?)(?:({pattern})|\z)"
-    gaps, matches = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    counted = F.regexp_extract_all(text, F.lit(whole), F.lit(2 + group)) if group else matches
-    rows = F.transform(F.arrays_zip(gaps.alias("g"), matches.alias("m"), counted.alias("c")), lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"), (F.length(x["c"]) >= least).alias("counts")))
-    return F.filter(rows, lambda x: x["n"] > 0)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    rows = F.transform(
+        F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("g"), matches.alias("m"), counted.alias("c")),
+        lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"), (F.length(x["c"]) >= least).alias("counts")),
+    )
+    return F.when(F.rlike(text, F.lit(pattern)), rows).otherwise(F.array().cast("array<struct<kind:string,gap:int,n:int,counts:boolean>>"))
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, _text, kind, start, end) of every part that counts; a row without any has one with a null kind.
+
+    Texts are read once and never shuffled; only the parts are, by row, and the table is written: the linking reads it
+    several times.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64(text).alias("_text"), F.concat(*[_found(text, k) for k in KINDS]).alias("_found"))
+    parts = found.select("_row", "doc_id", "_text", F.posexplode_outer("_found").alias("_no", "_part")).select("_row", "doc_id", "_text", "_no", "_part.*")
+    placed = parts.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("_row", "kind").orderBy("_no")))
+    counts = F.coalesce("counts", F.lit(False))
+    return save(placed.select("_row", "doc_id", "_text", F.when(counts, F.col("kind")).alias("kind"), (F.col("end") - F.col("n")).alias("start"), "end"), "parts")
 
 
-def _hint(text: Column, kind: str) -> Column:
-    """A cheap test that no match of the kind can fail, before the full search."""
-    if kind == "access":
-        return F.contains(text, F.lit("AKIA"))
-    if kind == "endpoint":
-        return F.contains(text, F.lit("://"))
-    if kind in ("assign", "identifier"):
-        return F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))
-    return F.lit(True)
+def _case(value) -> Column:
+    return F.expr("case kind " + " ".join(f"when '{k}' then {value(k)}" for k in KINDS) + " end")
+
+
+def linked(placed: DataFrame, reach: int = REACH) -> DataFrame:
+    """The weak parts of places() whose complement lies within `reach` code points in the same row.
+
+    An interval join: a weak part takes the cells of its surroundings, every part the cells it covers, and a semi-join on
+    row and cell keeps the weak part at the first complement found; no pair is put out.
+    """
+    parts = placed.where("kind is not null").withColumn("part", _case(lambda k: f"'{KINDS[k][3]}'"))
+    cell = lambda c: F.floor(c / F.lit(reach)).cast("long")
+    weak = parts.where(~F.col("kind").isin(*BASE)).withColumn("cell", F.explode(F.sequence(cell(F.col("start") - reach), cell(F.col("end") + reach))))
+    near = parts.select(F.col("_row").alias("_r"), F.col("part").alias("_part"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("_cell"))
+    complements = F.array_contains(F.expr("case kind " + " ".join(f"when '{k}' then array({', '.join(map(repr, v))})" for k, v in NEEDS.items()) + " end"), F.col("_part"))
+    within = (F.col("_start") <= F.col("end") + reach) & (F.col("_end") >= F.col("start") - reach)
+    return weak.join(near, (F.col("_row") == F.col("_r")) & (F.col("cell") == F.col("_cell")) & complements & within, "left_semi").drop("part", "cell").distinct()
 
 
 def spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Every row's doc_id and `found`: its spans, array of (start, rank, kind, end), by start and then kind as listed in KINDS; with `_text`, a hash of the text.
+    """Every row's doc_id, `_text` (a hash of the text) and `found`: its spans, array of (start, rank, kind, end), by start and then kind as listed in KINDS.
 
     Places are code points, ends exclusive. A null or empty text has none; equal rows have equal spans and stay
-    apart; other columns play no part. Texts are read once and never shuffled: only the parts found are, by row.
+    apart; other columns play no part; an empty table gives an empty table.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    searched = [F.when(_hint(text, k), _found(text, k)).otherwise(F.array().cast("array<struct<kind:string,gap:int,n:int,counts:boolean>>")) for k in KINDS]
-    found = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64(text).alias("_text"), F.concat(*searched).alias("_found"))
-    parts = found.select("_row", "doc_id", "_text", F.posexplode_outer("_found").alias("_no", "_part")).select("_row", "doc_id", "_text", "_no", "_part.*").repartition("_row")
-    by_kind = Window.partitionBy("_row", "kind").orderBy("_no")
-    placed = parts.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(by_kind)).withColumn("start", F.col("end") - F.col("n"))
-    placed = placed.withColumn("kind", F.when(F.col("counts"), F.col("kind")))
-    rank = F.expr("case kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end")
-    part = F.expr("case kind " + " ".join(f"when '{k}' then '{KINDS[k][3]}'" for k in KINDS) + " end")
-    placed = placed.withColumn("rank", rank).withColumn("part", part)
-    before = Window.partitionBy("_row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("_row").orderBy("start", "rank").rowsBetween(1, Window.unboundedFollowing)
-    near = {}
-    for p in PARTS:
-        ends, starts = F.max(F.when(F.col("part") == p, F.col("end"))).over(before), F.min(F.when(F.col("part") == p, F.col("start"))).over(after)
-        placed = placed.withColumn(f"_b_{p}", ends).withColumn(f"_a_{p}", starts)
-        near[p] = F.coalesce(F.col("start") - F.col(f"_b_{p}") <= reach, F.lit(False)) | F.coalesce(F.col(f"_a_{p}") - F.col("end") <= reach, F.lit(False))
-    # an identifier needs a secret; a lone secret an identifier; an endpoint both or a secret beside it
-    linked = F.expr("false")
-    for kind, needs in {"identifier": near["secret"], "lone": near["id"] | near["endpoint"], "endpoint": near["secret"]}.items():
-        linked = linked | ((F.col("kind") == kind) & needs)
-    # a text whose parts all fall away still has its row
-    kept = placed.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("_text").alias("_text"), F.sort_array(F.collect_list(F.when(F.col("kind").isin(*BASE) | linked, F.struct(F.col("start"), F.col("rank"), F.col("kind"), F.col("end"))))).alias("found"))
-    return kept.drop("_row")
+    placed = places(docs)
+    base = placed.where(F.col("kind").isNull() | F.col("kind").isin(*BASE))
+    rest = placed.select("_row", "doc_id", "_text").withColumns({"kind": F.lit(None).cast("string"), "start": F.lit(None).cast("long"), "end": F.lit(None).cast("long")})
+    every = base.unionByName(linked(placed, reach)).unionByName(rest)
+    span = F.when(F.col("kind").isNotNull(), F.struct("start", _case(lambda k: list(KINDS).index(k)).alias("rank"), "kind", "end"))
+    return every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("_text").alias("_text"), F.sort_array(F.collect_list(span)).alias("found")).drop("_row")
 
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
