@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 
 
 def hashed_order(*columns: Column) -> Column:
