@@ -8,16 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceloom.llm import kernels as K
-from sliceloom.llm.store import save
+from sliceloom.llm.store import total_bytes
 
 U = np.uint64
 #: The fraction 1 / SCALE of the hash range is kept, and at least the FLOOR smallest hashes.
 SCALE, FLOOR = 8, 32
 WIDTH = 5
+#: UTF-8 bytes of a range of ids, and most ranges.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
 TOP = 2**64 - 1
 
 
@@ -81,22 +83,13 @@ def fingerprint(docs: DataFrame, scale: int = SCALE, floor: int = FLOOR) -> Data
     return docs.mapInArrow(run, schema)
 
 
-def successors(docs: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, next_id) over the distinct ids in ascending order, the last followed by the first; rows without id have none.
-
-    Ids are range-partitioned; inside a range a window finds the next, and between ranges the least id of the next
-    range, of which there is one a range.
-    """
-    spread = docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange(shards, "doc_id").withColumn("range", F.spark_partition_id())
-    ids = save(spread, "ids")
-    least = ids.groupBy("range").agg(F.min("doc_id").alias("least"))
-    order = Window.orderBy("range")  # one row a range
-    ahead = least.select("range", F.coalesce(F.lead("least").over(order), F.min("least").over(order)).alias("ahead"))
-    inside = F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id"))
-    return ids.withColumn("inside", inside).join(F.broadcast(ahead), "range").select("doc_id", F.coalesce("inside", "ahead").alias("next_id"))
+def range_bounds(docs: DataFrame, ranges: int) -> np.ndarray:
+    """The least ids of at most `ranges` ranges of near equal counts of distinct ids, ascending. One id a range reaches the driver."""
+    spread = docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange(ranges, "doc_id")
+    least = spread.groupBy(F.spark_partition_id().alias("range")).agg(F.min("doc_id").alias("least")).collect()
+    return np.array(sorted(r["least"] for r in least), np.int64)
 
 
-_NEXT = "requester long, prefix string, sketch binary"
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
 
 
@@ -106,47 +99,65 @@ def edited_likeness(docs: DataFrame, scale: int = SCALE, floor: int = FLOOR) ->
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document's: the one of the next distinct doc_id (its smallest text if rows repeat the id), after the last the
     first. A null text counts as empty; a row without doc_id has no next document: nothing replaces its tail and
-    near_next is 0, as against an empty sketch. contained_* is the part of the row's sketch in the other's.
-    Texts are shuffled once, by id; the exchange serves both sides.
+    near_next is 0. contained_* is the part of the row's sketch in the other's. Other columns play no part; an empty
+    table gives an empty table.
+    Texts are shuffled once, into ranges of ids; the first document of a range also goes to the end of the range
+    before, so every row meets its successor in its own task, which reads its rows in order and holds one batch.
     """
-    spark = docs.sparkSession
+    ranges = min(MOST_RANGES, max(16, -(-total_bytes(docs, "text") // RANGE_BYTES)))
+    bounds = range_bounds(docs, ranges)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    following = save(successors(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))), "successors")
-    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text") / 4).cast("int").alias("need"))
-    asked = following.join(sizes, "doc_id").select(F.col("doc_id").alias("requester"), "next_id", "need")
-    given = texts.join(asked, texts["doc_id"] == asked["next_id"]).select("requester", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"), "text")
 
-    def next_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = pa.array([s.tobytes() for s in sketches(batch.column("text"), scale, floor)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("requester"), batch.column("prefix"), marks], names=["requester", "prefix", "sketch"])
-
-    heads = given.mapInArrow(next_sketches, _NEXT).groupBy("requester").agg(F.min(F.struct("prefix", "sketch")).alias("head"))
-    both = texts.join(heads, texts["doc_id"] == heads["requester"], "left").select("doc_id", "text", "head.prefix", "head.sketch")
+            there = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            part = np.where(there, np.searchsorted(bounds, ids, "right") - 1, np.arange(len(ids)) % max(1, len(bounds)))
+            first = np.flatnonzero(there & (bounds[np.maximum(part, 0)] == ids)) if len(bounds) else np.zeros(0, np.int64)
+            rows = np.concatenate((np.arange(len(ids)), first))
+            turn = np.concatenate((np.where(there, 0, 2), np.where(part[first] == 0, 1, 0)))
+            part = np.concatenate((part, np.where(part[first] == 0, len(bounds), part[first]) - 1))
+            guard = np.arange(len(rows)) >= len(ids)
+            taken = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(turn, pa.int32()), pa.array(guard), *taken.columns], names=["part", "turn", "guard", "doc_id", "text"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                chars, edited = [], []
-                for text, prefix in zip(part.column("text").to_pylist(), part.column("prefix").to_pylist(), strict=True):
-                    quarter = len(text) // 4
-                    chars.append(len(text))
-                    edited.append(text[: len(text) - quarter] + (prefix or "")[:quarter])
-                own, new = sketches(part.column("text"), scale, floor), sketches(pa.array(edited, pa.string()), scale, floor)
-                other = [np.frombuffer(x or b"", U) for x in part.column("sketch").to_pylist()]
-                to_edited = [compare(a, b, scale, floor) for a, b in zip(own, new, strict=True)]
-                to_next = [compare(a, b, scale, floor) if x is not None else (0.0, 0.0, 0.0) for a, b, x in zip(own, other, part.column("sketch").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(chars, pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-                        pa.array(map(write, own), pa.string()),
-                        pa.array(map(write, new), pa.string()),
-                        *[pa.array([x[k] for x in pairs], pa.float64()) for k in (0, 1) for pairs in (to_edited, to_next)],
-                    ],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"],
-                )
-
-    return both.mapInArrow(digest, _OUT)
+        waiting: list[tuple] = []  # rows of one id, until the next id's text is seen
+        at = None
+        for whole in batches:
+            for start in range(0, len(whole), 1000):
+                batch, ready = whole.slice(start, 1000), []
+                columns = [batch.column(c).to_pylist() for c in ("part", "turn", "guard", "doc_id", "text")]
+                for part, turn, guard, doc_id, text, own in zip(*columns, sketches(batch.column("text"), scale, floor), strict=True):
+                    if (part, turn, doc_id) != at or turn == 2:
+                        known = at is not None and at[0] == part and turn != 2 and at[1] != 2
+                        ready += [(*row, text, own) if known else (*row, None, None) for row in waiting]
+                        waiting, at = [], (part, turn, doc_id)
+                    if not guard:
+                        waiting.append((doc_id, text, own))
+                if ready:
+                    yield _digest(ready, scale, floor)
+        if waiting:
+            yield _digest([(*row, None, None) for row in waiting], scale, floor)
+
+    dealt = texts.mapInArrow(deal, "part int, turn int, guard boolean, doc_id long, text string")
+    return dealt.repartition(ranges, "part").sortWithinPartitions("part", "turn", "doc_id", "text").mapInArrow(digest, _OUT)
+
+
+def _digest(rows: list[tuple], scale: int, floor: int) -> pa.RecordBatch:
+    """rows: (doc_id, text, its sketch, next text, its sketch or None)."""
+    edited = [text[: len(text) - len(text) // 4] + (following or "")[: len(text) // 4] for _, text, _, following, _ in rows]
+    new = sketches(pa.array(edited, pa.string()), scale, floor)
+    to_edited = [compare(row[2], b, scale, floor) for row, b in zip(rows, new, strict=True)]
+    to_next = [compare(row[2], row[4], scale, floor) if row[4] is not None else (0.0, 0.0, 0.0) for row in rows]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([row[0] for row in rows], pa.int64()),
+            pa.array([len(row[1]) for row in rows], pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
+            pa.array([write(row[2]) for row in rows], pa.string()),
+            pa.array(map(write, new), pa.string()),
+            *[pa.array([x[k] for x in pairs], pa.float64()) for k in (0, 1) for pairs in (to_edited, to_next)],
+        ],
+        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"],
+    )
