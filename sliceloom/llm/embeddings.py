@@ -15,9 +15,13 @@ from sliceloom.llm.store import save
 
 #: Most pivots: bounds the broadcast to PIVOTS vectors whatever the table's size.
 PIVOTS = 1024
-#: Vectors a pivot should have, and vectors on one side of a comparing task.
-PER_PIVOT, CHUNK = 256, 1024
+#: Vectors a cell should have where borders are seldom crossed and where they often are, and vectors on one side of a task.
+FINE, COARSE, CHUNK = 256, 4096, 4096
+#: Mean cells of a vector up to which the finer cells are taken.
+FEW_VISITS = 8
 _ROUNDING = 1e-9
+#: Single precision decides pairs farther than this from the threshold, double precision the others.
+_MARGIN = 1e-4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -54,26 +58,45 @@ def _components(linked: np.ndarray) -> np.ndarray:
     return np.concatenate((label_h, label_t))
 
 
+def _linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    near = a.astype(np.float32) @ b.astype(np.float32).T
+    linked = near >= least + _MARGIN
+    i, j = np.nonzero(np.abs(near - np.float32(least)) < 2 * _MARGIN)
+    for k in range(0, len(i), 1 << 16):
+        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        linked[x, y] = (a[x] * b[y]).sum(axis=1) >= least
+    return linked
+
+
 def _compare(table: pa.Table, least: float) -> pa.Table:
     """One task's homes against its targets: (node, other, n): n vectors linked with a home, or other in node's component."""
     home = np.asarray(table.column("side")) == 0
     column = table.column("vector").combine_chunks()
     x = _matrix(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks))
     node, n = np.asarray(table.column("node")), np.asarray(table.column("n"))
-    if not home.any() or home.all():
-        return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    linked = (x[home] @ x[~home].T >= least) & (node[home][:, None] != node[~home][None, :])
-    counts = linked @ n[~home]
-    label, both = _components(linked), np.concatenate((node[home], node[~home]))
-    edge = np.flatnonzero((both[label] != both))
-    some = np.flatnonzero(counts)
-    return pa.table(
-        {
-            "node": pa.array(np.concatenate((node[home][some], both[edge])), pa.int64()),
-            "other": pa.array([None] * len(some) + both[label][edge].tolist(), pa.int64()),
-            "n": pa.array(np.concatenate((counts[some], np.zeros(len(edge), np.int64))), pa.int64()),
-        }
-    )
+    homes, targets = np.flatnonzero(home), np.flatnonzero(~home)
+    rows: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]] = []
+    for k in range(0, len(homes) if len(targets) else 0, 1024):
+        part = homes[k : k + 1024]
+        linked = _linked(x[part], x[targets], least) & (node[part][:, None] != node[targets][None, :])
+        counts = linked @ n[targets]
+        some = np.flatnonzero(counts)
+        if len(some):
+            label, both = _components(linked), np.concatenate((node[part], node[targets]))
+            edge = np.flatnonzero(both[label] != both)
+            rows += [(node[part][some], None, counts[some]), (both[edge], both[label][edge], np.zeros(len(edge), np.int64))]
+    other = [pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()) for a, b, _ in rows]
+    columns = [pa.chunked_array([pa.array(a, pa.int64()) for a, _, _ in rows], pa.int64()), pa.chunked_array(other, pa.int64()), pa.chunked_array([pa.array(c, pa.int64()) for _, _, c in rows], pa.int64())]
+    return pa.table(columns, names=["node", "other", "n"])
+
+
+def _crossings(d: np.ndarray, cell: np.ndarray, between: np.ndarray, r: float) -> np.ndarray:
+    """Whether a vector's ball of radius r can reach over the plane between its own pivot and each other pivot."""
+    own, gap = d[np.arange(len(d)), cell][:, None], between[cell]
+    plane = np.where(gap > 1e-6, (d * d - own * own) / np.maximum(2.0 * gap, 1e-6), 0.0)
+    crosses = plane <= r + _ROUNDING + 1e-9 / np.maximum(gap, 1e-6)
+    crosses[np.arange(len(d)), cell] = True
+    return crosses
 
 
 def range_join(vectors: DataFrame, least: float) -> DataFrame:
@@ -82,18 +105,25 @@ def range_join(vectors: DataFrame, least: float) -> DataFrame:
     Every vector has a home, the cell of its nearest pivot, and also visits each cell whose border its ball of the
     join radius can cross: by the distance to the bisecting plane of the two pivots, and by the triangle inequality
     with the cell's radius. Homes of a cell meet its homes and visitors, so each pair is seen from both ends and cells
-    stay independent. Large cells are cut into chunks; pivots are a sample fixed by a hash, of at most PIVOTS.
+    stay independent. Large cells are cut into chunks; pivots are a sample fixed by a hash, of at most PIVOTS;
+    where the sample shows that balls reach many cells, as in high dimensions without clusters, cells are coarser, so that
+    vectors are not sent to ever more cells for the same comparisons.
     """
     spark = vectors.sparkSession
     total, = vectors.agg(F.count(F.lit(1))).first()
-    wanted = min(PIVOTS, max(1, -(-total // PER_PIVOT)))
+    wanted, coarse = (min(PIVOTS, max(1, -(-total // k))) for k in (FINE, COARSE))
     share = max(1, int(wanted / max(1, total) * 2**31))
     sampled = vectors.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("node", F.lit(6)), 33)).where(F.col("_hash") < share)
     pivots = [r["vector"] for r in sampled.select("vector").limit(4 * PIVOTS).collect()] or [r["vector"] for r in vectors.select("vector").limit(1).collect()]
     if not pivots:
         return spark.createDataFrame([], "node long, other long, n long")
-    p = _matrix(pa.array(pivots, pa.list_(pa.float64())))
+    p = _matrix(pa.array(sorted(pivots), pa.list_(pa.float64())))
+    p = p[np.random.default_rng(len(p)).permutation(len(p))]
     r = math.sqrt(2.0 - 2.0 * least)
+    d = _distances(p[:512], p)
+    np.fill_diagonal(d, np.inf)  # a pivot is judged as a vector of some other cell
+    if len(p) > coarse and _crossings(d, d.argmin(axis=1), _distances(p, p), r).sum(axis=1).mean() > FEW_VISITS:
+        p = p[:coarse]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +144,7 @@ def range_join(vectors: DataFrame, least: float) -> DataFrame:
                 batch = whole.slice(at, 2048)
                 d = _distances(_matrix(batch.column("vector")), p)
                 cell = batch.column("cell").to_numpy()
-                own = d[np.arange(len(d)), cell][:, None]
-                gap = between[cell]
-                plane = np.where(gap > 1e-6, (d * d - own * own) / np.maximum(2.0 * gap, 1e-6), 0.0)
-                crosses = (plane <= r + _ROUNDING + 1e-9 / np.maximum(gap, 1e-6)) & (d <= radii[None, :] + r + 1e-6)
+                crosses = _crossings(d, cell, between, r) & (d <= radii[None, :] + r + 1e-6)
                 crosses[np.arange(len(d)), cell] = True
                 rows, cells = np.nonzero(crosses)
                 taken = batch.take(pa.array(rows))

@@ -31,7 +31,7 @@ INSULTS = (
 )
 COMMON = "a an and are as at be by for from he her his i in is it of on or that the this to was were with you " "der die das und ist nicht ein eine zu den dem von mit auf für im es ich sie er sich des " "le la les de et un une des du en est que qui dans pour pas sur au par ce " "el los las y que en un una por con se su para del al es lo como"
 #: Bound of the sample that trains the scorer, in documents, by expectation; the sample is fixed by a hash of the id.
-SAMPLE = 10000
+SAMPLE = 8000
 WORD_BITS = 17
 #: Bytes of a word's beginning that are a feature of their own.
 STEM = 5
@@ -204,16 +204,21 @@ def train(buckets: np.ndarray, first: np.ndarray, shapes: np.ndarray, target: np
     owner = np.repeat(np.arange(n), np.diff(first))
     frequent = np.bincount(buckets, minlength=size) >= least_df
     keep = frequent[buckets]
-    buckets, owner = buckets[keep], owner[keep]
-    counts = np.bincount(owner, minlength=n)
-    first = np.concatenate(([0], np.cumsum(counts)))
+    buckets, owner = buckets[keep].astype(np.int32), owner[keep].astype(np.int32)
+    first = np.searchsorted(owner, np.arange(n + 1))
     scale = 30.0  # shares are small numbers
-    shapes = shapes.astype(np.float32) * np.float32(scale)
+    shapes = shapes * np.float32(scale)
     state = [np.zeros(size + SHAPES + 1) for _ in range(2)]
     for step in range(1, rounds + 1):
-        z = np.diff(np.concatenate((np.zeros(1), np.cumsum(words[buckets])))[first]) + shapes @ shape_w + bias
-        miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) * weight
-        gradient = np.concatenate((np.bincount(buckets, weights=miss[owner], minlength=size) + 2e-5 * words, miss @ shapes + 1e-5 * shape_w, [miss.sum()]))
+        gradient = np.concatenate((2e-5 * words, 1e-5 * shape_w, np.zeros(1)))
+        for i in range(0, n, 500):  # small blocks: the driver's memory stays near the sample's size
+            j = min(n, i + 500)
+            part, rows = buckets[first[i] : first[j]], shapes[i:j]
+            z = np.diff(np.concatenate((np.zeros(1), np.cumsum(words[part])))[first[i : j + 1] - first[i]]) + rows @ shape_w + bias
+            miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target[i:j]) * weight[i:j]
+            gradient[:size] += np.bincount(part, weights=miss[owner[first[i] : first[j]] - i], minlength=size)
+            gradient[size:-1] += miss @ rows
+            gradient[-1] += miss.sum()
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.999 * state[1] + 0.001 * gradient * gradient
         move = 0.07 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
@@ -294,12 +299,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
 
     rows = chosen.mapInArrow(describe, "prose long, abuse long, rate double, words binary, shapes binary").collect()  # about `sample` rows
     rows.sort(key=lambda r: (bytes(r["shapes"]), bytes(r["words"])))  # tasks end in any order; sums of floats should not
-    buckets = [np.frombuffer(r["words"], np.int32).astype(np.int64) for r in rows]
+    buckets = [np.frombuffer(r["words"], np.int32) for r in rows]
     first = np.concatenate(([0], np.cumsum([len(b) for b in buckets]))).astype(np.int64)
     shapes = np.array([np.frombuffer(r["shapes"], np.float16) for r in rows], np.float32).reshape(len(rows), SHAPES)
-    flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
+    flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
     weight = np.array([1 / r["rate"] for r in rows])
-    scorers = [train(flat, first, shapes, known.bad(np.array([r[c] for r in rows], np.int64)), weight) for known, c in ((prose, "prose"), (abuse, "abuse"))]
+    targets = [known.bad(np.array([r[c] for r in rows], np.int64)) for known, c in ((prose, "prose"), (abuse, "abuse"))]
+    del rows, buckets
+    scorers = [train(flat, first, shapes, target, weight) for target in targets]
     return Model(prose, abuse, *scorers)
 
 
