@@ -15,6 +15,8 @@ from sliceloom.operators import labels as L
 from sliceloom.operators import programs as P
 from sliceloom.operators import spatial as S
 from sliceloom.operators import statistics as T
+from sliceloom.plans import fit as M
+from sliceloom.plans import simulate as Z
 from sliceloom.sources import adapters as A
 from sliceloom.sources import tables as IO
 
@@ -462,3 +464,44 @@ def pivot_types(spark, d):
 def mean_loadings(spark, d):
     both = [A.programs(spark, d, c) for c in ("o_orderstatus", "l_returnflag")]
     return rounded(IO.mean_loadings(reduce(DataFrame.unionByName, both)).select("gene", "weight", "program"))
+
+
+# fits
+
+
+@query()
+def temporal_fit(spark, d):
+    counts, cells = C.log1p_normalize(A.counts(spark, d)), A.count_cells(spark, d)
+    genes = [r["gene"] for r in counts.select("gene").distinct().orderBy("gene").collect()]
+    factors = M.fit_without_space(*M.sufficient(counts, genes, cells), p=2)
+    rows = [(j, g, float(w)) for j, f in enumerate(factors) for g, w in zip(genes, f["w"], strict=True)]
+    return rounded(spark.createDataFrame(rows, "program int, gene string, weight double"), 4)
+
+
+def _fit_cells(spark, d):
+    return A.spatial_cells(spark, d).withColumn("fit", F.lit("embeddings"))
+
+
+@query()
+def spectral_fit(spark, d):
+    return rounded(M.fit_keys(M.spectral_rows(_fit_cells(spark, d), 2.0), 2, 15), 4)
+
+
+@query()
+def simulated_recovery(spark, d):
+    data = Z.generate()
+    found = M.fit_keys(M.spectral_rows(Z.as_cells(spark, data), 2.0), 3, 10, gamma_age=0.5).where("kind = 'loading'")
+    found = found.select(F.col("program").cast("string").alias("program"), F.col("key").alias("gene"), F.col("value").alias("weight"))
+    truth = spark.createDataFrame([(str(j), g, float(v)) for j, w in enumerate(data["w"]) for g, v in enumerate(w)], "program string, gene long, weight double")
+    near = P.distances(truth, found)
+    best = P.align(near.select("p", "q", (1 - F.col("hellinger")).alias("cost")))
+    return rounded(best.join(near, ["p", "q"]).join(P.matching(truth, found), ["p", "q"]), 4)
+
+
+@query()
+def principal_components(spark, d):
+    counts, cells = C.log1p_normalize(A.counts(spark, d)), A.count_cells(spark, d)
+    genes = [r["gene"] for r in counts.select("gene").distinct().orderBy("gene").collect()]
+    _, n, sums, gram = M.sufficient(counts, genes, cells)
+    _, singular = Z.pca(gram, sums.sum(axis=0) / n.sum(), float(n.sum()), 5)
+    return rounded(spark.createDataFrame([(i, float(s)) for i, s in enumerate(singular)], "component int, singular double"), 4)
