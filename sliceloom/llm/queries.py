@@ -75,7 +75,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_curriculum_mix": op10_curriculum_mix,
 }
 
+_REACH = """reach AS (SELECT id, id AS root FROM node UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.id WHERE e.b > r.root)"""
+
 ORACLES: dict[str, str] = {
+    "op3_min_max_hash": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        k AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        edge AS (SELECT a, b FROM k JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+        node AS (SELECT doc_id AS id FROM documents), """
+    + _REACH
+    + """, c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_block_anchors": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        v AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS v FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM w WHERE len(w) >= 50)),
+        f AS (SELECT v, min(doc_id) AS least FROM v GROUP BY v),
+        g AS (SELECT DISTINCT doc_id, i + unnest(generate_series(0, 49)) AS j FROM v JOIN f USING (v) WHERE least < doc_id),
+        k AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM w),
+        r AS (SELECT k.doc_id, count(g.j) AS gone, string_agg(x, ' ' ORDER BY j) FILTER (g.j IS NULL) AS kept FROM k LEFT JOIN g USING (doc_id, j) GROUP BY k.doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)""",
+    "op6_metric_range_join": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        edge AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.9),
+        node AS (SELECT vec_id AS id FROM embeddings), """
+    + _REACH
+    + """, c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM edge GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op8_warc_revisits": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         o AS (SELECT d, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY d)
