@@ -172,12 +172,12 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Tasks of about ITEMS pieces pack by best-fit decreasing and compare with a lower bound. A task that meets it is
     certified and closed but for its emptiest bin; the others keep their full bins and send the rest on, dealt anew
-    by another hash. Each round is smaller; the last closes all. Only lengths and ids move, never tokens.
+    by another hash into tasks of twice as many. Each round is smaller; the last closes all. Only lengths and ids move, never tokens.
     """
     left, done, number = cut, [], 0
     while True:
         n = left.count()
-        parts = max(1, -(-n // ITEMS))
+        parts = max(1, -(-n // (ITEMS << number)))
         last = parts == 1 or number == ROUNDS
         dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int"))
         packed = save(dealt.groupBy("part").applyInArrow(_packer(capacity, number, last), _PACKED), "packed")

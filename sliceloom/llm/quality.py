@@ -249,8 +249,8 @@ def _annotations(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Model:
     """Vote patterns are counted over all rows. The scorers see about `sample` rows, fixed by a hash of the id.
 
-    With labels (doc_id, quality 0/1, toxic 0/1) the sample is of annotated rows: half of those annotated bad, half of
-    the others, weighted back to their shares.
+    With labels (doc_id, quality 0/1, toxic 0/1) that hold bad ones the sample is of annotated rows: half of those
+    annotated bad, half of the others, weighted back to their shares.
     """
     texts = docs.select("doc_id", "text")
 
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     prose, abuse = estimate(tables[0], PROSE + 1), estimate(tables[1], ABUSE + 1)
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 33)
     part = lambda wanted, there: min(1.0, wanted / max(1, there))
-    if told:
+    if rare:
         rates = part(sample / 2, rare), part(sample / 2, told - rare)
         bad = (F.col("said_prose") == BAD) | (F.col("said_abuse") == BAD)
         ids = said.withColumnsRenamed({"_id": "doc_id"}).withColumn("rate", F.when(bad, rates[0]).otherwise(rates[1])).where(hashed < F.col("rate") * 2**31)
