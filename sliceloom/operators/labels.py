@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sliceloom.operators.programs import align
+
 
 def majority(df: DataFrame, cluster: str, truth: str) -> DataFrame:
     """cluster, label: its commonest truth, ties to the smallest."""
@@ -26,7 +30,7 @@ def evaluate(df: DataFrame, truth: str, pred: str) -> DataFrame:
     ra = a.agg(F.sum(_pairs(F.col("a"))).alias("i"), F.sum(F.col("a") * F.ln("a")).alias("ea"))
     rb = b.agg(F.sum(_pairs(F.col("b"))).alias("j"), F.sum(F.col("b") * F.ln("b")).alias("eb"), F.count(F.lit(1)).alias("labels"))
     mutual = cells.agg(F.sum(F.col("n") * F.ln("n")).alias("em"))
-    named = df.join(F.broadcast(majority(df, pred, truth)), pred).select(F.col(truth).alias("t"), F.col("label").alias("l"))
+    named = df.select(truth, F.col(pred).alias("_pred")).join(F.broadcast(majority(df, pred, truth).toDF("_pred", "_label")), "_pred").select(F.col(truth).alias("t"), F.col("_label").alias("l"))
     hits = named.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t") == F.col("l")).alias("tp"))
     said = named.groupBy(F.col("l").alias("t")).agg(F.count(F.lit(1)).alias("m"))
     f1 = hits.join(said, "t", "left").agg((F.sum("tp") / F.sum("n")).alias("accuracy"), F.avg(F.col("tp") / F.col("n")).alias("balanced"), F.avg(2 * F.col("tp") / (F.col("n") + F.coalesce("m", F.lit(0)))).alias("macro_f1"))
@@ -38,3 +42,50 @@ def evaluate(df: DataFrame, truth: str, pred: str) -> DataFrame:
     ha, hb = F.ln(t) - F.col("ea") / t, F.ln(t) - F.col("eb") / t
     mi = F.ln(t) + F.col("em") / t - F.col("ea") / t - F.col("eb") / t
     return row.select(((F.col("ij") - expected) / ((F.col("i") + F.col("j")) / 2 - expected)).alias("ari"), (mi / ((ha + hb) / 2)).alias("nmi"), "accuracy", "balanced", "macro_f1", "labels")
+
+
+def _kmeans(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """Lloyd's algorithm from farthest points, the first the one nearest to the mean; deterministic."""
+    chosen = [int(((x - x.mean(axis=0)) ** 2).sum(1).argmin())]
+    for _ in range(1, k):
+        chosen.append(int(np.min([((x - x[c]) ** 2).sum(1) for c in chosen], axis=0).argmax()))
+    centres, labels = x[chosen], np.zeros(len(x), int)
+    for step in range(rounds):
+        fresh = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+        if step and (fresh == labels).all():
+            break
+        labels = fresh
+        centres = np.array([x[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(k)])
+    return labels
+
+
+def spectral_labels(cells: DataFrame, k: int) -> DataFrame:
+    """slice, cell, label: k-means on the smallest eigenvectors of the normalised Laplacian of the symmetric graph of max(2, round(sqrt(n))) nearest neighbours, slice by slice. Slices of at most k cells get their place modulo k."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell")
+        x = np.stack(pdf["genes"].to_list())
+        n = len(x)
+        if n <= k:
+            return pd.DataFrame({"slice": pdf["slice"], "cell": pdf["cell"], "label": np.arange(n) % k})
+        x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)
+        np.fill_diagonal(d, np.inf)
+        m = min(max(2, round(n**0.5)), n - 1)
+        near = np.zeros((n, n))
+        near[np.repeat(np.arange(n), m), np.argsort(d, axis=1, kind="stable")[:, :m].ravel()] = 1
+        near = np.maximum(near, near.T)
+        root = 1 / np.sqrt(near.sum(axis=1))
+        vectors = np.linalg.eigh(np.eye(n) - root[:, None] * near * root[None])[1][:, :k] * root[:, None]
+        vectors *= np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)])
+        return pd.DataFrame({"slice": pdf["slice"], "cell": pdf["cell"], "label": _kmeans(vectors, k)})
+
+    return cells.select("slice", "cell", "genes").groupBy("slice").applyInPandas(one, "slice long, cell long, label long")
+
+
+def matched_accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """One row: the largest accuracy of a one-to-one naming of predictions, from the contingency table."""
+    n = df.groupBy(F.col(truth).cast("string").alias("p"), F.col(pred).cast("string").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    full = n.select("p").distinct().crossJoin(n.select("q").distinct()).join(n, ["p", "q"], "left")
+    named = align(full.select("p", "q", (-F.coalesce("n", F.lit(0))).cast("double").alias("cost")))
+    return named.agg((-F.sum("cost")).alias("hits")).crossJoin(df.agg(F.count(F.lit(1)).alias("n"))).select((F.col("hits") / F.col("n")).alias("accuracy"))

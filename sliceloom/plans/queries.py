@@ -13,6 +13,7 @@ from sliceloom.functions.text import clean_term, program_label
 from sliceloom.operators import cells as C
 from sliceloom.operators import labels as L
 from sliceloom.operators import programs as P
+from sliceloom.operators import robustness as R
 from sliceloom.operators import spatial as S
 from sliceloom.operators import statistics as T
 from sliceloom.plans import fit as M
@@ -505,3 +506,70 @@ def principal_components(spark, d):
     _, n, sums, gram = M.sufficient(counts, genes, cells)
     _, singular = Z.pca(gram, sums.sum(axis=0) / n.sum(), float(n.sum()), 5)
     return rounded(spark.createDataFrame([(i, float(s)) for i, s in enumerate(singular)], "component int, singular double"), 4)
+
+
+# agreement and summaries
+
+
+@query("SELECT * FROM (VALUES ('t0p60_s0p50', 'temporal', 0.6::DOUBLE, 0.5::DOUBLE, false), ('t0p70_s0p40', 'spatial', 0.7, 0.4, false), ('t0p70_s0p50', 'temporal', 0.7, 0.5, true)) v(setting_id, panel, temporal_rho, spatial_rho, is_baseline)")
+def sweep_grid(spark, d):
+    return R.sweep_grid(spark, [0.6, 0.7], [0.4, 0.5], (0.7, 0.5))
+
+
+@query("""WITH e AS (SELECT o_orderstatus AS program, o_orderpriority AS term, o_custkey % 12 AS setting, (o_orderkey * 37 % 1000) / 1000 AS adjusted_p, o_totalprice AS score FROM orders)
+    SELECT program, term, count(DISTINCT setting) AS recovered, round(min(adjusted_p), 6) AS least_p, round(median(score), 6) AS median_score, round(count(DISTINCT setting) / 12, 6) AS share FROM e WHERE adjusted_p > 0 AND adjusted_p < 0.05 AND score > 0 GROUP BY 1, 2""")
+def term_recurrence(spark, d):
+    o = A.table(spark, d, "orders")
+    rows = o.select(F.col("o_orderstatus").alias("program"), F.col("o_orderpriority").alias("term"), (F.col("o_custkey") % 12).alias("setting"), (F.col("o_orderkey") * 37 % 1000 / 1000).alias("adjusted_p"), F.col("o_totalprice").alias("score"))
+    return rounded(R.recurrence(rows, 12))
+
+
+@query(f"WITH {POINTS} SELECT celltype AS program, slice, cell, round(avg(y) OVER (PARTITION BY celltype, slice), 6) AS alpha, round(y - avg(y) OVER (PARTITION BY celltype, slice), 6) AS b FROM points")
+def score_decomposition(spark, d):
+    scores = A.points(spark, d).select(F.col("celltype").alias("program"), "slice", "cell", F.col("y").alias("h"))
+    return rounded(R.decomposed(scores).select("program", "slice", "cell", "alpha", "b"))
+
+
+@query(f"""WITH {SPATIAL}, g AS (SELECT vec_id AS cell, label AS slice, unnest(embedding[3:7]) AS v, generate_subscripts(embedding[3:7], 1) - 1 AS gene FROM embeddings), x AS (SELECT slice, gene, avg(CAST(v AS DOUBLE)) AS x FROM g GROUP BY 1, 2), y AS (SELECT slice, avg(x) AS yx, avg(y) AS yy FROM sp GROUP BY 1),
+    r AS (SELECT gene, corr(x, yx) AS r0, corr(x, yy) AS r1 FROM x JOIN y ON y.slice = x.slice GROUP BY gene) SELECT CAST(gene AS BIGINT) AS marker, CASE WHEN abs(r1) > abs(r0) THEN 'y' ELSE 'x' END AS program, round(CASE WHEN abs(r1) > abs(r0) THEN r1 ELSE r0 END, 6) AS r FROM r""")
+def best_programs(spark, d):
+    cells = A.spatial_cells(spark, d)
+    scores = cells.select("cell", F.lit("x").alias("program"), F.col("x").alias("h")).unionByName(cells.select("cell", F.lit("y").alias("program"), F.col("y").alias("h")))
+    found = R.weights_by_correlation(A.long_genes(cells).where("gene < 5").drop("slice"), scores, cells)
+    return rounded(R.best_program(found.select(F.col("gene").alias("marker"), "program", F.col("weight").alias("r")), signed=True))
+
+
+@query(f"WITH {POINTS} SELECT slice, round(-quantile_cont(abs(b), 0.99), 6) AS lo, round(quantile_cont(abs(b), 0.99), 6) AS hi FROM points GROUP BY slice")
+def colour_limits(spark, d):
+    return rounded(R.colour_limits(A.points(spark, d), "b", ["slice"]))
+
+
+@query(f"WITH {POINTS} SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM points")
+def simple_regression(spark, d):
+    fit = R.ordinary_least_squares(A.points(spark, d), "y", ["x"])
+    pick = lambda t, c: F.max(F.when(F.col("term") == t, F.col(c)))
+    return fit.agg(F.round(pick("x", "estimate"), 6).alias("slope"), F.round(pick("intercept", "estimate"), 5).alias("intercept"), F.round(F.max("r2"), 6).alias("r2"))
+
+
+@query()
+def density_regression(spark, d):
+    points = A.points(spark, d)
+    near = S.log_density(points.where("celltype = 'view'"), points, 10.0)
+    kinds = sorted(r["other_type"] for r in near.select("other_type").distinct().collect())
+    wide = near.groupBy("cell").pivot("other_type", kinds).agg(F.first("density")).na.fill(0.0)
+    rows = points.join(wide, "cell").withColumns({f"region_{k}": (F.col("region") == k).cast("double") for k in (1, 2)})
+    return rounded(R.ordinary_least_squares(rows, "y", ["age", "region_1", "region_2", *kinds]), 4)
+
+
+@query()
+def effector_summary(spark, d):
+    points = A.points(spark, d)
+    effects = T.matched_effects(points.where("celltype = 'view'"), points, "b", 6.0, 20.0).withColumn("p", normal_two_sided("z"))
+    return R.effector_summary(T.bh(effects, "p").withColumn("program", F.lit("b")), 0.5)
+
+
+@query()
+def spectral_labels(spark, d):
+    cells = A.spatial_cells(spark, d)
+    found = L.spectral_labels(cells, 3).join(cells.select("cell", "celltype"), "cell")
+    return rounded(L.matched_accuracy(found, "celltype", "label").crossJoin(L.evaluate(found, "celltype", "label").drop("accuracy")))
