@@ -1,8 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
-import pytest
-from pyspark.sql import SparkSession
+for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+    os.environ.setdefault(name, "1")  # the algebra library's own threads can stall beside the JVM
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
