@@ -157,3 +157,19 @@ def silverman(values: DataFrame) -> DataFrame:
     per = values.groupBy("gene").agg(F.stddev_samp("value").alias("sd"), (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr"), F.count("value").alias("n"))
     bandwidth = 0.9 * F.least(F.col("sd"), F.col("iqr") / 1.34) * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     return per.select(bandwidth.alias("h")).where("h > 0 and not isnan(h)").agg(F.median("h").alias("bandwidth"))
+
+
+def set_score(counts: DataFrame, cells: DataFrame, genes: Sequence[str]) -> DataFrame:
+    """cell, score: the mean over a set's genes that are present of z-scores over all cells (ddof 0; a constant gene's spread is 1).
+
+    Names match without regard to case. Absent counts are 0: their z-scores are summed once, not for each cell.
+    """
+    rows = counts.where(F.upper("gene").isin([g.upper() for g in genes]))
+    n = cells.agg(F.count(F.lit(1)).alias("n"))
+    sums = rows.join(cells.select("cell"), "cell", "left_semi").groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).crossJoin(F.broadcast(n))
+    mu = F.col("s") / F.col("n")
+    sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - mu * mu, F.lit(0.0)))
+    stats = sums.select("gene", mu.alias("mu"), F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("sd"))
+    zero = stats.agg(F.sum(-F.col("mu") / F.col("sd")).alias("z"), F.count(F.lit(1)).alias("g"))
+    scaled = rows.join(F.broadcast(stats), "gene").groupBy("cell").agg(F.sum(F.col("value") / F.col("sd")).alias("v"))
+    return cells.select("cell").join(scaled, "cell", "left").crossJoin(F.broadcast(zero)).select("cell", ((F.coalesce("v", F.lit(0.0)) + F.col("z")) / F.col("g")).alias("score"))

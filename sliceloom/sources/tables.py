@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,3 +92,17 @@ def standard_weights(loadings: DataFrame, signed: bool = False, unit: bool = Tru
         return rows
     whole = F.sum("weight").over(Window.partitionBy("program"))
     return rows.withColumn("weight", F.when(whole > 0, F.col("weight") / whole).otherwise(0.0))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder of spark.checkpoint.dir; in /tmp/checkpoints where that is unset, as in tests."""
+    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Gzip-compressed CSV with a header."""
+    df.write.option("header", True).option("compression", "gzip").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
