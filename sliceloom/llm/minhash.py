@@ -189,6 +189,19 @@ def similar_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.unionByName(save(rest, "links"))
 
 
+def _graph(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of rows (doc_id, text); nodes (node, least, first, doc_id, text_hash, bands); labels (node, root) of linked nodes.
+
+    first is the row (doc_id, text_hash) of a node that stands for it: the smallest doc_id, rows without one last.
+    """
+    sketched = save(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"), "sketches")
+    one = F.max(F.struct("doc_id", "text_hash", "bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash"))
+    nodes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), first.alias("first"), one.alias("one"))
+    nodes = save(nodes.select("node", "least", "first", "one.*"), "nodes")
+    return sketched, nodes, connected_components(similar_sets(nodes.select("node", "doc_id", "text_hash", "bands"), rows))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text).
 
@@ -199,12 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     without doc_id is never a component's id, takes the id of its component if that has one, and is not kept unless it
     has none; repeated rows share a component. Other columns play no part; an empty table gives an empty table.
     """
-    rows = docs.select("doc_id", "text")
-    sketched = save(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"), "sketches")
-    one = F.max(F.struct("doc_id", "text_hash", "bands"))
-    nodes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), one.alias("one"))
-    nodes = save(nodes.select("node", "least", "one.*"), "nodes")
-    labels = connected_components(similar_sets(nodes.select("node", "doc_id", "text_hash", "bands"), rows))
+    sketched, nodes, labels = _graph(docs.select("doc_id", "text"))
     least = labels.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     component = labels.join(least, "root").select("node", "component")
     of_node = nodes.select("node", "least").join(component, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
@@ -213,11 +221,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the rows of a component other than its first: the row of the smallest doc_id, and of repeated rows one.
+    """docs with one row of each component: the smallest doc_id (rows without one last), of its texts the smallest hash.
 
-    Blank and null texts are no copies of each other and stay.
+    Rows are told apart by doc_id and text, so rows without doc_id, or of one doc_id with several texts, go only as
+    copies of their own component; of rows equal in both one stays. Blank and null texts are no copies of each other
+    and stay.
     """
-    kept = near_duplicates(docs).where("kept and n_shingles > 0").select("doc_id").distinct()
+    _, nodes, labels = _graph(docs.select("doc_id", "text"))
+    kept = nodes.join(labels, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    first = docs.where(~blank).join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.where(blank))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    first = docs.where(~blank).join(kept, same, "left_semi").withColumn("_text", F.xxhash64("text"))
+    return first.dropDuplicates(["doc_id", "_text"]).drop("_text").unionByName(docs.where(blank))

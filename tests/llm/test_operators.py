@@ -88,6 +88,22 @@ def test_near_duplicates(docs, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_deduplicate_tells_rows_apart_without_ids(spark):
+    """Null ids and one id with two texts: a row goes only as a copy of its own component."""
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = [t + " more" for t in texts]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, near[2]), (None, texts[2]), (3, texts[3]), (None, near[3])]
+    rows += [(5, texts[4]), (5, near[3]), (5, texts[5]), (5, near[5]), (5, texts[4]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string").repartition(3)
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    for two, doc_id in ((2, None), (5, 5)):  # two texts of one component under one id: either, but one
+        assert len([r for r in got if r in ((doc_id, texts[two]), (doc_id, near[two]))]) == 1
+    rest = [r for r in got if r[1] not in (texts[2], near[2], texts[5], near[5])]
+    assert sorted(rest, key=str) == sorted([(None, texts[0]), (None, texts[1]), (3, texts[3]), (5, texts[4]), (None, None), (None, "")], key=str)
+
+
 def test_hot_group_of_near_copies(spark):
     """A chain of copies that only their neighbours resemble, in chunks smaller than the group."""
     rng = np.random.default_rng(1)
