@@ -340,6 +340,24 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("drift", [0.5, -0.8])
+def test_every_copy_follows_the_schedule(spark, drift):
+    """Training order against demand inverted by bisection, with sources read up to three times."""
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 7), "abc"[min(2, i // 12)]) for i in range(90)], "doc_id long, text string, source string")
+    want = []
+    for r in mixing.mix(docs, drift=drift).where("taken > 0").collect():
+        d = drift * (1 - "abc".index(r["source"]))
+        first = r["position"] * (1 + d) - d * r["position"] ** 2
+        for copy in range(r["copies"]):
+            lo, hi, y = 0.0, 1.0, first + copy * r["source_size"] / r["target"]
+            for _ in range(60):
+                t = (lo + hi) / 2
+                lo, hi = (t, hi) if t * (1 + d) - d * t * t < y else (lo, t)
+            want.append((lo, r["doc_id"]))
+    assert max(sum(w[1] == i for w in want) for i in range(90)) == 3
+    assert [r["doc_id"] for r in mixing.training_order(docs, drift=drift).collect()] == [i for _, i in sorted(want)]
+
+
 def test_targets_reshare():
     goal = mixing.targets([("a", 10), ("b", 100), ("c", 100)], {"a": 5, "b": 2, "c": 1}, 210)
     assert goal == pytest.approx({"a": 30.0, "b": 120.0, "c": 60.0})
