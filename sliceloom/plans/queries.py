@@ -402,7 +402,7 @@ def slice_effects(spark, d):
 @query()
 def proximity_permutation(spark, d):
     points = A.points(spark, d)
-    return rounded(T.permutation_null(points.where("celltype = 'view'"), points, "click", "b", 6.0, 20.0, draws=20))
+    return rounded(T.permutation_null(points.where("celltype = 'view'"), points, "click", "b", 6.0, 20.0))
 
 
 @query()

@@ -167,3 +167,19 @@ def test_tables_round_trip(spark, tmp_path):
 def test_clean_term(spark):
     rows = spark.createDataFrame([("GOBP_DNA_DNA_REPAIR_UP",), ("complex iii assembly (GO:0001)",)], "t string")
     assert [r[0] for r in rows.select(clean_term(rows["t"])).collect()] == ["DNA repair", "Complex III assembly"]
+
+
+def test_permutation_query_draws_the_whole_null(monkeypatch):
+    """The query runs the 100 draws that are the operator's default and the reference's."""
+    import inspect
+    from unittest.mock import MagicMock
+
+    from sliceloom.plans import queries
+
+    signature, bound = inspect.signature(queries.T.permutation_null), []
+    monkeypatch.setattr(queries.A, "points", MagicMock())
+    monkeypatch.setattr(queries, "rounded", lambda df, *_: df)
+    monkeypatch.setattr(queries.T, "permutation_null", lambda *a, **k: bound.append(signature.bind(*a, **k)))
+    queries.proximity_permutation(None, "")
+    bound[0].apply_defaults()
+    assert bound[0].arguments["draws"] == 100
