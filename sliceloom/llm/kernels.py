@@ -31,15 +31,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n, kept for the next call."""
+    """base^i and base^-i modulo 2^64 for i < n; the first 2^20 are kept for the next call."""
     key = int(base)
-    if key not in _POWERS or len(_POWERS[key][0]) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
-        inverse = U(pow(key, -1, 2**64))
-        up, down = np.full(size, base, U), np.full(size, inverse, U)
-        up[0] = down[0] = 1
-        _POWERS[key] = np.cumprod(up), np.cumprod(down)
-    return _POWERS[key]
+    if key in _POWERS and len(_POWERS[key][0]) >= n:
+        return _POWERS[key]
+    size = max(1 << 20, n)
+    up, down = np.full(size, base, U), np.full(size, U(pow(key, -1, 2**64)), U)
+    up[0] = down[0] = 1
+    found = np.cumprod(up), np.cumprod(down)
+    if size == 1 << 20:
+        _POWERS[key] = found
+    return found
 
 
 def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,13 +58,14 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[first : int(offsets[-1]) if len(offsets) else 0], offsets - first
 
 
-def blocks(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of whole texts of about `most` bytes (a longer text stands alone)."""
+def blocks(offsets: np.ndarray, most: int = 2 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of about `most` bytes and at most `rows` texts (a longer text stands alone)."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
+        i = j
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,13 +83,32 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+def word_runs(starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of words within `most` bytes (a longer word stands alone)."""
+    i, n = 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
+        yield i, j
+        i = j
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, U)
-    up, down = _powers(_BASE, len(data))
-    total = np.cumsum((_LOWER if lower else _VALUES)[data] * up[: len(data)])
-    before = np.where(starts > 0, total[starts - 1], U(0))
-    return mix((total[ends - 1] - before) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+    return part_hashes(data, starts, ends, [ends], lower)[0]
+
+
+def part_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: list[np.ndarray], lower: bool) -> list[np.ndarray]:
+    """For each array of cuts (starts < cut <= ends) the hashes of the words' beginnings up to it; memory stays near that of 1 MiB of text, or of the longest word."""
+    out = [np.empty(len(starts), U) for _ in cuts]
+    for i, j in word_runs(starts, ends):
+        lo = int(starts[i])
+        part = data[lo : int(ends[j - 1])]
+        up, down = _powers(_BASE, len(part))
+        total = np.cumsum((_LOWER if lower else _VALUES)[part] * up[: len(part)])
+        at = starts[i:j] - lo
+        before, back = np.where(at > 0, total[at - 1], U(0)), down[at]
+        for found, cut in zip(out, cuts, strict=True):
+            found[i:j] = mix((total[cut[i:j] - lo - 1] - before) * back + (cut[i:j] - starts[i:j]).astype(U) * U(0xA24BAED4963EE407))
+    return out
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -1,11 +1,14 @@
 """Quality classifier from weak labels: overlapping heuristics, their accuracies by expectation-maximisation, and a hashed linear scorer.
 
-Two questions are asked of a text, each with heuristics of its own: is it prose (and not markup debris, tables,
-shouting or stutter), and is it free of abuse. A heuristic votes bad or keeps silent; as there are many ways
-to be bad, silence tells only where all heuristics keep it. Annotations of some texts, where there are any, are one labeller more, whose accuracy
-is estimated like the others' and whose silence tells nothing. Votes are counted over the whole
-corpus as patterns, so what the driver fits on is bounded; posteriors of a bounded sample train the scorer, which then
-decides on every text.
+Two questions are asked of a text, each with labellers of its own: is it prose (and not markup debris, tables,
+shouting or stutter), and is it free of abuse. A labeller votes bad or keeps silent; as there are many ways to be bad,
+silence tells only where all of them keep it. For abuse the labellers are lists of insults that share no word, and a
+lexicon of word beginnings learned from annotated texts: insults are an open class, differ by language and are
+inflected, so no list holds them. The lexicon is cross-fitted: a text is judged by what the other half of the annotated
+sample taught, so its accuracy is estimated on texts that it has not seen. Annotations of some texts, where there are
+any, are one labeller more, whose accuracy is estimated like the others' and whose silence tells nothing. Votes are
+counted over the whole corpus as patterns, so what the driver fits on is bounded; posteriors of a bounded sample train
+the scorer, which then decides on every text.
 """
 
 from __future__ import annotations
@@ -16,26 +19,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sliceloom.llm import kernels as K
 
-#: Insults by overlapping lists, and frequent function words of four languages.
+#: Insults by what they call somebody, in lists that share no word, and frequent function words of four languages.
 INSULTS = (
-    ("idiot", "moron", "stupid", "imbecile", "dumb", "fool"),
-    ("trash", "scum", "garbage", "vermin", "filth", "clown", "loser"),
+    ("idiot", "moron", "stupid", "imbecile", "dumb", "fool", "clown"),
+    ("trash", "scum", "garbage", "vermin", "filth", "loser", "bastard"),
     ("worthless", "pathetic", "disgusting", "useless", "hateful"),
-    ("idiot", "scum", "worthless", "moron", "trash", "pathetic", "loser", "bastard"),
-    ("stupid", "clown", "disgusting", "idiot", "trash", "worthless", "scum", "moron", "loser", "pathetic"),
 )
 COMMON = "a an and are as at be by for from he her his i in is it of on or that the this to was were with you " "der die das und ist nicht ein eine zu den dem von mit auf für im es ich sie er sich des " "le la les de et un une des du en est que qui dans pour pas sur au par ce " "el los las y que en un una por con se su para del al es lo como"
-#: Bound of the sample that trains the scorer, in documents, by expectation; the sample is fixed by a hash of the id.
+#: Bound of the sample that trains the scorer and the lexicon, in documents, by expectation; the sample is fixed by a hash of the id.
 SAMPLE = 6000
-WORD_BITS = 17
-#: Bytes of a word's beginning that are a feature of their own.
-STEM = 5
+#: Code points of a word's beginnings that are features beside the word.
+STEMS = (3, 4, 5, 6)
+#: UTF-8 bytes and texts of a block that Python looks at in one go.
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 18, 1024
+#: Words of ordinary text that every share is smoothed by: few words move a share little.
+SMOOTH = 8
+#: How many times as often the lexicon's beginnings must stand in bad texts, and texts that a feature must stand in to weigh.
+TELLING, LEAST_DF = 50, 5
+#: Shares of a text's words that make features of their own where a word or beginning stands twice at least.
+DENSE = (1 / 400, 1 / 100, 1 / 30)
 SILENT, BAD, GOOD = 0, 1, 2
 
 _CLASSES = np.full(256, 9, np.uint16)  # other signs
@@ -45,7 +53,8 @@ for _c, _k in ((0x20, 4), (0x0A, 5), (0x2E, 6), (0x2C, 7), (0x7C, 8)):
 #: Triples of byte classes, and the numbers the prose heuristics look at.
 TRIPLES, MEASURES = 1000, 7
 SHAPES = TRIPLES + MEASURES
-PROSE, ABUSE = 7, len(INSULTS)
+#: Heuristics of each question; the lexicon is the last one on abuse.
+PROSE, ABUSE = 7, len(INSULTS) + 1
 
 
 def _word_hash(words) -> np.ndarray:
@@ -57,81 +66,139 @@ _COMMON_HASH, _INSULT_HASH = _word_hash(set(COMMON.split())), [_word_hash(set(x)
 
 
 def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), bool)
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
 @dataclass
 class Block:
-    """What one block of texts has: counts of byte classes and words, word hashes, and bytes by class."""
+    """What one block of texts has: byte classes, and the hashes of words and of their beginnings (0 where a word is no longer than that)."""
 
     classes: np.ndarray
     offsets: np.ndarray
     words: np.ndarray
-    stems: np.ndarray
+    stems: list[np.ndarray]
     first: np.ndarray
 
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray) -> Block:
-        edge = _CLASSES[data] >= 4  # words for the lists are runs of letters and digits
-        clean = np.where(edge, np.uint8(0x20), data)
+        classes = _CLASSES[data]
+        clean = np.where(classes >= 4, np.uint8(0x20), data)  # words for the lists are runs of letters and digits
         starts, ends, first = K.word_bounds(clean, offsets)
-        stems = K.mix(K.word_hashes(clean, starts, np.minimum(ends, starts + STEM), lower=True))
-        return cls(_CLASSES[data], offsets, K.word_hashes(clean, starts, ends, lower=True), stems, first)
+        points = np.flatnonzero((clean & 0xC0) != 0x80)
+        own = np.searchsorted(points, starts)
+        cuts = [np.maximum(starts + 1, np.minimum(ends, points[np.minimum(own + k, len(points) - 1)])) if len(points) else ends for k in STEMS]
+        words, *stems = K.part_hashes(clean, starts, ends, [ends, *cuts], lower=True)
+        stems = [np.where(cut < ends, K.mix(h + np.uint64(k)), np.uint64(0)) for k, cut, h in zip(STEMS, cuts, stems, strict=True)]
+        return cls(classes, offsets, words, stems, first)
 
     def per_text(self, hit: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate(([0], np.cumsum(hit)))[bounds])
 
     def measures(self) -> np.ndarray:
-        """texts x MEASURES: runs of signs a word, upper-case share, pipes a word, signs a byte, common words, stops a word, repeats of the word before."""
+        """texts x MEASURES: runs of signs a word, upper-case share, pipes a word, signs a byte, common words, stops a word, repeats of the word before; each smoothed by SMOOTH words of ordinary text."""
         c, n = self.classes, np.diff(self.first)
         count = {k: self.per_text(c == k, self.offsets) for k in (0, 1, 2, 3, 6, 7, 8, 9)}
-        words = np.maximum(n, 1)
+        words, letters = n + SMOOTH, 5 * SMOOTH
         pair, again = np.zeros(len(c), bool), np.zeros(len(self.words), bool)
         pair[1:] = (c[1:] == 9) & (c[:-1] == 9)
         again[1:] = self.words[1:] == self.words[:-1]
         again[self.first[:-1][n > 0]] = False
         parts = (
             self.per_text(pair, self.offsets) / words,
-            count[1] / np.maximum(count[0] + count[1] + count[3], 1),
+            count[1] / (count[0] + count[1] + count[3] + letters),
             count[8] / words,
-            (count[9] + count[8] + count[2]) / np.maximum(np.diff(self.offsets), 1),
-            self.per_text(_in(self.words, _COMMON_HASH), self.first) / words,
-            (count[6] + count[7]) / words,
+            (count[9] + count[8] + count[2]) / (np.diff(self.offsets) + letters),
+            (self.per_text(_in(self.words, _COMMON_HASH), self.first) + 0.3 * SMOOTH) / words,
+            (count[6] + count[7] + 0.1 * SMOOTH) / words,
             self.per_text(again, self.first) / words,
         )
         return np.stack(parts, axis=1) if len(n) else np.zeros((0, MEASURES))
 
     def votes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Base-3 patterns of the votes on prose and on abuse; heuristics vote bad or keep silent."""
+        """Base-3 patterns of the votes on prose and of the lists on abuse; heuristics vote bad or keep silent."""
         runs, upper, pipes, signs, common, stops, again = self.measures().T
-        enough = np.diff(self.first) >= 12
-
-        prose = [np.where(bad & enough, BAD, SILENT) for bad in (runs > 0.1, upper > 0.2, pipes > 0.05, signs > 0.06, common < 0.08, stops < 0.03, again > 0.25)]
+        prose = [np.where(bad, BAD, SILENT) for bad in (runs > 0.1, upper > 0.2, pipes > 0.05, signs > 0.06, common < 0.08, stops < 0.03, again > 0.25)]
         abuse = [np.where(self.per_text(_in(self.words, h), self.first) > 0, BAD, SILENT) for h in _INSULT_HASH]
         return tuple(sum(v * 3**i for i, v in enumerate(votes)).astype(np.int64) for votes in (prose, abuse))
 
-    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(buckets of distinct words and of their first letters, their first per text, shares of byte-class triples and measures per text)."""
-        n = len(self.first) - 1
-        owner = np.repeat(np.arange(n), np.diff(self.first))
-        both = np.concatenate((self.words, self.stems)) >> np.uint64(64 - WORD_BITS)
-        buckets, first = K.distinct_sets(both, np.concatenate((owner, owner)), n)
-        c = self.classes.astype(np.int64)
-        shapes = np.zeros((n, SHAPES), np.float32)
-        shapes[:, TRIPLES:] = self.measures()
-        for i in range(n):
+    def bases(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(30-bit hashes, their texts): words, then each length of beginnings, as often as they stand."""
+        owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        for hashes in (self.words, *self.stems):
+            there = np.flatnonzero(hashes)
+            yield (hashes[there] >> np.uint64(34)).astype(np.uint32), owner[there]
+
+    def levels(self, bases: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Ascending text << 32 | feature of the distinct features: a hash and 0 for its presence, 1 to 3 where it stands twice and as densely as DENSE."""
+        keys, times = np.unique(owner.astype(np.int64) << 30 | bases, return_counts=True)
+        density = times / np.maximum(1, np.diff(self.first))[keys >> 30]
+        parts = [keys << 2] + [keys[(times > 1) & (density >= least)] << 2 | t for t, least in enumerate(DENSE, 1)]
+        return np.sort(np.concatenate(parts))
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """(32-bit features, first): those of text i are features[first[i]:first[i + 1]]."""
+        keys = self.levels(*(np.concatenate(x) for x in zip(*self.bases(), strict=True)))
+        return (keys & 0xFFFFFFFF).astype(np.uint32), np.searchsorted(keys, np.arange(len(self.first), dtype=np.int64) << 32)
+
+    def kinds(self) -> np.ndarray:
+        """The smallest shingle hash of each text: near copies mostly share it, other texts do not."""
+        hashes, owner = K.shingles(self.words, self.first)
+        out = np.zeros(len(self.first) - 1, np.uint64)
+        if len(owner):
+            at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            out[owner[at]] = np.minimum.reduceat(hashes, at)
+        return out.view(np.int64)
+
+    def shapes(self) -> np.ndarray:
+        """texts x SHAPES: shares of byte-class triples, and measures."""
+        c = self.classes
+        out = np.zeros((len(self.offsets) - 1, SHAPES), np.float32)
+        out[:, TRIPLES:] = self.measures()
+        for i in range(len(out)):
             part = c[self.offsets[i] : self.offsets[i + 1]]
             if len(part) > 2:
-                shapes[i, :TRIPLES] = np.bincount(part[:-2] * 100 + part[1:-1] * 10 + part[2:], minlength=TRIPLES) / (len(part) - 2)
-        return buckets.astype(np.int64), first, shapes
+                out[i, :TRIPLES] = np.bincount(part[:-2] * 100 + part[1:-1] * 10 + part[2:], minlength=TRIPLES) / (len(part) - 2)
+        return out
 
 
 def blocks_of(texts: pa.Array) -> Iterator[tuple[int, int, Block]]:
     data, offsets = K.buffers(texts)
-    for i, j in K.blocks(offsets, 1 << 20):
+    for i, j in K.blocks(offsets, BLOCK_BYTES, BLOCK_TEXTS):
         yield i, j, Block.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
+class Weights:
+    """Weights of few features among 2^32: a text's sum over its distinct ones."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray):
+        order = np.argsort(features)
+        self.features, self.weights = features[order], weights[order]
+        self._bases = np.unique(self.features >> np.uint32(2))
+        self._some: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_some": None}
+
+    def sums(self, block: Block) -> np.ndarray:
+        n = len(block.first) - 1
+        if not len(self.features):
+            return np.zeros(n)
+        if self._some is None:  # one bit for the upper half of a hash passes few words on
+            self._some = np.zeros(1 << 16, bool)
+            self._some[self._bases >> np.uint32(14)] = True
+        found = []
+        for bases, owner in block.bases():
+            near = np.flatnonzero(self._some[bases >> np.uint32(14)])
+            near = near[_in(bases[near], self._bases)]
+            found.append((bases[near], owner[near]))
+        keys = block.levels(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        features = (keys & 0xFFFFFFFF).astype(np.uint32)
+        hit = _in(features, self.features)
+        return np.bincount(keys[hit] >> 32, weights=self.weights[np.searchsorted(self.features, features[hit])], minlength=n)
+
+
 @dataclass
 class Labellers:
     """Accuracies of overlapping labellers, the last one the annotator: the share of bad, P(vote | bad or good) of each, and of all heuristics' silence."""
@@ -162,7 +229,7 @@ def estimate(counts: dict[int, int], labellers: int, rounds: int = 200) -> Label
     weight = np.array([counts[int(p)] for p in patterns], float)
     votes = (patterns[:, None] // 3 ** np.arange(labellers)) % 3
     quiet = (votes[:, :-1] == SILENT).all(axis=1)
-    p = np.where((votes == BAD).any(axis=1), np.where(votes[:, -1] == GOOD, 0.5, 0.9), 0.02)
+    p = np.where((votes == BAD).any(axis=1), np.where(votes[:, -1] == GOOD, 0.1, 0.9), 0.02)
     found = even
     for _ in range(rounds):
         table, silence = np.ones((labellers, 2, 3)), np.empty(2)
@@ -182,56 +249,108 @@ def estimate(counts: dict[int, int], labellers: int, rounds: int = 200) -> Label
 
 @dataclass
 class Scorer:
-    """A linear scorer over hashed words present and byte-class triples: probability of bad."""
+    """A linear scorer over hashed words and beginnings present, and byte-class triples: probability of bad."""
 
-    words: np.ndarray
-    shapes: np.ndarray
+    words: Weights
+    shapes: np.ndarray | None
     bias: float
 
-    def __call__(self, buckets: np.ndarray, first: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        total = np.concatenate((np.zeros(1), np.cumsum(self.words[buckets])))
-        return 1 / (1 + np.exp(-np.clip(np.diff(total[first]) + shapes @ self.shapes + self.bias, -40, 40)))
+    def __call__(self, block: Block, shapes: np.ndarray) -> np.ndarray:
+        z = self.words.sums(block) + self.bias
+        if self.shapes is not None:
+            z = z + shapes @ self.shapes
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
 
+def telling(flat: np.ndarray, owner: np.ndarray, target: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, log ratios of their rates in bad and good texts): those whose rates differ by more than chance.
 
-def train(buckets: np.ndarray, first: np.ndarray, shapes: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 150, least_df: int = 6) -> Scorer:
-    """Weighted logistic regression on soft targets by Adam; words in fewer than least_df texts get no weight. Deterministic."""
-    n, size = len(target), 1 << WORD_BITS
-    words, shape_w = np.zeros(size), np.zeros(SHAPES)
-    weight = weight / max(1e-9, weight.sum())
+    flat: distinct features of each text, owner: their texts, target: probability of bad, share: how much a text counts
+    (near copies one between them). The test is the likelihood ratio of the two rates, held against twice the log of
+    the number of features, so few of them pass by chance however many are tried; a feature of fewer than LEAST_DF
+    texts never passes.
+    """
+    features, place = np.unique(flat, return_inverse=True)
+    classes = share * (1 - target), share * target
+    there = np.stack([np.bincount(place, weights=c[owner], minlength=len(features)) for c in classes])
+    n = np.array([c.sum() for c in classes])
+    rate, both = (there + 0.5) / (n[:, None] + 1), there.sum(axis=0) / max(1e-9, n.sum())
+    g = np.zeros(len(features))
+    for y in (0, 1):
+        for seen, mean in ((there[y], both), (n[y] - there[y], 1 - both)):
+            g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(n[y] * mean, 1e-12)), 0.0)
+    passed = (g > np.log(max(2, len(features))) + 5) & (there.sum(axis=0) >= LEAST_DF)
+    return features[passed], np.log(rate[1] / rate[0])[passed]
+
+
+def _descend(at: np.ndarray, first: np.ndarray, scale: np.ndarray, shapes: np.ndarray | None, target: np.ndarray, weight: np.ndarray, strength: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weighted logistic regression on soft targets by Adam: (weights of features times scale, of shapes, bias). Deterministic."""
+    n, size, wide = len(target), len(scale), 0 if shapes is None else shapes.shape[1]
     share = float(np.clip((weight * target).sum(), 1e-3, 1 - 1e-3))
-    bias = float(np.log(share / (1 - share)))
-    if not n:
-        return Scorer(words, shape_w, bias)
-    owner = np.repeat(np.arange(n), np.diff(first))
-    frequent = np.bincount(buckets, minlength=size) >= least_df
-    keep = frequent[buckets]
-    buckets, owner = buckets[keep].astype(np.int32), owner[keep].astype(np.int32)
-    first = np.searchsorted(owner, np.arange(n + 1))
-    scale = 30.0  # shares are small numbers
-    shapes = shapes * np.float32(scale)
-    state = [np.zeros(size + SHAPES + 1) for _ in range(2)]
+    x = np.concatenate((np.zeros(size + wide), [np.log(share / (1 - share))]))
+    owner, state = np.repeat(np.arange(n), np.diff(first)), [np.zeros(len(x)) for _ in range(2)]
     for step in range(1, rounds + 1):
-        gradient = np.concatenate((2e-5 * words, 1e-5 * shape_w, np.zeros(1)))
-        for i in range(0, n, 500):  # small blocks: the driver's memory stays near the sample's size
-            j = min(n, i + 500)
-            part, rows = buckets[first[i] : first[j]], shapes[i:j]
-            z = np.diff(np.concatenate((np.zeros(1), np.cumsum(words[part])))[first[i : j + 1] - first[i]]) + rows @ shape_w + bias
-            miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target[i:j]) * weight[i:j]
-            gradient[:size] += np.bincount(part, weights=miss[owner[first[i] : first[j]] - i], minlength=size)
-            gradient[size:-1] += miss @ rows
-            gradient[-1] += miss.sum()
+        z = np.bincount(owner, weights=(x[:size] * scale)[at], minlength=n) + x[-1]
+        if wide:
+            z += shapes @ x[size:-1].astype(np.float32)
+        miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) * weight
+        gradient = np.concatenate((np.bincount(at, weights=miss[owner], minlength=size) * scale, (miss.astype(np.float32) @ shapes) if wide else (), [miss.sum()]))
+        gradient[:-1] += strength * x[:-1]
         state[0] = 0.9 * state[0] + 0.1 * gradient
-        state[1] = 0.999 * state[1] + 0.001 * gradient * gradient
-        move = 0.07 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
-        move[:size][~frequent] = 0
-        words, shape_w, bias = words - move[:size], shape_w - move[size:-1], bias - move[-1]
-    return Scorer(words, shape_w * scale, bias)
+        state[1] = 0.99 * state[1] + 0.01 * gradient * gradient
+        x = x - 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
+    return x[:size] * scale, x[size:-1], float(x[-1])
+
+
+#: Strengths of the penalty that are tried on held-out rows.
+STRENGTHS = (1e-4, 1e-3, 1e-2)
+#: Shares are small numbers; this brings them near the others.
+_SCALE = 30.0
+
+
+def train(flat: np.ndarray, first: np.ndarray, shapes: np.ndarray | None, target: np.ndarray, share: np.ndarray, rate: np.ndarray, rounds: int = 120) -> Scorer:
+    """A scorer of soft targets. Features are screened by telling() and enter scaled by their log ratios; every fifth row is held out to choose the penalty, then all rows train. Deterministic."""
+    n, weight = len(target), share / rate
+    if not n or target.max() - target.min() < 1e-6:
+        mean = float(np.clip(target.mean(), 1e-3, 0.1)) if n else 0.1
+        return Scorer(Weights(np.zeros(0, np.uint32), np.zeros(0)), None, float(np.log(mean / (1 - mean))))
+    dense = None if shapes is None else shapes * np.float32(_SCALE)
+    owner = np.repeat(np.arange(n), np.diff(first))
+
+    def fitted(rows: np.ndarray, strengths: tuple[float, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+        """(features, their weights, those of shapes, bias) for each strength."""
+        number, use = np.cumsum(rows) - 1, rows[owner]
+        features, scale = telling(flat[use], number[owner[use]], target[rows], share[rows])
+        use &= _in(flat, features)
+        at, ends = np.searchsorted(features, flat[use]), np.searchsorted(number[owner[use]], np.arange(rows.sum() + 1))
+        for strength in strengths:
+            yield features, *_descend(at, ends, scale, None if dense is None else dense[rows], target[rows], weight[rows] / weight[rows].sum(), strength, rounds)
+
+    best, out = STRENGTHS[0], np.arange(n) % 5 == 4
+    if out.any() and 0 < target[~out].sum() < (~out).sum():
+        losses = []
+        for features, w, d, bias in fitted(~out, STRENGTHS):
+            use = out[owner] & _in(flat, features)
+            z = np.bincount(owner[use], weights=w[np.searchsorted(features, flat[use])], minlength=n)[out] + bias + (0 if dense is None else dense[out] @ d)
+            p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-6, 1 - 1e-6)
+            losses.append(-(weight[out] * (target[out] * np.log(p) + (1 - target[out]) * np.log(1 - p))).sum())
+        best = STRENGTHS[int(np.argmin(losses))]
+    features, w, d, bias = next(fitted(np.ones(n, bool), (best,)))
+    return Scorer(Weights(features, w), None if dense is None else d * _SCALE, bias)
+
+
+def lexicon(flat: np.ndarray, owner: np.ndarray, target: np.ndarray, share: np.ndarray) -> Weights:
+    """Words and beginnings that stand at least TELLING times as often in bad texts, by more than chance."""
+    features, ratio = telling(flat, owner, target, share)
+    strong = ratio >= np.log(TELLING)
+    return Weights(features[strong], np.ones(int(strong.sum())))
 
 
 @dataclass
 class Model:
-    """Fitted on one corpus: labellers and a scorer for each question."""
+    """Fitted on one corpus: a lexicon of abuse for each half of the rows, labellers and a scorer for each question."""
 
+    lexicons: tuple[Weights, Weights]
     prose: Labellers
     abuse: Labellers
     prose_scorer: Scorer
@@ -246,21 +365,127 @@ def _annotations(labels: DataFrame) -> DataFrame:
     return worst.select(F.col("doc_id").alias("_id"), turned("q").alias("said_prose"), turned("t").alias("said_abuse"))
 
 
+def half_of(doc_id: Column) -> Column:
+    """0 or 1 by a hash of the id: a row's half, whose lexicon is learned on the other one."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(2)).cast("int")
+
+
+def _learned(block: Block, half: np.ndarray, lexicons: tuple[Weights, Weights]) -> np.ndarray:
+    """The lexicon's vote on each text, in its place of the pattern."""
+    bad = np.where(half == 0, lexicons[0].sums(block) > 0, lexicons[1].sums(block) > 0)
+    return np.where(bad, BAD, SILENT).astype(np.int64) * 3 ** len(INSULTS)
+
+
+@dataclass
+class Sample:
+    """The rows that train: distinct features of each, shapes, votes and what was said, halves and rates, and how much each counts (near copies one between them); in an order that does not depend on tasks."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    shapes: np.ndarray
+    prose: np.ndarray
+    abuse: np.ndarray
+    half: np.ndarray
+    rate: np.ndarray
+    share: np.ndarray
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.rate)), np.diff(self.first))
+
+
+_DESCRIBED = "words binary, shapes binary, prose long, abuse long, half int, rate double, kind long"
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, said_prose, said_abuse, half, rate -> what a Sample has of the row; the lexicon's vote is not known yet."""
+    for batch in batches:
+        said = [batch.column(c).to_numpy() for c in ("said_prose", "said_abuse")]
+        for i, j, block in blocks_of(batch.column("text")):
+            flat, first = block.features()
+            words = [flat[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
+            prose, abuse = block.votes()
+            shapes = [x.tobytes() for x in block.shapes().astype(np.float16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(shapes, pa.binary()), pa.array(prose + said[0][i:j] * 3**PROSE), pa.array(abuse + said[1][i:j] * 3**ABUSE), batch.column("half").slice(i, j - i), batch.column("rate").slice(i, j - i), pa.array(block.kinds())],
+                names=["words", "shapes", "prose", "abuse", "half", "rate", "kind"],
+            )
+
+
+def _gathered(chosen: DataFrame) -> Sample:
+    """chosen (text, said_prose, said_abuse, half, rate): about as many rows as the sample's bound, brought to the driver."""
+    table = chosen.mapInArrow(_describe, _DESCRIBED).toArrow()
+    words, shapes = (table.column(c).to_pylist() for c in ("words", "shapes"))
+    order = sorted(range(len(words)), key=lambda i: (zlib.crc32(words[i]), zlib.crc32(shapes[i]), len(words[i])))  # tasks end in any order; sums of floats should not
+    dense = np.empty((len(order), SHAPES), np.float32)
+    for k, i in enumerate(order):
+        dense[k] = np.frombuffer(shapes[i], np.float16)
+    seen = np.sort(np.frombuffer(b"".join(words), np.uint32))
+    ends = np.flatnonzero(np.concatenate((seen[1:] != seen[:-1], [True]))) if len(seen) else np.zeros(0, np.int64)
+    frequent = seen[ends[np.diff(np.concatenate(([-1], ends))) >= LEAST_DF]]  # others never pass the test
+    del seen, ends
+    parts = [np.frombuffer(words[i], np.uint32) for i in order]
+    parts = [x[_in(x, frequent)] for x in parts]
+    sizes = np.array([len(x) for x in parts], np.int64)
+    rest = [table.column(c).to_numpy()[order] if order else np.zeros(0, np.int64) for c in ("prose", "abuse", "half", "rate")]
+    _, kind, copies = np.unique(table.column("kind").to_numpy()[order] if order else [], return_inverse=True, return_counts=True)
+    return Sample(np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))), dense, *rest, 1 / copies[kind])
+
+
+def _no_lexicons() -> tuple[Weights, Weights]:
+    return Weights(np.zeros(0, np.uint32), np.zeros(0)), Weights(np.zeros(0, np.uint32), np.zeros(0))
+
+
+def _cross_fitted(sample: Sample) -> tuple[Weights, Weights]:
+    """For each half the lexicon of the other half's annotated rows."""
+    said, owner, out = sample.abuse // 3**ABUSE, sample.owner, []
+    for half in (0, 1):
+        rows = (sample.half != half) & (said != SILENT)
+        number, use = np.cumsum(rows) - 1, rows[owner]
+        bad = (said[rows] == BAD).astype(float)
+        out.append(lexicon(sample.flat[use], number[owner[use]], bad, sample.share[rows]) if 0 < bad.sum() < len(bad) else _no_lexicons()[0])
+    return out[0], out[1]
+
+
+def _sample_votes(sample: Sample, lexicons: tuple[Weights, Weights]) -> np.ndarray:
+    """The rows' patterns on abuse with the lexicons' votes."""
+    owner, bad = sample.owner, np.zeros(len(sample.rate), bool)
+    for half, known in enumerate(lexicons):
+        hit = np.bincount(owner, weights=_in(sample.flat, known.features), minlength=len(bad)) > 0
+        bad |= hit & (sample.half == half)
+    return sample.abuse + np.where(bad, BAD, SILENT) * 3 ** len(INSULTS)
+
+
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Model:
-    """Vote patterns are counted over all rows. The scorers see about `sample` rows, fixed by a hash of the id.
+    """Vote patterns are counted over all rows. The lexicons and the scorers see about `sample` rows, fixed by a hash of the id.
 
     With labels (doc_id, quality 0/1, toxic 0/1) that hold bad ones the sample is of annotated rows: half of those
-    annotated bad, half of the others, weighted back to their shares.
+    annotated bad, half of the others, weighted back to their shares. Without, there is no lexicon, and half of the
+    sample is of rows on which some heuristic votes, half of the others.
     """
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text").withColumn("half", half_of(F.col("doc_id")))
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 33)
+    part = lambda wanted, there: min(1.0, wanted / max(1, there))
+    said, rows, lexicons, rare = None, None, _no_lexicons(), 0
+    if labels is not None:
+        said = _annotations(labels)
+        bad = (F.col("said_prose") == BAD) | (F.col("said_abuse") == BAD)
+        rare, told = said.agg(F.coalesce(F.sum(bad.cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    if rare:
+        rates = part(sample / 2, rare), part(sample / 2, told - rare)
+        ids = said.withColumn("rate", F.when(bad, rates[0]).otherwise(rates[1])).withColumnRenamed("_id", "doc_id").where(hashed < F.col("rate") * 2**31)
+        chosen = texts.join(F.broadcast(ids), "doc_id")  # about `sample` ids
+        rows = _gathered(chosen.select("text", "said_prose", "said_abuse", "half", "rate"))
+        lexicons = _cross_fitted(rows)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            half = batch.column("half").to_numpy()
             for i, j, block in blocks_of(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *map(pa.array, block.votes())], names=["doc_id", "prose", "abuse"])
+                prose, abuse = block.votes()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(prose), pa.array(abuse + _learned(block, half[i:j], lexicons))], names=["doc_id", "prose", "abuse"])
 
     votes = texts.mapInArrow(vote, "doc_id long, prose long, abuse long")
-    said = _annotations(labels) if labels is not None else None
     if said is not None:
         votes = votes.join(said, F.col("doc_id") == F.col("_id"), "left")
     else:
@@ -268,52 +493,60 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     whole = [(F.col("prose") + F.coalesce("said_prose", F.lit(0)) * 3**PROSE).alias("prose"), (F.col("abuse") + F.coalesce("said_abuse", F.lit(0)) * 3**ABUSE).alias("abuse")]
     counts = votes.select(*whole).groupBy("prose", "abuse").agg(F.count(F.lit(1)).alias("n")).collect()  # at most a row for each pair of patterns
     tables: tuple[dict[int, int], dict[int, int]] = ({}, {})
-    told, rare, total = 0, 0, 0
     for r in counts:
-        total += r["n"]
-        q, t = r["prose"] // 3**PROSE, r["abuse"] // 3**ABUSE
-        told += r["n"] * bool(q or t)
-        rare += r["n"] * (BAD in (q, t))
         for table, k in zip(tables, (r["prose"], r["abuse"]), strict=True):
             table[k] = table.get(k, 0) + r["n"]
     prose, abuse = estimate(tables[0], PROSE + 1), estimate(tables[1], ABUSE + 1)
-    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 33)
-    part = lambda wanted, there: min(1.0, wanted / max(1, there))
-    if rare:
-        rates = part(sample / 2, rare), part(sample / 2, told - rare)
-        bad = (F.col("said_prose") == BAD) | (F.col("said_abuse") == BAD)
-        ids = said.withColumnsRenamed({"_id": "doc_id"}).withColumn("rate", F.when(bad, rates[0]).otherwise(rates[1])).where(hashed < F.col("rate") * 2**31)
-        chosen = texts.join(F.broadcast(ids), "doc_id")  # about `sample` ids
-    else:
-        rate = part(sample, total)
-        chosen = texts.where(hashed < F.lit(rate * 2**31)).withColumns({"said_prose": F.lit(0).cast("long"), "said_abuse": F.lit(0).cast("long"), "rate": F.lit(rate)})
-    chosen = chosen.select("text", "said_prose", "said_abuse", "rate")
+    if rows is None:
+        heard = lambda p, a: (p % 3**PROSE > 0) | (a % 3**ABUSE > 0)
+        loud = sum(r["n"] for r in counts if heard(r["prose"], r["abuse"]))
+        rates = part(sample / 2, sum(r["n"] for r in counts) - loud), part(sample / 2, loud)
+        rows = _gathered(_by_votes(texts.withColumn("hashed", hashed), rates, said))
+    patterns = rows.prose, _sample_votes(rows, lexicons)
+    targets = [known.bad(p) for known, p in zip((prose, abuse), patterns, strict=True)]
+    scorers = [train(rows.flat, rows.first, s, t, rows.share, rows.rate) for s, t in zip((rows.shapes, None), targets, strict=True)]
+    return Model(lexicons, prose, abuse, *scorers)
+
+
+def _by_votes(texts: DataFrame, rates: tuple[float, float], said: DataFrame | None) -> DataFrame:
+    """Rows of texts by the hash of their id, at one rate where all heuristics are silent and another where some votes."""
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hashed = batch.column("hashed").to_numpy()
             for i, j, block in blocks_of(batch.column("text")):
-                (p, a), (buckets, first, shapes) = block.votes(), block.features()
-                p, a = p + batch.column("said_prose").slice(i, j - i).to_numpy() * 3**PROSE, a + batch.column("said_abuse").slice(i, j - i).to_numpy() * 3**ABUSE
-                words = [buckets[first[k] : first[k + 1]].astype(np.int32).tobytes() for k in range(j - i)]
-                columns = [pa.array(p), pa.array(a), batch.column("rate").slice(i, j - i), pa.array(words, pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in shapes], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["prose", "abuse", "rate", "words", "shapes"])
-
-    rows = chosen.mapInArrow(describe, "prose long, abuse long, rate double, words binary, shapes binary").collect()  # about `sample` rows
-    rows.sort(key=lambda r: (zlib.crc32(r["words"]), zlib.crc32(r["shapes"]), len(r["words"])))  # tasks end in any order; sums of floats should not
-    buckets = [np.frombuffer(r["words"], np.int32) for r in rows]
-    first = np.concatenate(([0], np.cumsum([len(b) for b in buckets]))).astype(np.int64)
-    shapes = np.empty((len(rows), SHAPES), np.float32)
-    for i, r in enumerate(rows):
-        shapes[i] = np.frombuffer(r["shapes"], np.float16)
-    flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
-    weight = np.array([1 / r["rate"] for r in rows])
-    targets = [known.bad(np.array([r[c] for r in rows], np.int64)) for known, c in ((prose, "prose"), (abuse, "abuse"))]
-    del rows, buckets
-    scorers = [train(flat, first, shapes, target, weight) for target in targets]
-    return Model(prose, abuse, *scorers)
-
-
-_SCORES = ("weak_bad", "weak_toxic", "bad", "toxic")
+                prose, abuse = block.votes()
+                rate = np.where((prose > 0) | (abuse > 0), rates[1], rates[0])
+                at = i + np.flatnonzero(hashed[i:j] < rate * 2**31)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("doc_id", "text", "half")] + [pa.array(rate[at - i])], names=["doc_id", "text", "half", "rate"])
+
+    chosen = texts.mapInArrow(run, "doc_id long, text string, half int, rate double")
+    if said is None:
+        return chosen.withColumns({"said_prose": F.lit(0).cast("long"), "said_abuse": F.lit(0).cast("long")})
+    left = chosen.join(said, F.col("doc_id") == F.col("_id"), "left")
+    return left.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("said_prose", "said_abuse")})
+
+
+_MARKS = ("weak_bad", "weak_toxic", "bad", "toxic")
+_MARKED = T.StructType([*[T.StructField(c, T.DoubleType()) for c in _MARKS], T.StructField("kept", T.BooleanType())])
+
+
+def _marks(text: Column, doc_id: Column, model: Model) -> Column:
+    """A struct of the scores of a text and whether it is kept. Only texts go to Python and only marks come back."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, halves in batches:
+            half, parts = halves.to_numpy(), [np.zeros((len(_MARKS), 0))]
+            for i, j, block in blocks_of(texts):
+                (prose, abuse), shapes = block.votes(), block.shapes()
+                abuse = abuse + _learned(block, half[i:j], model.lexicons)
+                parts.append(np.stack((model.prose.bad(prose), model.abuse.bad(abuse), model.prose_scorer(block, shapes), model.abuse_scorer(block, shapes))))
+            values = np.concatenate(parts, axis=1)
+            kept = pa.array((values[2] < 0.5) & (values[3] < 0.5))
+            yield pa.StructArray.from_arrays([*map(pa.array, values), kept], names=_MARKED.names)
+
+    marks = F.arrow_udf(run, _MARKED)
+    return marks(text, half_of(doc_id))
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -324,25 +557,11 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
     """
     model = model or fit(docs, labels, sample)
     names = [f"_{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("text")
     plain = docs.toDF(*names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [[] for _ in _SCORES]
-            for _, _, block in blocks_of(batch.column(at)):
-                (prose, abuse), found = block.votes(), block.features()
-                for out, values in zip(parts, (model.prose.bad(prose), model.abuse.bad(abuse), model.prose_scorer(*found), model.abuse_scorer(*found)), strict=True):
-                    out.append(np.asarray(values, float))
-            values = [np.concatenate(p) if p else np.zeros(0) for p in parts]
-            kept = (values[2] < 0.5) & (values[3] < 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, values), pa.array(kept)], names=[*names, *_SCORES, "kept"])
-
-    schema = T.StructType([*plain.schema.fields, *[T.StructField(c, T.DoubleType()) for c in _SCORES], T.StructField("kept", T.BooleanType())])
-    return plain.mapInArrow(run, schema)
+    at = {c: names[docs.columns.index(c)] for c in ("text", "doc_id")}
+    return plain.select("*", _marks(F.col(at["text"]), F.col(at["doc_id"]), model).alias("_marks")).select(*names, *[F.col("_marks")[c].alias(c) for c in _MARKED.names])
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns."""
-    scored = score(docs, labels, sample=sample).where("kept")
-    return scored.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return docs.where(_marks(F.col("text"), F.col("doc_id"), fit(docs, labels, sample))["kept"])
