@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,7 @@ class Block:
     def per_text(self, hit: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate(([0], np.cumsum(hit)))[bounds])
 
+    @cached_property
     def measures(self) -> np.ndarray:
         """texts x MEASURES: runs of signs a word, upper-case share, pipes a word, signs a byte, common words, stops a word, repeats of the word before; each smoothed by SMOOTH words of ordinary text."""
         c, n = self.classes, np.diff(self.first)
@@ -118,17 +120,19 @@ class Block:
 
     def votes(self) -> tuple[np.ndarray, np.ndarray]:
         """Base-3 patterns of the votes on prose and of the lists on abuse; heuristics vote bad or keep silent."""
-        runs, upper, pipes, signs, common, stops, again = self.measures().T
+        runs, upper, pipes, signs, common, stops, again = self.measures.T
         prose = [np.where(bad, BAD, SILENT) for bad in (runs > 0.1, upper > 0.2, pipes > 0.05, signs > 0.06, common < 0.08, stops < 0.03, again > 0.25)]
         abuse = [np.where(self.per_text(_in(self.words, h), self.first) > 0, BAD, SILENT) for h in _INSULT_HASH]
         return tuple(sum(v * 3**i for i, v in enumerate(votes)).astype(np.int64) for votes in (prose, abuse))
 
-    def bases(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    @cached_property
+    def bases(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(30-bit hashes, their texts): words, then each length of beginnings, as often as they stand."""
-        owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        owner, out = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)), []
         for hashes in (self.words, *self.stems):
             there = np.flatnonzero(hashes)
-            yield (hashes[there] >> np.uint64(34)).astype(np.uint32), owner[there]
+            out.append(((hashes[there] >> np.uint64(34)).astype(np.uint32), owner[there]))
+        return out
 
     def levels(self, bases: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Ascending text << 32 | feature of the distinct features: a hash and 0 for its presence, 1 to 3 where it stands twice and as densely as DENSE."""
@@ -139,7 +143,7 @@ class Block:
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(32-bit features, first): those of text i are features[first[i]:first[i + 1]]."""
-        keys = self.levels(*(np.concatenate(x) for x in zip(*self.bases(), strict=True)))
+        keys = self.levels(*(np.concatenate(x) for x in zip(*self.bases, strict=True)))
         return (keys & 0xFFFFFFFF).astype(np.uint32), np.searchsorted(keys, np.arange(len(self.first), dtype=np.int64) << 32)
 
     def kinds(self) -> np.ndarray:
@@ -155,7 +159,7 @@ class Block:
         """texts x SHAPES: shares of byte-class triples, and measures."""
         c = self.classes
         out = np.zeros((len(self.offsets) - 1, SHAPES), np.float32)
-        out[:, TRIPLES:] = self.measures()
+        out[:, TRIPLES:] = self.measures
         for i in range(len(out)):
             part = c[self.offsets[i] : self.offsets[i + 1]]
             if len(part) > 2:
@@ -189,7 +193,7 @@ class Weights:
             self._some = np.zeros(1 << 16, bool)
             self._some[self._bases >> np.uint32(14)] = True
         found = []
-        for bases, owner in block.bases():
+        for bases, owner in block.bases:
             near = np.flatnonzero(self._some[bases >> np.uint32(14)])
             near = near[_in(bases[near], self._bases)]
             found.append((bases[near], owner[near]))
@@ -283,11 +287,13 @@ def telling(flat: np.ndarray, owner: np.ndarray, target: np.ndarray, share: np.n
     return features[passed], np.log(rate[1] / rate[0])[passed]
 
 
-def _descend(at: np.ndarray, first: np.ndarray, scale: np.ndarray, shapes: np.ndarray | None, target: np.ndarray, weight: np.ndarray, strength: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weighted logistic regression on soft targets by Adam: (weights of features times scale, of shapes, bias). Deterministic."""
+def _descend(at: np.ndarray, first: np.ndarray, scale: np.ndarray, shapes: np.ndarray | None, target: np.ndarray, weight: np.ndarray, strength: float, rounds: int, begin: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weighted logistic regression on soft targets by Adam: (weights of features times scale, of shapes, bias). begin: weights of shapes and bias to start from. Deterministic."""
     n, size, wide = len(target), len(scale), 0 if shapes is None else shapes.shape[1]
     share = float(np.clip((weight * target).sum(), 1e-3, 1 - 1e-3))
     x = np.concatenate((np.zeros(size + wide), [np.log(share / (1 - share))]))
+    if begin is not None:
+        x[size:-1], x[-1] = begin
     owner, state = np.repeat(np.arange(n), np.diff(first)), [np.zeros(len(x)) for _ in range(2)]
     for step in range(1, rounds + 1):
         z = np.bincount(owner, weights=(x[:size] * scale)[at], minlength=n) + x[-1]
@@ -314,19 +320,23 @@ def train(flat: np.ndarray, first: np.ndarray, shapes: np.ndarray | None, target
     if not n or target.max() - target.min() < 1e-6:
         mean = float(np.clip(target.mean(), 1e-3, 0.1)) if n else 0.1
         return Scorer(Weights(np.zeros(0, np.uint32), np.zeros(0)), None, float(np.log(mean / (1 - mean))))
-    dense = None if shapes is None else shapes * np.float32(_SCALE)
+    used = np.zeros(0, np.int64) if shapes is None else np.flatnonzero(shapes.any(axis=0))
+    dense = None if shapes is None else shapes[:, used] * np.float32(_SCALE)
     owner = np.repeat(np.arange(n), np.diff(first))
 
-    def fitted(rows: np.ndarray, strengths: tuple[float, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    def fitted(rows: np.ndarray, strengths: tuple[float, ...], begin: tuple[np.ndarray, float] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
         """(features, their weights, those of shapes, bias) for each strength."""
         number, use = np.cumsum(rows) - 1, rows[owner]
         features, scale = telling(flat[use], number[owner[use]], target[rows], share[rows])
         use &= _in(flat, features)
+        part = None if dense is None else dense[rows]
         at, ends = np.searchsorted(features, flat[use]), np.searchsorted(number[owner[use]], np.arange(rows.sum() + 1))
         for strength in strengths:
-            yield features, *_descend(at, ends, scale, None if dense is None else dense[rows], target[rows], weight[rows] / weight[rows].sum(), strength, rounds)
+            found = _descend(at, ends, scale, part, target[rows], weight[rows] / weight[rows].sum(), strength, rounds if begin is None else rounds // 2, begin)
+            begin = found[1:]
+            yield features, *found
 
-    best, out = STRENGTHS[0], np.arange(n) % 5 == 4
+    best, begin, out = STRENGTHS[0], None, np.arange(n) % 5 == 4
     if out.any() and 0 < target[~out].sum() < (~out).sum():
         losses = []
         for features, w, d, bias in fitted(~out, STRENGTHS):
@@ -334,9 +344,11 @@ def train(flat: np.ndarray, first: np.ndarray, shapes: np.ndarray | None, target
             z = np.bincount(owner[use], weights=w[np.searchsorted(features, flat[use])], minlength=n)[out] + bias + (0 if dense is None else dense[out] @ d)
             p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-6, 1 - 1e-6)
             losses.append(-(weight[out] * (target[out] * np.log(p) + (1 - target[out]) * np.log(1 - p))).sum())
-        best = STRENGTHS[int(np.argmin(losses))]
-    features, w, d, bias = next(fitted(np.ones(n, bool), (best,)))
-    return Scorer(Weights(features, w), None if dense is None else d * _SCALE, bias)
+        best, begin = STRENGTHS[int(np.argmin(losses))], (d, bias)
+    features, w, d, bias = next(fitted(np.ones(n, bool), (best,), begin))
+    whole = np.zeros(SHAPES)
+    whole[used] = d * _SCALE
+    return Scorer(Weights(features, w), None if dense is None else whole, bias)
 
 
 def lexicon(flat: np.ndarray, owner: np.ndarray, target: np.ndarray, share: np.ndarray) -> Weights:
