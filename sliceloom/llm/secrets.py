@@ -2,15 +2,19 @@
 
 Base kinds are reported wherever they stand. The method adds weak candidates - identifiers, lone secrets and
 endpoints that alone say nothing - where complementary parts stand within one scope: the interval of `reach` code
-points around a part. Parts meet intervals by a semi-join on cells of that length, so no pair of parts is put out.
+points around a part. A complement is another stretch of text: what overlaps a part, such as the value of an identifier
+or the path of an endpoint, completes nothing. Parts meet intervals by a semi-join on cells of that length, so no pair of parts is put out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sliceloom.llm.store import save
+from sliceloom.llm.store import prefix_for, save
 
 #: Base patterns and the least length of the part that counts.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -18,7 +22,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts: an account or key identifier with its value, a lone mixed token of 20 and more characters, an endpoint.
 IDENTIFIER = r"(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)\b[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,})"
-LONE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+LONE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
 ENDPOINT = r"(?i:\b(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb|ftp|ssh)://[^\s\"'<>]+)"
 
 #: kind -> (pattern, group whose length counts, least length, what it is a part of)
@@ -31,6 +35,8 @@ KINDS = {
     "endpoint": (ENDPOINT, 0, 1, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
+#: What a match must hold besides, each somewhere in it.
+HOLDS = {"lone": ("[0-9]", "[A-Z]", "[a-z]")}
 #: What a weak part needs beside it: an identifier a secret, a lone secret an identifier or endpoint, an endpoint a secret.
 NEEDS = {"identifier": ("secret",), "lone": ("id", "endpoint"), "endpoint": ("secret",)}
 #: Code points between two parts that may still belong together.
@@ -45,9 +51,10 @@ def _found(text: Column, kind: str) -> Column:
     pattern, group, least, _ = KINDS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    holds = lambda m: reduce(and_, (F.rlike(m, F.lit(p)) for p in HOLDS.get(kind, ())), F.lit(True))
     rows = F.transform(
         F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("g"), matches.alias("m"), counted.alias("c")),
-        lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"), (F.length(x["c"]) >= least).alias("counts")),
+        lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"), ((F.length(x["c"]) >= least) & holds(x["m"])).alias("counts")),
     )
     return F.when(F.rlike(text, F.lit(pattern)), rows).otherwise(F.array().cast("array<struct<kind:string,gap:int,n:int,counts:boolean>>"))
 
@@ -71,7 +78,7 @@ def _case(value) -> Column:
 
 
 def linked(placed: DataFrame, reach: int = REACH) -> DataFrame:
-    """The weak parts of places() whose complement lies within `reach` code points in the same row.
+    """The weak parts of places() with a disjoint complement within `reach` code points in the same row.
 
     An interval join: a weak part takes the cells of its surroundings, every part the cells it covers, and a semi-join on
     row and cell keeps the weak part at the first complement found; no pair is put out.
@@ -81,7 +88,8 @@ def linked(placed: DataFrame, reach: int = REACH) -> DataFrame:
     weak = parts.where(~F.col("kind").isin(*BASE)).withColumn("cell", F.explode(F.sequence(cell(F.col("start") - reach), cell(F.col("end") + reach))))
     near = parts.select(F.col("_row").alias("_r"), F.col("part").alias("_part"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("_cell"))
     complements = F.array_contains(F.expr("case kind " + " ".join(f"when '{k}' then array({', '.join(map(repr, v))})" for k, v in NEEDS.items()) + " end"), F.col("_part"))
-    within = (F.col("_start") <= F.col("end") + reach) & (F.col("_end") >= F.col("start") - reach)
+    after, before = F.col("_start") >= F.col("end"), F.col("_end") <= F.col("start")
+    within = (after & (F.col("_start") <= F.col("end") + reach)) | (before & (F.col("_end") >= F.col("start") - reach))
     return weak.join(near, (F.col("_row") == F.col("_r")) & (F.col("cell") == F.col("_cell")) & complements & within, "left_semi").drop("part", "cell").distinct()
 
 
@@ -110,10 +118,13 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]", reach: int = REACH) -> DataFrame:
     """docs with every span found cut from its text and `mark` in its place; overlapping spans become one. Rows and columns stay.
 
-    Only rows with spans are joined back, by id and text hash; a null text stays null.
+    Only rows with spans are joined back, by id and text hash; a null text stays null. Other columns may have any
+    name; an empty table gives an empty table.
     """
-    hits = spans(docs, reach).where(F.size("found") > 0).dropDuplicates(["doc_id", "_text"]).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.col("found").alias("_found"))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_hash")), "left")
+    own = prefix_for(docs)
+    hits = spans(docs, reach).where(F.size("found") > 0).dropDuplicates(["doc_id", "_text"]).select(F.col("doc_id").alias(f"{own}id"), F.col("_text").alias(f"{own}hash"), F.col("found").alias(f"{own}found"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(f"{own}hash"))
+    joined = docs.join(hits, same, "left")
     text = F.col("text")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -122,5 +133,5 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", reach: int = REACH) -> Dat
         fresh = x["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_found", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    return joined.select(*[F.when(F.col("_found").isNull(), text).otherwise(done).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    done = F.aggregate(f"{own}found", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
+    return joined.select(*[F.when(F.col(f"{own}found").isNull(), text).otherwise(done).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
