@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sliceloom.llm import kernels as K
 from sliceloom.llm.components import connected_components
-from sliceloom.llm.store import save
+from sliceloom.llm.store import prefix_for, save
 
 U = np.uint64
 BANDS, ROWS = 32, 4
@@ -63,7 +63,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends[1:] = np.cumsum((n > 0) * BANDS)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
             rows = [batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(n), pa.array(set_key(hashes, first)), bands], names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
+            size = pa.array(np.diff(K.buffers(batch.column("text").slice(i, j - i))[1]))
+            yield pa.RecordBatch.from_arrays([*rows, size, pa.array(n), pa.array(set_key(hashes, first)), bands], names=["doc_id", "text_hash", "bytes", "n_shingles", "node", "bands"])
 
 
 def intersections(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray) -> np.ndarray:
@@ -147,33 +148,32 @@ def _links(needs: DataFrame, texts: DataFrame, tasks: str) -> DataFrame:
 
 
 def similar_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """nodes (node, doc_id, text_hash, bands) of docs (doc_id, text) -> links (a, b) that connect what links of at least PERCENT connect.
+    """nodes (node, doc_id, text_hash, bytes, bands) of docs (doc_id, text) -> links (a, b) that connect what links of at least PERCENT connect.
 
     First every set meets the smallest node of each of its buckets, in linear work: that joins most of a group of
     copies. Then the buckets of three and more sets that still hold several components are compared as a whole, in
     tasks of bounded chunks, skipping pairs already connected: no bucket is capped and no link that would join two
     components is lost. Buckets of equal members are compared once, chunks of one component never.
     """
-    exploded = nodes.select("node", F.explode("bands").alias("bucket"))
+    exploded = nodes.select("node", "bytes", F.explode("bands").alias("bucket"))
     firsts = exploded.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "head")
-    shared = save(exploded.join(firsts, "bucket").select("bucket", "head", "node"), "buckets")
-    stars = save(shared.where("node <> head").select("head", "node").distinct(), "stars")
+    shared = save(exploded.join(firsts, "bucket").select("bucket", "head", "node", "bytes"), "buckets")
+    stars = save(shared.where("node <> head").select("head", "node", "bytes").distinct(), "stars")
     members = shared.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_id"), "text_hash"), "node")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("text_hash"))
     texts = save(docs.join(members, same).select("node", "text"), "candidates")
-    chunks = stars.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES), F.lit(1)).cast("long")
+    chunks = stars.groupBy("head").agg(parts.alias("chunks"))
     dealt = stars.join(chunks, "head").select("head", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
     task = F.xxhash64("head", "chunk").alias("task")
     each = chunks.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     needs = dealt.select(task, F.lit(1).alias("side"), "node", F.col("node").alias("label")).unionByName(each.select(task, F.lit(0).alias("side"), F.col("head").alias("node"), F.col("head").alias("label")))
     found = save(_links(needs, texts, "task"), "links")
     labels = connected_components(found)
-    labelled = shared.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+    labelled = shared.select("bucket", "node", "bytes").join(labels, "node", "left").select("bucket", "node", "bytes", F.coalesce("root", "node").alias("label"))
     apart = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).where("lo <> hi and n > 2")
     groups = apart.groupBy("n", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
-    sizes = texts.groupBy("node").agg(F.max(F.octet_length("text")).cast("long").alias("bytes"))
-    loose = save(labelled.join(groups, "bucket").join(sizes, "node"), "loose")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("long")
+    loose = save(labelled.join(groups, "bucket"), "loose")
     pieces = loose.groupBy("bucket", "label").agg(parts.alias("pieces"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
     # small components share chunks; a large one has chunks of its own
     whole = pieces.where("pieces = 1").groupBy("bucket").agg(F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.sum("b") / CHUNK_BYTES)).cast("long").alias("shared"))
@@ -190,16 +190,16 @@ def similar_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _graph(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of rows (doc_id, text); nodes (node, least, first, doc_id, text_hash, bands); labels (node, root) of linked nodes.
+    """Sketches of rows (doc_id, text); nodes (node, least, first, doc_id, text_hash, bytes, bands); labels (node, root) of linked nodes.
 
     first is the row (doc_id, text_hash) of a node that stands for it: the smallest doc_id, rows without one last.
     """
-    sketched = save(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"), "sketches")
-    one = F.max(F.struct("doc_id", "text_hash", "bands"))
+    sketched = save(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, text_hash long, bytes long, n_shingles long, node long, bands array<long>"), "sketches")
+    one = F.max(F.struct("doc_id", "text_hash", "bytes", "bands"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash"))
     nodes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), first.alias("first"), one.alias("one"))
     nodes = save(nodes.select("node", "least", "first", "one.*"), "nodes")
-    return sketched, nodes, connected_components(similar_sets(nodes.select("node", "doc_id", "text_hash", "bands"), rows))
+    return sketched, nodes, connected_components(similar_sets(nodes.select("node", "doc_id", "text_hash", "bytes", "bands"), rows))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -229,8 +229,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     _, nodes, labels = _graph(docs.select("doc_id", "text"))
     kept = nodes.join(labels, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text"))
+    own = prefix_for(docs)
+    kept = kept.select(F.col("first.doc_id").alias(f"{own}id"), F.col("first.text_hash").alias(f"{own}text"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
-    first = docs.where(~blank).join(kept, same, "left_semi").withColumn("_text", F.xxhash64("text"))
-    return first.dropDuplicates(["doc_id", "_text"]).drop("_text").unionByName(docs.where(blank))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{own}id")) & (F.xxhash64("text") == F.col(f"{own}text"))
+    first = docs.where(~blank).join(kept, same, "left_semi").withColumn(f"{own}text", F.xxhash64("text"))
+    return first.dropDuplicates(["doc_id", f"{own}text"]).drop(f"{own}text").unionByName(docs.where(blank))
