@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sliceloom.llm import kernels as K
 from sliceloom.llm.store import total_bytes
@@ -72,15 +73,18 @@ def read(text: str) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, scale: int = SCALE, floor: int = FLOOR) -> DataFrame:
-    """docs + fingerprint, in one pass without a shuffle. Null and blank texts have an empty one."""
+    """docs + fingerprint, in one pass without a shuffle. Null and blank texts have an empty one; a column of that name is replaced."""
+    rest = docs.drop("fingerprint")
+    at = rest.columns.index("text")
+    plain = rest.toDF(*[f"_{i}" for i in range(len(rest.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = pa.array([write(s) for s in sketches(batch.column("text"), scale, floor)], pa.string())
+            marks = pa.array([write(s) for s in sketches(batch.column(at), scale, floor)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*batch.schema.names, "fingerprint"])
 
-    schema = docs.schema.add("fingerprint", "string")
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*plain.schema.fields, T.StructField("fingerprint", T.StringType())])
+    return plain.mapInArrow(run, schema).toDF(*rest.columns, "fingerprint")
 
 
 def range_bounds(docs: DataFrame, ranges: int) -> np.ndarray:
