@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,8 +20,12 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
 
-#: Records in a file: bounds what one reading task holds.
-RECORDS_PER_FILE = 1000
+#: Date of records whose page has none; a fixed one, so that archives written again are the same.
+UNDATED = "1970-01-01T00:00:00Z"
+#: Payload bytes that one file holds by expectation.
+FILE_BYTES = 64 << 20
+#: Bytes that the reader holds before it returns a batch.
+READ_BYTES = 4 << 20
 
 
 def resolve(headers: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -45,8 +51,11 @@ def _header_value(c: Column) -> Column:
     return out
 
 
-def record(page_id: Column, url: Column, payload: Column, n: Column, digest: Column, refers_to: Column) -> Column:
-    """A record's text without its end: version, fresh headers, an empty line, and the block."""
+def record(page_id: Column, url: Column, payload: Column, n: Column, digest: Column, refers_to: Column, date: Column) -> Column:
+    """A record's text without its end: version, fresh headers, an empty line, and the block.
+
+    A page without id is named by its address and payload: the format wants an id for every record.
+    """
     block = F.when(refers_to.isNull(), payload).otherwise("")
     length = F.when(refers_to.isNull(), n).otherwise(0)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -54,7 +63,8 @@ def record(page_id: Column, url: Column, payload: Column, n: Column, digest: Col
     return F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", F.when(refers_to.isNull(), "response").otherwise("revisit")),
-        optional("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.coalesce(F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">")), F.concat(F.lit("<urn:sha1:"), F.sha1(F.encode(F.concat_ws(" ", url, digest), "UTF-8")), F.lit(">")))),
+        line("WARC-Date", date),
         optional("WARC-Target-URI", _header_value(url)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         line("WARC-Payload-Bytes", n.cast("string")),
@@ -71,65 +81,75 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000) -> None
     """Write pages (page_id long, url, html; null html is an empty payload) as gzipped archives of deduplicated records to a new path.
 
     The engine's own text writer puts the files out, with the record end as its line end, so a lost executor's files
-    are written again and commits are whole. Only headers are shuffled by digest; each payload moves once, by page_id.
+    are written again and commits are whole. Only headers are shuffled by digest; the table of revisits, without
+    payloads, joins the pages, and each payload stays with its reading task unless that table is large. A file closes
+    after as many records as hold about FILE_BYTES on average. A column `date` (timestamp) dates the records.
     """
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    date = F.date_format(F.col("date").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if "date" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.coalesce(date, F.lit(UNDATED)).alias("date"))
     described = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
     headers = save(described.select("page_id", "payload_bytes", "payload_digest"), "headers")
     resolved = resolve(headers, least_bytes).where("refers_to is not null").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to").distinct()
     joined = described.join(resolved, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
-    lines = joined.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("payload_bytes"), F.col("payload_digest"), F.col("refers_to")).alias("value"))
-    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines = joined.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("payload_bytes"), F.col("payload_digest"), F.col("refers_to"), F.col("date")).alias("value"))
+    mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0
+    records = max(1, int(FILE_BYTES / (mean + 500)))
+    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
 READ_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record, by Content-Length; a file that breaks the format raises ValueError."""
-    at, start = 0, VERSION.encode() + b"\r\n"
-    while at < len(data):
-        if not data.startswith(start, at):
-            raise ValueError(f"no record starts at byte {at}")
-        at += len(start)
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record, by Content-Length, holding one record; a stream that breaks the format raises ValueError."""
+    number = 0
+    while start := stream.readline(1 << 16):
+        number += 1
+        if start != VERSION.encode() + b"\r\n":
+            raise ValueError(f"record {number} does not start with its version")
         fields: dict[str, str] = {}
-        while data[at : at + 2] != b"\r\n":
-            m = _FIELD.match(data, at)
+        while (header := stream.readline(1 << 20)) != b"\r\n":
+            m = _FIELD.fullmatch(header)
             if not m:
-                raise ValueError(f"no header at byte {at}")
+                raise ValueError(f"record {number} has a broken header")
             fields[m[1].decode().lower()] = m[2].decode()
-            at = m.end()
-        at += 2
         n = int(fields["content-length"])
-        yield fields, data[at : at + n]
-        at += n
-        if data[at : at + 4] != RECORD_END.encode():
-            raise ValueError(f"a record does not end at byte {at}")
-        at += 4
+        block = stream.read(n)
+        if len(block) != n or stream.read(4) != RECORD_END.encode():
+            raise ValueError(f"record {number} does not end where it should")
+        yield fields, block
 
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     """Records of archives at path. Bytes and digest of a response come from its payload as read, those of a revisit from its headers."""
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = lambda v: int(v.removeprefix("<urn:page:").removesuffix(">")) if v else None
+        page = lambda v: int(v.removeprefix("<urn:page:").removesuffix(">")) if v and v.startswith("<urn:page:") else None
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for fields, block in parse(gzip.decompress(content.as_py())):
+                rows, held = [], 0
+                for fields, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(memoryview(content.as_buffer()))), READ_BYTES)):
                     response = fields["warc-type"] == "response"
                     digest = hashlib.sha1(block).hexdigest() if response else fields["warc-payload-digest"].removeprefix("sha1:")
                     n = len(block) if response else int(fields["warc-payload-bytes"])
                     rows.append((page(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields["warc-type"], n, digest, page(fields.get("warc-refers-to")), block if response and with_payload else None))
-                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-                names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                    held += len(block) if with_payload else 200
+                    if held > READ_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield _batch(rows)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(files, READ_SCHEMA)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Archives written to the shared folder and read again: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = shared_path(pages.sparkSession, "warc")
