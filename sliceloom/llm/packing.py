@@ -17,8 +17,8 @@ from sliceloom.llm.store import save
 CAPACITY = 2048
 #: Pieces of one packing task.
 ITEMS = 4096
-#: Rounds of exchange before what is left stays as it is.
-ROUNDS = 4
+#: Most pieces of a task in later rounds, however far the table is from its bound: what one task holds.
+MOST_ITEMS = 1 << 18
 
 #: Fixed value: the word pattern of the public byte-level vocabularies.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -147,44 +147,54 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def _pack(table: pa.Table, capacity: int, number: int, last: bool) -> pa.Table:
-    """Pack one task; `open` marks what goes on to the next round: the documents of bins with room where the bound is missed, and always those of the emptiest bin."""
+    """Pack one task; `open` marks what goes on to the next round: the documents of bins with room where the bound is missed, and always those of the emptiest bin.
+
+    task_bins and bound: the bins that the task's pieces took, and how few any packing of them needs.
+    """
     table = table.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
     lengths = table.column("length").to_numpy()
     bins, offsets = best_fit(lengths, capacity)
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
+    bound = lower_bound(lengths, capacity)
     loose = np.zeros(len(fill), bool)
     if not last:
-        if len(fill) > lower_bound(lengths, capacity):
+        if len(fill) > bound:
             loose = fill < capacity
         if fill.min() < capacity:
             loose[int(fill.argmin())] = True
-    part = table.column("part")[0].as_py()
+    task = number << 24 | table.column("part")[0].as_py()
     out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-    out = out.append_column("sequence_id", pa.array(bins + ((number << 24 | part) << 32), pa.int64()))
-    return out.append_column("offset", pa.array(offsets, pa.int64())).append_column("open", pa.array(loose[bins], pa.bool_()))
+    columns = {"sequence_id": bins + (task << 32), "offset": offsets, "open": loose[bins], "task_bins": np.full(len(bins), len(fill)), "bound": np.full(len(bins), bound)}
+    for name, values in columns.items():
+        out = out.append_column(name, pa.array(values))
+    return out
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, task_bins long, bound long"
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut (doc_id, piece, start, length, ids_crc32) + sequence_id, offset: sequences of at most `capacity`, offsets gapless.
+    """cut (doc_id, piece, start, length, ids_crc32) + sequence_id, offset, certified: sequences of at most `capacity`, offsets gapless.
 
     Tasks of about ITEMS pieces pack by best-fit decreasing and compare with a lower bound. A task that meets it is
     certified and closed but for its emptiest bin; the others keep their full bins and send the rest on, dealt anew
-    by another hash into tasks of twice as many. Each round is smaller; the last closes all. Only lengths and ids move, never tokens.
+    by another hash into tasks of twice as many. Rounds go on while more than one task is left and the last round
+    closed something or tasks can still grow; the last closes all. certified: the task that closed the piece's
+    sequence needed no more bins than its bound. Only lengths and ids move, never tokens.
     """
-    left, done, number = cut, [], 0
+    left, done, number, before = cut, [], 0, None
     while True:
         n = left.count()
-        parts = max(1, -(-n // (ITEMS << number)))
-        last = parts == 1 or number == ROUNDS
+        items = min(MOST_ITEMS, ITEMS << number)
+        parts = max(1, -(-n // items))
+        last = parts == 1 or (items == MOST_ITEMS and n == before)
         dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int"))
         packed = save(dealt.groupBy("part").applyInArrow(_packer(capacity, number, last), _PACKED), "packed")
-        done.append(packed.where("not open").drop("open"))
+        closed = packed.where("not open").withColumn("certified", F.col("task_bins") <= F.col("bound"))
+        done.append(closed.drop("open", "task_bins", "bound"))
         if last:
             break
-        left, number = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32"), number + 1
+        left, number, before = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32"), number + 1, n
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
@@ -199,7 +209,7 @@ def _packer(capacity: int, number: int, last: bool):
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs (doc_id long, text).
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for every piece of docs (doc_id long, text).
 
     Repeated rows, null ids and null texts are documents like others (a null text has only the final 0); other columns
     play no part; an empty table gives an empty table. The deal also hashes a row's place in the written piece table, so
