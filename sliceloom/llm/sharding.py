@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sliceloom.llm.ranks import hashed_order, running
@@ -24,6 +24,16 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))  # a row for each node of the tree
 
 
+def name_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """name, rank: the distinct values of a column by code point from 0, null first. Names are dealt by their order, so no task sorts them all."""
+    names = rows.select(F.col(column).alias("name")).distinct()
+    dealt = save(names.repartitionByRange(F.col("name").asc_nulls_first()).sortWithinPartitions(F.col("name").asc_nulls_first()).withColumn("_part", F.spark_partition_id()), "names")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("name").asc_nulls_first())) - 1
+    return dealt.withColumn("_place", place).join(offsets, F.col("_part") == F.col("_p")).select("name", (F.col("_place") + F.col("_offset")).cast("long").alias("rank"))
+
+
 def _median_cuts(items: DataFrame, nodes: dict[int, tuple[int, int, float]], slack: float) -> dict[int, int]:
     """nodes: node -> (least key, greatest key, share of the weight for the left) -> node -> cut; keys below it go left.
 
@@ -97,7 +107,7 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     """Columns doc_id, size, text_crc32, shard, slot; shards near equal in bytes.
 
     Give the number of shards or the target bytes of one. Rows with equal texts are one item with the metadata
-    (source, language) of their smallest row, so they share a shard; a group over `tolerance` of a shard is dealt
+    (source, language, by the rank of the whole name) of their smallest row, so they share a shard; a group over `tolerance` of a shard is dealt
     into pieces by a hash of its ids first, which keeps hot groups from unbalancing a shard. Null texts count 1
     byte and form a group of their own; null metadata sorts first; repeated rows are rows like others; an empty
     table gives an empty table. No row takes part in a sort of a whole shard: slots come from bucket totals.
@@ -108,17 +118,16 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     leaves = shards or max(1, -(-whole // (target_bytes or 1 << 30)))
     most = max(1.0, tolerance * whole / leaves)
 
-    def number(c: str) -> Column:
-        """The first 6 bytes, which keep the order of names; 0 for null."""
-        return F.coalesce(F.conv(F.hex(F.rpad(F.substring(F.encode(F.col(c), "UTF-8"), 1, 6), 6, F.lit(b"\x00"))), 16, 10).cast("long"), F.lit(0).cast("long"))
-
     # only groups above the bound are dealt into pieces; groups are pre-aggregated, so a hot one is a row here
     heavy = rows.groupBy("_group").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).where((F.col("w") > most) & (F.col("n") > 1))
     heavy = heavy.select("_group", F.least(F.col("n"), F.ceil(F.col("w") / F.lit(most))).cast("long").alias("_pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_pieces")), F.lit(0).cast("long"))
     dealt = save(rows.join(heavy, "_group", "left").withColumn("_piece", piece).drop("_pieces"), "pieces")
     items = dealt.groupBy("_group", "_piece").agg(F.sum("size").alias("weight"), F.min("_chars").alias("chars"), F.min(F.struct("doc_id", "_source", "_lang")).alias("m"))
-    items = items.select("_group", "_piece", "weight", "chars", number("m._source").alias("source"), number("m._lang").alias("lang"), F.shiftrightunsigned(F.xxhash64("_group", "_piece"), 24).alias("tie"))
+    items = items.withColumns({"_source": F.col("m._source"), "_lang": F.col("m._lang")})
+    for c in ("source", "lang"):
+        items = items.join(name_ranks(dealt, f"_{c}").select(F.col("name").alias(f"_name_{c}"), F.col("rank").alias(c)), F.col(f"_{c}").eqNullSafe(F.col(f"_name_{c}")))
+    items = items.select("_group", "_piece", "weight", "chars", "source", "lang", F.shiftrightunsigned(F.xxhash64("_group", "_piece"), 24).alias("tie"))
     leaf = kd_leaves(items, ["source", "lang", "chars"], leaves).select("_group", "_piece", F.col("leaf").cast("int").alias("shard"))
     dealt = dealt.join(leaf, ["_group", "_piece"]).select("doc_id", "size", "text_crc32", "shard")
     return running(dealt, ["shard"], hashed_order(F.col("doc_id"), F.col("text_crc32")), [F.col("doc_id"), F.col("text_crc32")], F.lit(1).cast("long"), n, "slot")

@@ -1,8 +1,12 @@
 """The corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import glob
+import gzip
 import hashlib
+import io
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -355,6 +359,7 @@ def test_packing_exchanges_between_tasks(spark, monkeypatch):
     fill = {}
     for r in got:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert {r["certified"] for r in got} <= {True, False} and any(r["certified"] for r in got)
     best_alone = packing.best_fit(lengths, 100)[0].max() + 1
     assert max(fill.values()) <= 100 and len(fill) <= best_alone * 1.02
 
@@ -380,6 +385,16 @@ def test_warc(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(text.encode()), hashlib.sha1(text.encode()).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("revisit", 5) if revisit else ("response", None))
     assert warc.round_trip(df.limit(0)).count() == 0
+    path = warc.shared_path(spark, "warc")
+    warc.write_archives(df, path)
+    texts = [gzip.decompress(Path(f).read_bytes()) for f in glob.glob(f"{path}/part-*")]
+    records = [fields for t in texts for fields, _ in warc.parse(io.BytesIO(t))]
+    assert len(records) == len(pages) and all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(r) for r in records)
+    payloads = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, path).where("record_type = 'response' and page_id is not null").collect()}
+    assert payloads == {p[0]: (p[2] or "").encode() for p in pages if p[0] in (3, 4, 5, 6, 7)}
+    for broken in (b"WARC/1.0\r\n\r\n", texts[0][:-3] if texts[0] else b"x", b"WARC/1.1\r\nno header\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(io.BytesIO(broken)))
 
 
 def test_mixing(docs, rows, empty):
@@ -442,6 +457,17 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty, shards=4).count() == 0
 
 
+def test_shards_split_long_names_and_meet_target_bytes(spark):
+    """Names that agree in their first bytes are told apart, and a target size gives as many leaves as it takes."""
+    rows = [(i, f"text {i:03} " * 20, "en", f"source_{i % 8}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.shard_documents(df, shards=8).join(df.select("doc_id", "source"), "doc_id").groupBy("shard").agg({"source": "collect_set"}).collect()
+    assert sum(len(r[1]) for r in got) <= 16  # a shard holds a source, and a neighbour's rest
+    whole = sum(len(r[1]) + 1 for r in rows)
+    sizes = [r[0] for r in sharding.shard_documents(df, target_bytes=whole // 5).groupBy("shard").agg({"size": "sum"}).select("sum(size)").collect()]
+    assert len(sizes) == 6 and max(sizes) <= whole / 5 and max(sizes) - min(sizes) <= 2 * max(len(r[1]) + 1 for r in rows)
+
+
 def test_hot_text_does_not_unbalance_shards(spark):
     rows = [(i, "same text " * 20, "en", "s") for i in range(300)] + [(300 + i, f"other {i} " * 20, "en", f"s{i % 3}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
