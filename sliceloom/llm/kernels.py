@@ -15,7 +15,7 @@ import pyarrow as pa
 U = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_BASE, _WORD_BASE = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93)
+_BASE, _WORD_BASE, _SECOND_BASE = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U)
 _LOWER = _VALUES.copy()
 _LOWER[65:91] = _VALUES[97:123]
@@ -123,12 +123,14 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np
     return np.concatenate(parts) if parts else np.zeros(0, U), np.concatenate(first)
 
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` words, by its first word; runs may cross texts, so mask them with inside()."""
+def windows(hashes: np.ndarray, width: int, second: bool = False) -> np.ndarray:
+    """Hash of each run of `width` words, by its first word; runs may cross texts, so mask them with inside(). second: another hash, independent of the first."""
+    if second:
+        hashes = mix(hashes ^ U(0xE7037ED1A0B428DB))
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, U)
-    up, down = _powers(_WORD_BASE, len(hashes))
+    up, down = _powers(_SECOND_BASE if second else _WORD_BASE, len(hashes))
     total = np.concatenate((np.zeros(1, U), np.cumsum(hashes * up[: len(hashes)])))
     return mix((total[width:] - total[:-width]) * down[:n] + U(width))
 

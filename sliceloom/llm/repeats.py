@@ -1,10 +1,11 @@
 """Exact substring dedup by fixed-block anchors.
 
-Texts are dealt into buckets by id. Every text gives its non-overlapping blocks of half a window as anchors and
+Texts are dealt into buckets by a hash. Every text gives its non-overlapping blocks of half a window as anchors and
 every rolling block as probe; a window of 2 b words holds at least one whole anchor of b words wherever it starts,
 so two equal windows always meet at an anchor. Each bucket sends the distinct probes once, sorted and packed, so a
 passage that a third of all documents share costs a bucket one entry. Windows around met anchors are the maximal
-repeats; their full hashes are compared with the smallest document that has them, and what a smaller one has goes.
+repeats; they are compared by two independent 64-bit hashes, 128 bits, with the smallest document that has them, and
+what a smaller one has goes. A passage costs a bucket its distinct windows, however many documents share it.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _unplanes(data: bytes, kind: type) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted 40-bit values as differences, in 4 bytes where they fit."""
+    """Sorted values as differences, in 4 bytes where they fit."""
     steps = np.diff(values, prepend=U(0))
     return b"4" + _planes(steps.astype(np.uint32)) if not len(steps) or int(steps.max()) < 2**32 else b"8" + _planes(steps)
 
@@ -57,8 +58,8 @@ def _unpack(data: bytes) -> np.ndarray:
 class _Bucket:
     """The words of a bucket's texts and its distinct probes; equal for equal rows in any order."""
 
-    def __init__(self, table: pa.Table, window: int):
-        self.window, self.block = window, window // 2
+    def __init__(self, table: pa.Table, window: int, shift: int):
+        self.window, self.block, self.shift = window, window // 2, U(shift)
         self.ids = table.column("doc_id").fill_null(_LAST).to_numpy()
         self.data, self.offsets = K.buffers(table.column("text"))
         hashes, self.first = K.hashed_words(self.data, self.offsets, lower=False)
@@ -69,29 +70,31 @@ class _Bucket:
         long = counts[self.owner] >= window if self.n else np.zeros(0, bool)
         rolling = K.windows(hashes, self.block)
         self.at = np.flatnonzero(K.inside(self.first, self.block)[: len(rolling)] & long[: len(rolling)]) if len(rolling) else np.zeros(0, np.int64)
-        probes, self.which, times = np.unique(rolling[self.at] >> U(24), return_inverse=True, return_counts=True)
-        self.probes = probes  # 40 bits: what chance adds is dropped with the full windows
+        probes, self.which, times = np.unique(rolling[self.at] >> self.shift, return_inverse=True, return_counts=True)
+        self.probes = probes  # the upper bits: what chance adds is dropped with the full windows
         anchored = np.bincount(self.which[place[self.at] % self.block == 0], minlength=len(probes)) > 0
         self.anchored, self.again = anchored, anchored & (times > 1)
         self.hashes = hashes
 
     def probe_blobs(self, parts: int, bucket: int) -> pa.Table:
-        ends = _parts(self.probes << U(24), parts)
+        ends = _parts(self.probes << self.shift, parts)
         spans = [(k, ends[k], ends[k + 1]) for k in range(parts) if ends[k] < ends[k + 1]]
         return _blobs(bucket, [(k, _pack(self.probes[i:j]), np.packbits(self.anchored[i:j]).tobytes()) for k, i, j in spans])
 
-    def candidates(self, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of windows that hold a met block, the distinct hashes of these windows, and which each has."""
+    def candidates(self, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of windows that hold a met block, both hashes of the distinct ones, ascending, and which each start has."""
         full = K.windows(self.hashes, self.window)
         if not len(full):
-            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
         hit = np.zeros(self.n + 1, np.int64)
         hit[self.at[(met | self.again)[self.which]] + 1] = 1
         total = np.cumsum(hit)
         starts = np.flatnonzero(K.inside(self.first, self.window)[: len(full)])
         starts = starts[total[np.minimum(starts + self.window - self.block + 1, self.n)] > total[starts]]
-        distinct, which = np.unique(full[starts], return_inverse=True)
-        return starts, distinct, which
+        order, new = _grouped(one := full[starts], two := K.windows(self.hashes, self.window, second=True)[starts])
+        which = np.empty(len(starts), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return starts, one[order][new], two[order][new], which
 
     def least(self, starts: np.ndarray, n: int, which: np.ndarray) -> np.ndarray:
         out = np.full(n, _LAST)
@@ -106,6 +109,15 @@ class _Bucket:
         return out
 
 
+def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by both hashes, and where in it a new pair begins."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
 def _blobs(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
     return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "probes": pa.array([r[1] for r in rows], pa.binary()), "extra": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -134,16 +146,16 @@ def _meet_blocks(table: pa.Table) -> pa.Table:
 
 def _meet_windows(table: pa.Table) -> pa.Table:
     """Windows whose smallest document is in another bucket."""
-    hashes = [_unplanes(x, U) for x in table.column("probes").to_pylist()]
+    blobs = table.column("probes").to_pylist()
+    one, two = (np.concatenate([_unplanes(x[k * len(x) // 2 : (k + 1) * len(x) // 2], U) for x in blobs]) for k in (0, 1))
     ids = [_unplanes(x, np.int64) for x in table.column("extra").to_pylist()]
-    everything, least = np.concatenate(hashes), np.concatenate(ids)
-    order = np.argsort(everything, kind="stable")
-    value = everything[order]
-    new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    smallest = np.repeat(np.minimum.reduceat(least[order], new), np.diff(np.append(new, len(value))))
-    out = np.empty(len(value), bool)
+    least = np.concatenate(ids)
+    order, begins = _grouped(one, two)
+    new = np.flatnonzero(begins)
+    smallest = np.repeat(np.minimum.reduceat(least[order], new), np.diff(np.append(new, len(order))))
+    out = np.empty(len(order), bool)
     out[order] = smallest < least[order]
-    ends = np.cumsum([0, *map(len, hashes)])
+    ends = np.cumsum([0, *map(len, ids)])
     return _replies(table.column("part")[0].as_py(), table.column("bucket").to_pylist(), [np.packbits(out[i:j]).tobytes() for i, j in zip(ends, ends[1:])], "window")
 
 
@@ -155,29 +167,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
     A word goes if a window of `window` words that covers it also starts in a row with a smaller doc_id; windows are
     judged on the input. window must be even. Null and blank texts have no words; rows without doc_id come after all
-    others and take nothing from each other, nor do rows of one doc_id; other columns play no part.
+    others and take nothing from each other, nor do rows of one doc_id; other columns play no part. Rows are dealt by id
+    and text, so rows without id, or of one id, spread over the buckets.
     Texts are shuffled once, by bucket, and all three readings share that exchange.
     """
-    buckets = max(LEAST_BUCKETS, -(-total_bytes(docs, "text") // BUCKET_BYTES))
+    whole = total_bytes(docs, "text")
+    buckets = max(LEAST_BUCKETS, -(-whole // BUCKET_BYTES))
     parts = buckets
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")).repartition(buckets, "bucket")
+    shift = 64 - min(64, max(40, whole.bit_length() + 10))  # so many bits that probes of a table of any size seldom meet by chance
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")).repartition(buckets, "bucket")
 
     def blocks_of(table: pa.Table) -> pa.Table:
-        return _Bucket(table, window).probe_blobs(parts, table.column("bucket")[0].as_py())
+        return _Bucket(table, window, shift).probe_blobs(parts, table.column("bucket")[0].as_py())
 
     def windows_of(table: pa.Table, replies: pa.Table) -> pa.Table:
-        bucket = _Bucket(table, window)
-        starts, distinct, which = bucket.candidates(bucket.bits(replies, bucket.probes, parts, 24))
+        bucket = _Bucket(table, window, shift)
+        starts, distinct, second, which = bucket.candidates(bucket.bits(replies, bucket.probes, parts, shift))
         least = bucket.least(starts, len(distinct), which)
         ends = _parts(distinct, parts)
         spans = [(k, ends[k], ends[k + 1]) for k in range(parts) if ends[k] < ends[k + 1]]
-        return _blobs(table.column("bucket")[0].as_py() if len(table) else 0, [(k, _planes(distinct[i:j]), _planes(least[i:j])) for k, i, j in spans])
+        return _blobs(table.column("bucket")[0].as_py() if len(table) else 0, [(k, _planes(distinct[i:j]) + _planes(second[i:j]), _planes(least[i:j])) for k, i, j in spans])
 
     def results_of(table: pa.Table, replies: pa.Table) -> pa.Table:
-        bucket = _Bucket(table, window)
+        bucket = _Bucket(table, window, shift)
         kind = np.asarray(replies.column("kind").to_pylist(), object)
         of = lambda k: replies.filter(pa.array(kind == k, pa.bool_()))
-        starts, distinct, which = bucket.candidates(bucket.bits(of("block"), bucket.probes, parts, 24))
+        starts, distinct, _, which = bucket.candidates(bucket.bits(of("block"), bucket.probes, parts, shift))
         elsewhere = bucket.bits(of("window"), distinct, parts, 0)
         gone = starts[elsewhere[which] | (bucket.ids[bucket.owner[starts]] > bucket.least(starts, len(distinct), which)[which])]
         cover = np.zeros(bucket.n + 1, np.int64)
