@@ -14,6 +14,25 @@ def _normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 
 
+def _upper_normal(z: pd.Series) -> pd.Series:
+    return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(v / math.sqrt(2)) / 2)
+
+
+def _signed_rank(w: pd.Series, n: pd.Series) -> pd.Series:
+    """P(rank sum of at least w) when each of the ranks 1 to n counts with probability 1/2; the counts of sums build up rank by rank."""
+    known: dict[int, np.ndarray] = {}
+
+    def tails(n: int) -> np.ndarray:
+        if n not in known:
+            ways = np.ones(1)
+            for r in range(1, n + 1):
+                ways = (np.pad(ways, (0, r)) + np.pad(ways, (r, 0))) / 2
+            known[n] = np.cumsum(ways[::-1])[::-1]
+        return known[n]
+
+    return pd.Series([None if pd.isna(a) or pd.isna(m) or m > 50 else float(tails(int(m))[math.ceil(a)]) for a, m in zip(w, n, strict=True)], dtype="float64")
+
+
 def _hypergeometric(k: pd.Series, drawn: pd.Series, good: pd.Series, total: pd.Series) -> pd.Series:
     choose = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
 
@@ -52,6 +71,15 @@ def normal_two_sided(z: Column | str) -> Column:
     return F.pandas_udf(_normal, "double")(z)
 
 
+def normal_sf(z: Column | str) -> Column:
+    return F.pandas_udf(_upper_normal, "double")(z)
+
+
+def signed_rank_sf(w: Column | str, n: Column | str) -> Column:
+    """Exact upper tail of the signed-rank sum of up to 50 differences; null for more."""
+    return F.pandas_udf(_signed_rank, "double")(w, n)
+
+
 def hypergeometric_sf(k: Column | str, drawn: Column | str, good: Column | str, total: Column | str) -> Column:
     """P(at least k good ones among the drawn)."""
     return F.pandas_udf(_hypergeometric, "double")(k, drawn, good, total)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sliceloom.functions.tails import hypergeometric_sf, normal_sf, signed_rank_sf
 from sliceloom.operators.programs import average_rank
 from sliceloom.operators.spatial import nearest_within, shell_counts
 
@@ -51,11 +52,36 @@ def wilcoxon(df: DataFrame, difference: str, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("_r")).otherwise(0.0)).alias("w"))
 
 
+def wilcoxon_greater(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
+    """by, pairs, w, p: signed-rank test that a is greater than b, over pairs without nulls or NaN.
+
+    Under two pairs p is null; where all differences are close to 0 it is 1. Up to 50 differences without zeros and ties
+    p is exact, else from the normal distribution with the variance of ties; zeros are dropped.
+    """
+    d = F.col(a).cast("double") - F.col(b).cast("double")
+    rows = df.withColumn("_d", d).where(F.col("_d").isNotNull() & ~F.isnan("_d"))
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.max(F.abs("_d")).alias("_most"))
+    nonzero = rows.where(F.col("_d") != 0).withColumn("_a", F.abs("_d"))
+    ranked = nonzero.withColumns({"_r": average_rank("_a", *by), "_t": F.count(F.lit(1)).over(Window.partitionBy(*by, "_a"))})
+    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w"), F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("_ties"))
+    both = whole.join(sums, list(by), "left")
+    n = F.col("_n")
+    z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
+    exact = (n <= 50) & (F.col("_ties") == 0) & (n == F.col("pairs"))
+    p = F.when(F.col("pairs") < 2, None).when(F.col("_most") <= 1e-8, 1.0).when(exact, signed_rank_sf("w", "_n")).otherwise(normal_sf(z))
+    return both.select(*by, "pairs", F.coalesce("w", F.lit(0.0)).alias("w"), p.alias("p"))
+
+
 def paired_summary(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     d = F.col(a) - F.col(b)
     return df.groupBy(*by).agg(F.avg(d).alias("mean"), F.median(d).alias("median"), F.count_if(d > 0).alias("above"), F.count_if(d < 0).alias("below"), F.count_if(d == 0).alias("equal"))
 
 
+def fisher_greater(df: DataFrame, high: Column, group: str) -> DataFrame:
+    """log_odds with p: one-sided exact test that `high` is more frequent inside the group."""
+    return log_odds(df, high, group).withColumn("p", hypergeometric_sf("a", F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("a") + F.col("b") + F.col("c") + F.col("d")))
+
+
 def log_odds(df: DataFrame, high: Column, group: str) -> DataFrame:
     """group, a, b, c, d, log2 odds of high inside the group against outside: infinite as 5, clipped to [-4, 5]."""
     n = df.withColumn("_h", high.cast("int")).groupBy(group).agg(F.sum("_h").alias("a"), F.sum(1 - F.col("_h")).alias("b"))

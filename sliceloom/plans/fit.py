@@ -8,11 +8,12 @@ Gram matrix matter: one aggregation, whatever the number of cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,7 +196,10 @@ def backfit(rows: Rows, values: np.ndarray, fs: list[Factor], k: int | None = No
 
 
 def greedy(rows: Rows, values: np.ndarray, most: int, k: int | None = None, improve: float = 0.0, least_norm: float = 1e-8, inner: int = 200, tol: float = 1e-3) -> tuple[list[Factor], list[dict]]:
-    """Factors fitted one after another to what is left, until one improves the residual by less than `improve`; with the trace of every trial."""
+    """Factors fitted one after another to what is left, until one takes less than the share `improve` of what was left before it; with the trace of every trial.
+
+    The first factor stays whatever it takes. The trace counts from 1 and gives the squares of the residuals' norms.
+    """
     if most <= 0:
         raise ValueError("at least one factor must be allowed")
     left, fs, trace = values.copy(), [], []
@@ -206,8 +210,11 @@ def greedy(rows: Rows, values: np.ndarray, most: int, k: int | None = None, impr
         f = fit_rank1(rows, left, k, most=inner, tol=tol)
         after = left - np.outer(f.h, f.w)
         was, now, norm = float((left**2).sum()), float((after**2).sum()), float(np.sqrt((f.h @ f.h) * (f.w @ f.w)))
-        keep = norm > least_norm and (not fs or (was - now) / energy >= improve)
-        trace.append({"factor_index": i, "rel_improve_total": (was - now) / energy, "component_norm": norm, "residual_norm_before": was**0.5, "residual_norm_after": now**0.5, "keep": keep})
+        gain = (was - now) / max(was, 1e-12)
+        little = norm >= least_norm and bool(fs) and gain < improve
+        keep = norm >= least_norm and not little
+        # fixed values: the names of the record
+        trace.append({"factor_index": i + 1, "rel_improve_total": gain, "component_norm": norm, "residual_norm_before": was, "residual_norm_after": now, "keep": keep, "stop_reason": "rel_improve_total" if little else None})
         if not keep:
             break
         fs.append(f)
@@ -257,7 +264,11 @@ RESULT = "fit string, kind string, program int, key long, age double, value doub
 
 
 def fit_keys(spectral: DataFrame, p: int, k: int | None = None, auto: bool = False, gamma_age: float = 1.0) -> DataFrame:
-    """One task for each fit key. Rows by kind: loading (key: gene), theta (0 age, 1 space, 2 error), trajectory (key: slice), score and field (key: cell)."""
+    """One task for each fit key. Rows by kind: loading (key: gene), theta (0 age, 1 space, 2 error), trajectory (key: slice), score and field (key: cell).
+
+    With auto at most p factors, and a row of kind trial for each one tried (key: 1 if it was kept, value: the share of the
+    residual that it took).
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         slices = pdf.groupby("slice")["age"].first().sort_values(kind="stable")
@@ -269,8 +280,8 @@ def fit_keys(spectral: DataFrame, p: int, k: int | None = None, auto: bool = Fal
         k_age = np.exp(-((z[:, None] - z[None]) ** 2) / gamma_age)
         rows = Rows(pdf["at"].to_numpy(), pdf["lam"].to_numpy(), pdf["u"].to_numpy(), k_age)
         values = np.stack(pdf["values"].to_list())
-        fs, _ = fit_factors(rows, values, p, k, auto)
-        out = []
+        fs, trace = fit_factors(rows, values, p, k, auto)
+        out = [("trial", t["factor_index"] - 1, int(t["keep"]), None, t["rel_improve_total"], None) for t in trace] if auto else []
         for j, f in enumerate(fs):
             own = values - sum(np.outer(g.h, g.w) for m, g in enumerate(fs) if m != j)
             alpha, b, spread = decompose(rows, own, f, "b_first")
@@ -289,17 +300,34 @@ def fit_keys(spectral: DataFrame, p: int, k: int | None = None, auto: bool = Fal
 
 
 def sufficient(values: DataFrame, genes: Sequence[str], cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ages, cells, sums by slice and gene, Gram matrix) of long values: two aggregations, of slices x genes and genes x genes rows."""
+    """(ages, cells, sums by slice and gene, Gram matrix) of long values: the driver gets slices x genes and genes x genes numbers.
+
+    Values meet by cell once; every task adds its cells' outer products into one matrix, so what is shuffled after that
+    is a matrix a task, not genes x genes rows a cell.
+    """
     slices = cells.groupBy("slice").agg(F.min("age").alias("age"), F.count(F.lit(1)).alias("n")).orderBy("age", "slice").collect()
-    number, gene = {r["slice"]: i for i, r in enumerate(slices)}, {g: i for i, g in enumerate(genes)}
-    sums, gram = np.zeros((len(slices), len(genes))), np.zeros((len(genes), len(genes)))
-    for r in values.join(cells.select("cell", "slice"), "cell").groupBy("slice", "gene").agg(F.sum("value").alias("s")).collect():
-        sums[number[r["slice"]], gene[r["gene"]]] = r["s"]
-    other = values.select("cell", F.col("gene").alias("gene2"), F.col("value").alias("value2"))
-    for r in values.join(other, "cell").where("gene <= gene2").groupBy("gene", "gene2").agg(F.sum(F.col("value") * F.col("value2")).alias("s")).collect():
-        i, j = gene[r["gene"]], gene[r["gene2"]]
-        gram[i, j] = gram[j, i] = r["s"]
-    return np.array([r["age"] for r in slices]), np.array([r["n"] for r in slices], float), sums, gram
+    number, width = {r["slice"]: i for i, r in enumerate(slices)}, len(genes)
+    gene = {g: i for i, g in enumerate(genes)}
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, gram = np.zeros((len(slices), width)), np.zeros((width, width))
+        for batch in batches:
+            lists = batch.column("row")
+            x = np.zeros((len(batch), width))
+            flat = lists.flatten()
+            at = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            x[at, [gene[g] for g in flat.field("gene").to_pylist()]] = flat.field("value").to_numpy(zero_copy_only=False)
+            gram += x.T @ x
+            np.add.at(sums, [number[s] for s in batch.column("slice").to_pylist()], x)
+        whole = np.concatenate((sums, gram))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole)), pa.int32()), pa.array(list(whole), pa.list_(pa.float64()))], names=["i", "part"])
+
+    rows = values.join(cells.select("cell", "slice"), "cell").groupBy("cell", "slice").agg(F.collect_list(F.struct("gene", "value")).alias("row"))
+    parts = rows.mapInArrow(moments, "i int, part array<double>").select("i", F.posexplode("part").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    whole = np.zeros((len(slices) + width, width))
+    for r in parts.collect():
+        whole[r["i"], r["j"]] = r["v"]
+    return np.array([r["age"] for r in slices]), np.array([r["n"] for r in slices], float), whole[: len(slices)], whole[len(slices) :]
 
 
 def fit_without_space(ages: np.ndarray, n: np.ndarray, sums: np.ndarray, gram: np.ndarray, p: int, k: int | None = None, gamma_age: float = 1.0, most: int = 200, tol: float = 1e-6) -> list[dict]:

@@ -348,6 +348,20 @@ def fisher_odds(spark, d):
     return rounded(T.log_odds(high, F.col("high"), "celltype"))
 
 
+@query(f"""WITH {POINTS}, h AS (SELECT celltype, y >= (SELECT quantile_cont(y, 0.95) FROM points) AS h FROM points), n AS (SELECT celltype, count(*) FILTER (h) AS a, count(*) FILTER (NOT h) AS b FROM h GROUP BY 1), w AS (SELECT count(*) FILTER (h) AS h, count(*) AS t FROM h),
+    i AS (SELECT celltype, a, b, h, t, unnest(generate_series(a, least(a + b, h))) AS i FROM n, w)
+    SELECT celltype, a, b, round(least(1, sum(exp(lgamma(h + 1) - lgamma(i + 1) - lgamma(h - i + 1) + lgamma(t - h + 1) - lgamma(a + b - i + 1) - lgamma(t - h - a - b + i + 1) - lgamma(t + 1) + lgamma(a + b + 1) + lgamma(t - a - b + 1)))), 6) AS p FROM i GROUP BY celltype, a, b""")
+def fisher_greater(spark, d):
+    points = A.points(spark, d)
+    high = points.crossJoin(F.broadcast(points.agg(F.percentile("y", F.lit(0.95)).alias("cut")))).withColumn("high", F.col("y") >= F.col("cut"))
+    return rounded(T.fisher_greater(high, F.col("high"), "celltype").select("celltype", "a", "b", "p"))
+
+
+@query()
+def wilcoxon_greater(spark, d):
+    return rounded(T.wilcoxon_greater(A.points(spark, d), "y", "x", ["celltype"]))
+
+
 _BH = "SELECT cell, p, least(1, min(p * m / r) OVER (PARTITION BY slice ORDER BY r DESC)) AS q FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY p) AS r, count(*) OVER (PARTITION BY slice) AS m FROM t)"
 
 
@@ -488,6 +502,12 @@ def spectral_fit(spark, d):
     return rounded(M.fit_keys(M.spectral_rows(_fit_cells(spark, d), 2.0), 2, 15), 4)
 
 
+@query()
+def automatic_rank(spark, d):
+    """The estimator with its number of programs chosen by the data: at most 6 of 15 genes."""
+    return rounded(M.fit_keys(M.spectral_rows(_fit_cells(spark, d), 2.0), 6, 15, auto=True), 4)
+
+
 @query()
 def simulated_recovery(spark, d):
     data = Z.generate()
