@@ -26,7 +26,7 @@ def quantile_filter(metrics: DataFrame, least_total: float, least_genes: float,
 
 def exclude_rows(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows that match every column of a row of keys go."""
-    return df.join(F.broadcast(keys), keys.columns, "left_anti")
+    return df.join(keys, keys.columns, "left_anti")
 
 
 def exclude_ages(df: DataFrame, ages: Sequence[float]) -> DataFrame:

@@ -30,7 +30,7 @@ def evaluate(df: DataFrame, truth: str, pred: str) -> DataFrame:
     ra = a.agg(F.sum(_pairs(F.col("a"))).alias("i"), F.sum(F.col("a") * F.ln("a")).alias("ea"))
     rb = b.agg(F.sum(_pairs(F.col("b"))).alias("j"), F.sum(F.col("b") * F.ln("b")).alias("eb"), F.count(F.lit(1)).alias("labels"))
     mutual = cells.agg(F.sum(F.col("n") * F.ln("n")).alias("em"))
-    named = df.select(truth, F.col(pred).alias("_pred")).join(F.broadcast(majority(df, pred, truth).toDF("_pred", "_label")), "_pred").select(F.col(truth).alias("t"), F.col("_label").alias("l"))
+    named = df.select(truth, F.col(pred).alias("_pred")).join(majority(df, pred, truth).toDF("_pred", "_label"), "_pred").select(F.col(truth).alias("t"), F.col("_label").alias("l"))
     hits = named.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t") == F.col("l")).alias("tp"))
     said = named.groupBy(F.col("l").alias("t")).agg(F.count(F.lit(1)).alias("m"))
     f1 = hits.join(said, "t", "left").agg((F.sum("tp") / F.sum("n")).alias("accuracy"), F.avg(F.col("tp") / F.col("n")).alias("balanced"), F.avg(2 * F.col("tp") / (F.col("n") + F.coalesce("m", F.lit(0)))).alias("macro_f1"))

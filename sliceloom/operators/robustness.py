@@ -34,7 +34,7 @@ def weights_by_correlation(values: DataFrame, scores: DataFrame, cells: DataFram
     """program, gene, weight: correlation over slices of mean values and mean scores; null where either is constant."""
     x = values.join(cells.select("cell", "slice"), "cell").groupBy("slice", "gene").agg(F.avg("value").alias("x"))
     y = scores.join(cells.select("cell", "slice"), "cell").groupBy("slice", "program").agg(F.avg("h").alias("y"))
-    s = x.join(F.broadcast(y), "slice").groupBy("program", "gene").agg(F.corr("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    s = x.join(y, "slice").groupBy("program", "gene").agg(F.corr("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     return s.select("program", "gene", F.when((F.col("sx") >= 1e-12) & (F.col("sy") >= 1e-12), F.col("c")).alias("weight"))
 
 

@@ -107,7 +107,7 @@ def nearest_within(targets: DataFrame, others: DataFrame, radius: float) -> Data
     """
     types = others.select("slice", F.col("celltype").alias("other_type")).distinct()
     found = radius_pairs(targets.select("slice", "cell", "x", "y"), others, radius).where("cell <> other").groupBy("cell", "other_type").agg(F.min("d").alias("d"))
-    return targets.join(F.broadcast(types), "slice").join(found, ["cell", "other_type"], "left")
+    return targets.join(types, "slice").join(found, ["cell", "other_type"], "left")
 
 
 def near_removed(cells: DataFrame, kind: str, radius: float) -> DataFrame:
@@ -120,7 +120,7 @@ def shell_counts(targets: DataFrame, others: DataFrame, inner: float, outer: flo
     """cell, other_type, n with inner < d <= outer; zeros for the types the slice has."""
     types = others.select("slice", F.col("celltype").alias("other_type")).distinct()
     found = radius_pairs(targets.select("slice", "cell", "x", "y"), others, outer).where((F.col("d") > inner) & (F.col("cell") != F.col("other"))).groupBy("cell", "other_type").agg(F.count(F.lit(1)).alias("n"))
-    return targets.select("slice", "cell").join(F.broadcast(types), "slice").join(found, ["cell", "other_type"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return targets.select("slice", "cell").join(types, "slice").join(found, ["cell", "other_type"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def log_density(targets: DataFrame, others: DataFrame, radius: float) -> DataFrame:

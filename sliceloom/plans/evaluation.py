@@ -64,7 +64,7 @@ def allowed_types(spark, d):
     kinds = spark.createDataFrame([("view",), ("click",), ("purchase",)], "celltype string")
     points = A.points(spark, d)
     count = lambda df, v: df.groupBy("celltype").agg(F.count(F.lit(1)).alias("n")).select("celltype", F.lit(v).alias("allowed"), "n")
-    return count(points.join(F.broadcast(kinds), "celltype", "left_semi"), True).unionByName(count(points.join(F.broadcast(kinds), "celltype", "left_anti"), False))
+    return count(points.join(kinds, "celltype", "left_semi"), True).unionByName(count(points.join(kinds, "celltype", "left_anti"), False))
 
 
 @query(f"WITH {POINTS} SELECT cell, CASE WHEN region = 1 THEN 'L' ELSE 'R' END AS side, CASE celltype WHEN 'view' THEN 2 WHEN 'click' THEN 14 ELSE 42 END AS days FROM points WHERE celltype IN ('view', 'click', 'purchase')")

@@ -95,8 +95,11 @@ def standard_weights(loadings: DataFrame, signed: bool = False, unit: bool = Tru
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir; in /tmp/checkpoints where that is unset, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder of spark.checkpoint.dir; in /tmp/checkpoints where that is unset on one machine, as in tests."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir names no folder that {master} shares")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
