@@ -266,25 +266,37 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def telling(flat: np.ndarray, owner: np.ndarray, target: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def telling(place: np.ndarray, first: np.ndarray, size: int, target: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features, log ratios of their rates in bad and good texts): those whose rates differ by more than chance.
 
-    flat: distinct features of each text, owner: their texts, target: probability of bad, share: how much a text counts
-    (near copies one between them). The test is the likelihood ratio of the two rates, held against twice the log of
-    the number of features, so few of them pass by chance however many are tried; a feature of fewer than LEAST_DF
-    texts never passes.
+    place[first[i]:first[i + 1]]: distinct features of text i, under size; target: probability of bad; share: how much a
+    text counts (near copies one between them, 0: not at all). The test is the likelihood ratio of the two rates, held
+    against the log of the number of features, so few of them pass by chance however many are tried; a feature of fewer
+    than LEAST_DF texts never passes.
     """
-    features, place = np.unique(flat, return_inverse=True)
-    classes = share * (1 - target), share * target
-    there = np.stack([np.bincount(place, weights=c[owner], minlength=len(features)) for c in classes])
-    n = np.array([c.sum() for c in classes])
+    classes = np.stack((share * (1 - target), share * target))
+    there, n = np.zeros((2, size)), classes.sum(axis=1)
+    for i in range(0, len(target), 500):  # small blocks: the driver's memory stays near the sample's size
+        j = min(len(target), i + 500)
+        part, counts = place[first[i] : first[j]], np.diff(first[i : j + 1])
+        for y in (0, 1):
+            there[y] += np.bincount(part, weights=np.repeat(classes[y, i:j], counts), minlength=size)
     rate, both = (there + 0.5) / (n[:, None] + 1), there.sum(axis=0) / max(1e-9, n.sum())
-    g = np.zeros(len(features))
+    g = np.zeros(size)
     for y in (0, 1):
         for seen, mean in ((there[y], both), (n[y] - there[y], 1 - both)):
             g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(n[y] * mean, 1e-12)), 0.0)
-    passed = (g > np.log(max(2, len(features))) + 5) & (there.sum(axis=0) >= LEAST_DF)
-    return features[passed], np.log(rate[1] / rate[0])[passed]
+    tried = max(2, int((both > 0).sum()))
+    passed = np.flatnonzero((g > np.log(tried) + 5) & (there.sum(axis=0) >= LEAST_DF))
+    return passed, np.log(rate[1] / rate[0])[passed]
+
+
+def _entries(place: np.ndarray, first: np.ndarray, size: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number in chosen, text) of the entries whose feature is chosen."""
+    number = np.full(size, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    at = np.flatnonzero(number[place] >= 0)
+    return number[place[at]], np.searchsorted(first, at, "right") - 1
 
 
 def _descend(at: np.ndarray, first: np.ndarray, scale: np.ndarray, shapes: np.ndarray | None, target: np.ndarray, weight: np.ndarray, strength: float, rounds: int, begin: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -314,48 +326,45 @@ STRENGTHS = (1e-4, 1e-3, 1e-2)
 _SCALE = 30.0
 
 
-def train(flat: np.ndarray, first: np.ndarray, shapes: np.ndarray | None, target: np.ndarray, share: np.ndarray, rate: np.ndarray, rounds: int = 120) -> Scorer:
+def train(vocabulary: np.ndarray, place: np.ndarray, first: np.ndarray, shapes: np.ndarray | None, target: np.ndarray, share: np.ndarray, rate: np.ndarray, rounds: int = 120) -> Scorer:
     """A scorer of soft targets. Features are screened by telling() and enter scaled by their log ratios; every fifth row is held out to choose the penalty, then all rows train. Deterministic."""
     n, weight = len(target), share / rate
     if not n or target.max() - target.min() < 1e-6:
         mean = float(np.clip(target.mean(), 1e-3, 0.1)) if n else 0.1
         return Scorer(Weights(np.zeros(0, np.uint32), np.zeros(0)), None, float(np.log(mean / (1 - mean))))
     used = np.zeros(0, np.int64) if shapes is None else np.flatnonzero(shapes.any(axis=0))
-    dense = None if shapes is None else shapes[:, used] * np.float32(_SCALE)
-    owner = np.repeat(np.arange(n), np.diff(first))
-
-    def fitted(rows: np.ndarray, strengths: tuple[float, ...], begin: tuple[np.ndarray, float] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-        """(features, their weights, those of shapes, bias) for each strength."""
-        number, use = np.cumsum(rows) - 1, rows[owner]
-        features, scale = telling(flat[use], number[owner[use]], target[rows], share[rows])
-        use &= _in(flat, features)
-        part = None if dense is None else dense[rows]
-        at, ends = np.searchsorted(features, flat[use]), np.searchsorted(number[owner[use]], np.arange(rows.sum() + 1))
+    dense = None if shapes is None else shapes[:, used].astype(np.float32) * np.float32(_SCALE)
+
+    def fitted(rows: np.ndarray, strengths: tuple[float, ...], begin: tuple[np.ndarray, float] | None = None) -> Iterator[tuple]:
+        """(entries' numbers, their texts, features, their weights, those of shapes, bias) for each strength."""
+        features, scale = telling(place, first, len(vocabulary), target, share * rows)
+        at, owner = _entries(place, first, len(vocabulary), features)
+        use, part = rows[owner], None if dense is None else dense[rows]
+        ends = np.searchsorted((np.cumsum(rows) - 1)[owner[use]], np.arange(rows.sum() + 1))
         for strength in strengths:
-            found = _descend(at, ends, scale, part, target[rows], weight[rows] / weight[rows].sum(), strength, rounds if begin is None else rounds // 2, begin)
+            found = _descend(at[use], ends, scale, part, target[rows], weight[rows] / weight[rows].sum(), strength, rounds if begin is None else rounds // 2, begin)
             begin = found[1:]
-            yield features, *found
+            yield at, owner, features, *found
 
     best, begin, out = STRENGTHS[0], None, np.arange(n) % 5 == 4
     if out.any() and 0 < target[~out].sum() < (~out).sum():
         losses = []
-        for features, w, d, bias in fitted(~out, STRENGTHS):
-            use = out[owner] & _in(flat, features)
-            z = np.bincount(owner[use], weights=w[np.searchsorted(features, flat[use])], minlength=n)[out] + bias + (0 if dense is None else dense[out] @ d)
+        for at, owner, _, w, d, bias in fitted(~out, STRENGTHS):
+            z = np.bincount(owner, weights=w[at], minlength=n)[out] + bias + (0 if dense is None else dense[out] @ d)
             p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-6, 1 - 1e-6)
             losses.append(-(weight[out] * (target[out] * np.log(p) + (1 - target[out]) * np.log(1 - p))).sum())
         best, begin = STRENGTHS[int(np.argmin(losses))], (d, bias)
-    features, w, d, bias = next(fitted(np.ones(n, bool), (best,), begin))
+    _, _, features, w, d, bias = next(fitted(np.ones(n, bool), (best,), begin))
     whole = np.zeros(SHAPES)
     whole[used] = d * _SCALE
-    return Scorer(Weights(features, w), None if dense is None else whole, bias)
+    return Scorer(Weights(vocabulary[features], w), None if dense is None else whole, bias)
 
 
-def lexicon(flat: np.ndarray, owner: np.ndarray, target: np.ndarray, share: np.ndarray) -> Weights:
+def lexicon(vocabulary: np.ndarray, place: np.ndarray, first: np.ndarray, target: np.ndarray, share: np.ndarray) -> Weights:
     """Words and beginnings that stand at least TELLING times as often in bad texts, by more than chance."""
-    features, ratio = telling(flat, owner, target, share)
+    features, ratio = telling(place, first, len(vocabulary), target, share)
     strong = ratio >= np.log(TELLING)
-    return Weights(features[strong], np.ones(int(strong.sum())))
+    return Weights(vocabulary[features[strong]], np.ones(int(strong.sum())))
 
 
 @dataclass
@@ -390,9 +399,10 @@ def _learned(block: Block, half: np.ndarray, lexicons: tuple[Weights, Weights])
 
 @dataclass
 class Sample:
-    """The rows that train: distinct features of each, shapes, votes and what was said, halves and rates, and how much each counts (near copies one between them); in an order that does not depend on tasks."""
+    """The rows that train: places of the distinct features of each in the ascending vocabulary, shapes, votes and what was said, halves and rates, and how much each counts (near copies one between them); in an order that does not depend on tasks."""
 
-    flat: np.ndarray
+    vocabulary: np.ndarray
+    place: np.ndarray
     first: np.ndarray
     shapes: np.ndarray
     prose: np.ndarray
@@ -401,10 +411,6 @@ class Sample:
     rate: np.ndarray
     share: np.ndarray
 
-    @property
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.rate)), np.diff(self.first))
-
 
 _DESCRIBED = "words binary, shapes binary, prose long, abuse long, half int, rate double, kind long"
 
@@ -425,23 +431,31 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gathered(chosen: DataFrame) -> Sample:
-    """chosen (text, said_prose, said_abuse, half, rate): about as many rows as the sample's bound, brought to the driver."""
+    """chosen (text, said_prose, said_abuse, half, rate): about as many rows as the sample's bound, brought to the driver.
+
+    Rows stay in their Arrow buffers until features that too few of them have are gone, which most are: a table of counts
+    by the upper bits of a feature tells, and keeps every feature that might have enough.
+    """
     table = chosen.mapInArrow(_describe, _DESCRIBED).toArrow()
-    words, shapes = (table.column(c).to_pylist() for c in ("words", "shapes"))
-    order = sorted(range(len(words)), key=lambda i: (zlib.crc32(words[i]), zlib.crc32(shapes[i]), len(words[i])))  # tasks end in any order; sums of floats should not
-    dense = np.empty((len(order), SHAPES), np.float32)
+    words, shapes = ([x.as_buffer() for chunk in table.column(c).chunks for x in chunk] for c in ("words", "shapes"))
+    order = sorted(range(len(words)), key=lambda i: (zlib.crc32(words[i]), zlib.crc32(shapes[i]), words[i].size))  # tasks end in any order; sums of floats should not
+    rest = [table.column(c).to_numpy()[order] if order else np.zeros(0, np.int64) for c in ("prose", "abuse", "half", "rate", "kind")]
+    seen, dense, parts = np.zeros(1 << 24, np.uint8), np.empty((len(order), SHAPES), np.float16), [np.zeros(0, np.uint32)]
+    for x in words:
+        at = np.frombuffer(x, np.uint32) >> np.uint32(8)
+        seen[at] = np.minimum(seen[at], 254) + 1
     for k, i in enumerate(order):
         dense[k] = np.frombuffer(shapes[i], np.float16)
-    seen = np.sort(np.frombuffer(b"".join(words), np.uint32))
-    ends = np.flatnonzero(np.concatenate((seen[1:] != seen[:-1], [True]))) if len(seen) else np.zeros(0, np.int64)
-    frequent = seen[ends[np.diff(np.concatenate(([-1], ends))) >= LEAST_DF]]  # others never pass the test
-    del seen, ends
-    parts = [np.frombuffer(words[i], np.uint32) for i in order]
-    parts = [x[_in(x, frequent)] for x in parts]
-    sizes = np.array([len(x) for x in parts], np.int64)
-    rest = [table.column(c).to_numpy()[order] if order else np.zeros(0, np.int64) for c in ("prose", "abuse", "half", "rate")]
-    _, kind, copies = np.unique(table.column("kind").to_numpy()[order] if order else [], return_inverse=True, return_counts=True)
-    return Sample(np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))), dense, *rest, 1 / copies[kind])
+        x = np.frombuffer(words[i], np.uint32)
+        parts.append(x[seen[x >> np.uint32(8)] >= LEAST_DF])
+    del table, words, shapes, seen
+    vocabulary, times = np.unique(np.concatenate(parts), return_counts=True)
+    vocabulary = vocabulary[times >= LEAST_DF]  # others never pass the test
+    for k, x in enumerate(parts):
+        parts[k] = np.searchsorted(vocabulary, x[_in(x, vocabulary)]).astype(np.int32)
+    first = np.cumsum([len(x) for x in parts], dtype=np.int64)
+    _, kind, copies = np.unique(rest.pop(), return_inverse=True, return_counts=True)
+    return Sample(vocabulary, np.concatenate(parts), first, dense, *rest, 1 / copies[kind])
 
 
 def _no_lexicons() -> tuple[Weights, Weights]:
@@ -450,21 +464,21 @@ def _no_lexicons() -> tuple[Weights, Weights]:
 
 def _cross_fitted(sample: Sample) -> tuple[Weights, Weights]:
     """For each half the lexicon of the other half's annotated rows."""
-    said, owner, out = sample.abuse // 3**ABUSE, sample.owner, []
+    said, out = sample.abuse // 3**ABUSE, []
+    bad = (said == BAD).astype(float)
     for half in (0, 1):
         rows = (sample.half != half) & (said != SILENT)
-        number, use = np.cumsum(rows) - 1, rows[owner]
-        bad = (said[rows] == BAD).astype(float)
-        out.append(lexicon(sample.flat[use], number[owner[use]], bad, sample.share[rows]) if 0 < bad.sum() < len(bad) else _no_lexicons()[0])
+        both = 0 < bad[rows].sum() < rows.sum()
+        out.append(lexicon(sample.vocabulary, sample.place, sample.first, bad, sample.share * rows) if both else _no_lexicons()[0])
     return out[0], out[1]
 
 
 def _sample_votes(sample: Sample, lexicons: tuple[Weights, Weights]) -> np.ndarray:
     """The rows' patterns on abuse with the lexicons' votes."""
-    owner, bad = sample.owner, np.zeros(len(sample.rate), bool)
+    bad = np.zeros(len(sample.rate), bool)
     for half, known in enumerate(lexicons):
-        hit = np.bincount(owner, weights=_in(sample.flat, known.features), minlength=len(bad)) > 0
-        bad |= hit & (sample.half == half)
+        _, owner = _entries(sample.place, sample.first, len(sample.vocabulary), np.searchsorted(sample.vocabulary, known.features))
+        bad |= (np.bincount(owner, minlength=len(bad)) > 0) & (sample.half == half)
     return sample.abuse + np.where(bad, BAD, SILENT) * 3 ** len(INSULTS)
 
 
@@ -516,7 +530,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
         rows = _gathered(_by_votes(texts.withColumn("hashed", hashed), rates, said))
     patterns = rows.prose, _sample_votes(rows, lexicons)
     targets = [known.bad(p) for known, p in zip((prose, abuse), patterns, strict=True)]
-    scorers = [train(rows.flat, rows.first, s, t, rows.share, rows.rate) for s, t in zip((rows.shapes, None), targets, strict=True)]
+    scorers = [train(rows.vocabulary, rows.place, rows.first, s, t, rows.share, rows.rate) for s, t in zip((rows.shapes, None), targets, strict=True)]
     return Model(lexicons, prose, abuse, *scorers)
 
 

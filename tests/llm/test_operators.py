@@ -583,7 +583,7 @@ def test_train_is_the_penalised_optimum():
     sets = [[4] * (rng.random() < (0.8 if t else 0.1)) + [8] * (rng.random() < 0.5) + [12 + 4 * i] for i, t in enumerate(target)]
     flat, first = np.array([x for s in sets for x in s], np.uint32), np.cumsum([0, *map(len, sets)])
     owner = np.repeat(np.arange(n), np.diff(first))
-    features, ratio = quality.telling(flat, owner, target, np.ones(n))
+    features, ratio = quality.telling(flat.astype(np.int32), first, int(flat.max()) + 1, target, np.ones(n))
     with4 = np.array([4 in s for s in sets])
     rates = [(with4[target == y].sum() + 0.5) / ((target == y).sum() + 1) for y in (0, 1)]
     assert features.tolist() == [4] and ratio[0] == pytest.approx(np.log(rates[1] / rates[0]))
