@@ -33,21 +33,62 @@ def temporal_bandwidth(slices: DataFrame, rho: float = math.exp(-2)) -> DataFram
     return gap.select(F.coalesce(F.col("d") * F.col("d") / abs(math.log(rho)), F.lit(1.0)).alias("gamma"))
 
 
+#: Slices of up to this many cells a neighbour are compared whole; their pairs grow with the cells, not their square.
+SMALL = 64
+
+
 def neighbours(cells: DataFrame, k: Column | int) -> DataFrame:
-    """slice, src, dst, d, rank: the k nearest other cells of the slice, ties by cell.
+    """slice, src, dst, d, rank: the k nearest other cells of the slice, ties by cell. Cells without a place have none.
 
-    Each slice is one spatial section, so pairs stay inside sections; sections of many thousand cells belong in
-    radius_pairs.
+    With a fixed k, slices over SMALL * k cells meet on a grid, by _grid_pairs. A k that grows with the slice puts out a
+    share of all pairs anyway and compares slices whole.
     """
-    a = cells.select("slice", F.col("cell").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = cells.select("slice", F.col("cell").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
-    near = a.join(b, "slice").where("src <> dst").select("slice", "src", "dst", d.alias("d"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("slice", "src").orderBy("d", "dst")))
+    cells = cells.select("slice", "cell", "x", "y").where("x is not null and y is not null")
+    sizes = cells.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"))
+    rank = F.row_number().over(Window.partitionBy("slice", "src").orderBy("d", "dst"))
     if isinstance(k, int):
-        return ranked.where(F.col("rank") <= k)
-    sizes = cells.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    return ranked.join(F.broadcast(sizes), "slice").where(F.col("rank") <= k).drop("n")
+        # A slice of one place for all its cells has no grid; its pairs are all ties.
+        crowded = (F.col("n") > SMALL * k) & (F.col("side") > 0)
+        near = _pairs_within(cells.join(sizes.where(~crowded).select("slice"), "slice")).unionByName(_grid_pairs(cells, sizes.where(crowded), k))
+        return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = _pairs_within(cells).withColumn("rank", rank)
+    return ranked.join(F.broadcast(sizes.select("slice", "n")), "slice").where(F.col("rank") <= k).drop("n")
+
+
+def _ends(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(cells.withColumnsRenamed({"cell": end, "x": f"x{i}", "y": f"y{i}"}) for i, end in ((1, "src"), (2, "dst")))
+
+
+def _distances(pairs: DataFrame) -> DataFrame:
+    return pairs.where("src <> dst").select("slice", "src", "dst", F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("d"))
+
+
+def _pairs_within(cells: DataFrame) -> DataFrame:
+    """slice, src, dst, d of all ordered pairs of a slice."""
+    a, b = _ends(cells)
+    return _distances(a.join(b, "slice"))
+
+
+def _grid_pairs(cells: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """slice, src, dst, d: for each cell of the slices of `sizes`, a few times k others, the k nearest and their ties among them.
+
+    Grids halve their boxes level by level. A cell's level is the deepest where its box and the eight around it hold k
+    others: those are all nearer than 2 * sqrt(2) sides of a box, so what is nearest lies at most three boxes away.
+    """
+    depth = F.ceil(F.log(F.col("n") / k) / math.log(4)).cast("int") + 2
+    box = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * F.pow(F.lit(2.0), "level")).cast("long")
+    placed = cells.join(sizes, "slice").withColumn("level", F.explode(F.sequence(F.lit(0), depth))).select("slice", "cell", "x", "y", "level", box("x").alias("bx"), box("y").alias("by"))
+    key = ["slice", "level", "bx", "by"]
+
+    def around(rows: DataFrame, reach: int) -> DataFrame:
+        to = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - reach), F.least(F.pow(F.lit(2.0), "level").cast("long"), F.col(c) + reach)))
+        return rows.withColumn("bx", to("bx")).withColumn("by", to("by"))
+
+    counts = around(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), 1).groupBy(*key).agg(F.sum("n").alias("n"))
+    full = counts.where((F.col("n") > k) | (F.col("level") == 0)).drop("n")
+    own = placed.join(full, key).groupBy("slice", "cell").agg(F.max_by(F.struct("x", "y", "level", "bx", "by"), "level").alias("own")).select("slice", "cell", "own.*")
+    a, b = _ends(around(own, 3))[0], _ends(placed)[1]
+    return _distances(a.join(b, key))
 
 
 def knn_graph(cells: DataFrame, k: Column | int) -> DataFrame:

@@ -143,13 +143,20 @@ def shell_enrichment(targets: DataFrame, others: DataFrame, value: str, inner: f
 
 
 def permutation_null(targets: DataFrame, others: DataFrame, kind: str, value: str, near: float, far: float, draws: int = 100, seed: int = 0, least: int = 8, add_one: bool = False) -> DataFrame:
-    """observed, p, sd: the pooled effect of a type against that of as many cells of each slice drawn by a hash."""
-    observed = matched_effects(targets, others.where(F.col("celltype") == kind), value, near, far, least)
-    sizes = others.where(F.col("celltype") == kind).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    """observed, p, sd: the pooled effect of a type against that of as many cells of each slice drawn by a hash.
+
+    A draw is the n smallest hashes of a slice, so only hashes under a bound are shuffled: n + 10 sqrt(n) + 50 are
+    expected under it, and fewer than n come with a chance below 1e-12.
+    """
+    of_kind = others.where(F.col("celltype") == kind)
+    observed = matched_effects(targets, of_kind, value, near, far, least)
+    sizes = others.groupBy("slice").agg(F.count_if(F.col("celltype") == kind).alias("n"), F.count(F.lit(1)).alias("of")).where("n > 0")
+    bounds = sizes.select("slice", "n", ((F.col("n") + 10 * F.sqrt("n") + 50) / F.col("of")).alias("share"))
     spark = targets.sparkSession
-    pool = others.crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))
-    order = Window.partitionBy("draw", "slice").orderBy(F.xxhash64(F.lit(seed), "draw", "cell"), "cell")
-    drawn = pool.withColumn("r", F.row_number().over(order)).join(F.broadcast(sizes), "slice").where("r <= n").withColumn("celltype", F.col("draw").cast("string"))
+    pool = others.join(bounds, "slice").crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))
+    hashed = pool.withColumn("hash", F.xxhash64(F.lit(seed), "draw", "cell")).where(F.col("hash") / 2.0**64 + 0.5 <= F.col("share"))
+    order = Window.partitionBy("draw", "slice").orderBy("hash", "cell")
+    drawn = hashed.withColumn("r", F.row_number().over(order)).where("r <= n").drop("n", "share", "hash", "r").withColumn("celltype", F.col("draw").cast("string"))
     null = matched_effects(targets, drawn, value, near, far, least)
     extra = 1 if add_one else 0
     both = null.select(F.col("effect").alias("e")).crossJoin(F.broadcast(observed.select(F.col("effect").alias("observed"))))

@@ -45,6 +45,21 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
+def _two_sided(z: str) -> str:
+    """SQL for the two-sided normal tail of z: the series of the error function whose terms are all positive; beyond 9 the tail is under 1e-18."""
+    x = f"(least(abs({z}), 9) / sqrt(2))"
+    terms = f"[exp(2 * i * ln(2) + (2 * i + 1) * ln({x}) + lgamma(i + 1) - lgamma(2 * i + 2)) for i in range(0, 200)]"
+    return f"CASE WHEN {z} = 0 THEN 1 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum({terms})) END"
+
+
+def _t_two_sided(t: str, df: str) -> str:
+    """SQL for the two-sided tail of Student's t with a whole number of degrees of freedom: the finite sums in the angle atan(t / sqrt(df))."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum([exp(lgamma(2 * j + 1) - j * ln(4) - 2 * lgamma(j + 1)) * pow(cos({angle}), 2 * j) for j in range(0, {df} // 2)])"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum([exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * pow(cos({angle}), 2 * j + 1) for j in range(0, ({df} - 1) // 2)]), 0))"
+    return f"greatest(0, 1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
 def slices_of(points: DataFrame) -> DataFrame:
     return points.select("slice", "age").distinct()
 
@@ -231,7 +246,12 @@ def neighbourhood_composition(spark, d):
     return rounded(S.composition(A.points(spark, d), 10.0))
 
 
-@query()
+@query(f"""WITH {POINTS}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points),
+    c AS (SELECT CAST(least(9, floor((x - x0) / (x1 - x0) * 10)) AS BIGINT) AS gx, CAST(least(9, floor((y - y0) / (y1 - y0) * 10)) AS BIGINT) AS gy, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(b) AS time FROM points CROSS JOIN e GROUP BY 1, 2 HAVING count(*) >= 10),
+    s AS (SELECT g.gx, g.gy, sum((h.time - g.time) * (h.x - g.x) / (pow(h.x - g.x, 2) + pow(h.y - g.y, 2))) AS sx, sum((h.time - g.time) * (h.y - g.y) / (pow(h.x - g.x, 2) + pow(h.y - g.y, 2))) AS sy
+        FROM c g JOIN c h ON abs(g.gx - h.gx) <= 1 AND abs(g.gy - h.gy) <= 1 AND NOT (g.gx = h.gx AND g.gy = h.gy) GROUP BY 1, 2)
+    SELECT 'all' AS slice, gx, gy, n, round(x, 6) AS x, round(y, 6) AS y, round(time, 6) AS time, CASE WHEN sqrt(sx * sx + sy * sy) > 0 THEN round(sx / sqrt(sx * sx + sy * sy), 6) ELSE 0 END AS dx,
+    CASE WHEN sqrt(sx * sx + sy * sy) > 0 THEN round(sy / sqrt(sx * sx + sy * sy), 6) ELSE 0 END AS dy FROM c LEFT JOIN s USING (gx, gy)""")
 def time_gradient(spark, d):
     return rounded(S.time_gradient(A.points(spark, d).withColumn("slice", F.lit("all")), "b"))
 
@@ -324,7 +344,11 @@ def mann_whitney(spark, d):
     return rounded(T.mann_whitney(A.points(spark, d), "y", F.col("celltype") == "click", ["slice"]))
 
 
-@query()
+@query(f"""WITH {POINTS}, r AS (SELECT slice, celltype = 'click' AS f, rank() OVER (PARTITION BY slice ORDER BY y) + (count(*) OVER (PARTITION BY slice, y) - 1) / 2 AS r, count(*) OVER (PARTITION BY slice, y) AS t FROM points),
+    s AS (SELECT slice, CAST(count(*) FILTER (f) AS BIGINT) AS n1, CAST(count(*) FILTER (NOT f) AS BIGINT) AS n2, sum(r) FILTER (f) AS r, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM r GROUP BY slice), u AS (SELECT *, r - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM s),
+    z AS (SELECT slice, n1, n2, u.u, (u - n1 * n2 / 2 - sign(u - n1 * n2 / 2) * 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM u), p AS (SELECT *, {_two_sided("z")} AS p FROM z),
+    k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS k FROM p)
+    SELECT slice, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(p, 6) AS p, round(least(1, min(p * m / k) OVER (ORDER BY k DESC)), 6) AS q, round(least(1, max(p * (m - k + 1)) OVER (ORDER BY k)), 6) AS holm FROM k""")
 def mann_whitney_p(spark, d):
     rows = T.mann_whitney(A.points(spark, d), "y", F.col("celltype") == "click", ["slice"]).withColumn("p", normal_two_sided("z"))
     return rounded(T.holm(T.bh(rows, "p"), "p"))
@@ -419,14 +443,24 @@ def proximity_permutation(spark, d):
     return rounded(T.permutation_null(points.where("celltype = 'view'"), points, "click", "b", 6.0, 20.0))
 
 
-@query()
+@query(f"""WITH {POINTS}, v AS (SELECT *, quantile_cont(b, 0.75) OVER () AS q3, quantile_cont(b, 0.25) OVER () AS q1 FROM points WHERE celltype = 'view'), t AS (SELECT slice, cell, x, y, b >= q3 AS high FROM v WHERE b >= q3 OR b <= q1),
+    k AS (SELECT DISTINCT slice, celltype AS other_type FROM points), n AS (SELECT t.cell, t.high, k.other_type, count(p.cell) AS n FROM t JOIN k USING (slice) LEFT JOIN points p ON p.slice = t.slice AND p.celltype = k.other_type AND p.cell <> t.cell
+        AND sqrt(pow(p.x - t.x, 2) + pow(p.y - t.y, 2)) > 5 AND sqrt(pow(p.x - t.x, 2) + pow(p.y - t.y, 2)) <= 15 GROUP BY 1, 2, 3),
+    r AS (SELECT *, rank() OVER (PARTITION BY other_type ORDER BY n) + (count(*) OVER (PARTITION BY other_type, n) - 1) / 2 AS r, count(*) OVER (PARTITION BY other_type, n) AS ties FROM n),
+    s AS (SELECT other_type, count(*) FILTER (high) AS nh, count(*) FILTER (NOT high) AS nl, avg(n) FILTER (high) AS hi, avg(n) FILTER (NOT high) AS lo, sum(r) FILTER (high) AS r, CAST(sum(ties * ties - 1) AS DOUBLE) AS ties FROM r GROUP BY 1 HAVING nh >= 30 AND nl >= 30),
+    u AS (SELECT *, r - nh * (nh + 1) / 2 AS u, sqrt(nh * nl / 12 * ((nh + nl + 1) - ties / ((nh + nl) * (nh + nl - 1)))) AS sd FROM s), z AS (SELECT *, CASE WHEN sd > 0 THEN (u - nh * nl / 2 - sign(u - nh * nl / 2) * 0.5) / sd END AS z FROM u),
+    p AS (SELECT *, {_two_sided("z")} AS p FROM z), k2 AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY coalesce(p, 1)) AS k FROM p), f AS (SELECT *, least(1, min(coalesce(p, 1) * m / k) OVER (ORDER BY k DESC)) AS q FROM k2)
+    SELECT other_type, nh, nl, round(hi, 6) AS hi, round(lo, 6) AS lo, round(u, 6) AS u, round(z, 6) AS z, round(log2((hi + 0.05) / (lo + 0.05)), 6) AS log2_ratio, round(p, 6) AS p, round(q, 6) AS q, CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' ELSE 'ns' END AS stars FROM f""")
 def shell_enrichment(spark, d):
     points = A.points(spark, d)
     rows = T.shell_enrichment(points.where("celltype = 'view'"), points, "b", 5.0, 15.0).withColumn("p", normal_two_sided("z"))
     return rounded(T.bh(rows, "p", "q", missing="one").withColumn("stars", C.stars(F.col("q"))))
 
 
-@query()
+@query(f"""WITH {POINTS}, s AS (SELECT DISTINCT slice, age FROM points), n AS (SELECT s.slice, s.age, t.celltype, count(p.cell) AS n FROM s CROSS JOIN (SELECT DISTINCT celltype FROM points) t LEFT JOIN points p ON p.slice = s.slice AND p.celltype = t.celltype GROUP BY 1, 2, 3),
+    r AS (SELECT celltype, rank() OVER (PARTITION BY celltype ORDER BY n) + (count(*) OVER (PARTITION BY celltype, n) - 1) / 2 AS rn, rank() OVER (PARTITION BY celltype ORDER BY age) + (count(*) OVER (PARTITION BY celltype, age) - 1) / 2 AS ra FROM n),
+    c AS (SELECT celltype, corr(rn, ra) AS rho, count(*) AS slices FROM r GROUP BY 1 HAVING count(*) >= 3), t AS (SELECT *, rho * sqrt((slices - 2) / (1 - rho * rho)) AS t FROM c)
+    SELECT celltype, round(rho, 6) AS rho, slices, round(t, 6) AS t, round({_t_two_sided("t", "(slices - 2)")}, 6) AS p FROM t""")
 def abundance_trend(spark, d):
     n = C.abundance(A.points(spark, d)).join(slices_of(A.points(spark, d)), "slice")
     ranked = n.withColumns({"rn": P.average_rank("n", "celltype"), "ra": P.average_rank("age", "celltype")})
@@ -581,7 +615,9 @@ def density_regression(spark, d):
     return rounded(R.ordinary_least_squares(rows, "y", ["age", "region_1", "region_2", *kinds]), 4)
 
 
-@query()
+@query(f"""WITH {POINTS}, {_nearest(20)}, m AS (SELECT *, coalesce(d <= 6, false) AS near, d IS NULL AS far FROM n), e AS (SELECT other_type, slice, {_EFFECT} FROM m GROUP BY 1, 2 {_ENOUGH}), f AS (SELECT other_type, sum(w * e) / sum(w) AS effect, sum(w * e) / sqrt(sum(w)) AS z FROM e GROUP BY 1),
+    p AS (SELECT other_type, effect, {_two_sided("z")} AS p FROM f), k2 AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS k FROM p), q AS (SELECT *, least(1, min(p * m / k) OVER (ORDER BY k DESC)) AS q FROM k2)
+    SELECT 'b' AS program, count(*) AS significant, count(*) FILTER (effect > 0) AS positive, count(*) FILTER (effect < 0) AS negative, max_by(other_type, effect) AS top, min_by(other_type, effect) AS bottom FROM q WHERE q < 0.5 HAVING count(*) > 0""")
 def effector_summary(spark, d):
     points = A.points(spark, d)
     effects = T.matched_effects(points.where("celltype = 'view'"), points, "b", 6.0, 20.0).withColumn("p", normal_two_sided("z"))
