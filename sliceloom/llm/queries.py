@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceloom.llm import embeddings, fingerprints, minhash, mixing, packing, quality, repeats, secrets, sharding, warc
+from sliceloom.llm import centroids, embeddings, fingerprints, minhash, mixing, packing, quality, repeats, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "copies", "position")
 
 
+def op11_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_secret_links": op2_secret_links,
@@ -73,11 +77,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_weak_quality": op9_weak_quality,
     "op10_curriculum_mix": op10_curriculum_mix,
+    "op11_partial_distance": op11_partial_distance,
 }
 
 _REACH = """reach AS (SELECT id, id AS root FROM node UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.id WHERE e.b > r.root)"""
 
+
+
+def _lloyd(rounds: int = 3) -> str:
+    """SQL of op11: the rounds written out."""
+    near = """SELECT vec_id, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+        SELECT v.vec_id, c.k, list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{r} c) GROUP BY vec_id"""
+    out = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE len(embedding) = 64),
+        v AS (SELECT vec_id, list_transform(x, lambda y: CAST(floor(64 * y) AS BIGINT)) AS v FROM e WHERE len(list_filter(x, lambda y: isfinite(y))) = 64),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS c FROM v QUALIFY k < 16)"""
+    for r in range(rounds):
+        out += f""", a{r} AS ({near.format(r=r)}),
+        m{r} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{r} JOIN v USING (vec_id)) GROUP BY k, j),
+        n{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM m{r} GROUP BY k),
+        c{r + 1} AS (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN n{r} n ON n.k = o.k)"""
+    return out + f""", a AS ({near.format(r=rounds)})
+        SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a JOIN c{rounds} c ON c.k = a.k"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_partial_distance": _lloyd(),
     "op3_min_max_hash": """
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
