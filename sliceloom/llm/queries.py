@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceloom.llm import centroids, decontamination, embeddings, fingerprints, minhash, mixing, packing, quality, repeats, secrets, sharding, warc
+from sliceloom.llm import centroids, decontamination, embeddings, fingerprints, minhash, mixing, packing, prefixes, quality, repeats, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op12_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_secret_links": op2_secret_links,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_curriculum_mix": op10_curriculum_mix,
     "op11_partial_distance": op11_partial_distance,
     "op12_benchmark_windows": op12_benchmark_windows,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _REACH = """reach AS (SELECT id, id AS root FROM node UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.id WHERE e.b > r.root)"""
