@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sliceloom.sources.tables import scratch
+
 
 def _pairs(slices: DataFrame) -> DataFrame:
     """Ordered pairs of the slice table, which has one row a slice."""
@@ -38,21 +40,23 @@ SMALL = 64
 
 
 def neighbours(cells: DataFrame, k: Column | int) -> DataFrame:
-    """slice, src, dst, d, rank: the k nearest other cells of the slice, ties by cell. Cells without a place have none.
+    """slice, src, dst, d, rank: the k nearest other cells of the slice, ties by cell. Cells without a finite place have none.
 
-    With a fixed k, slices over SMALL * k cells meet on a grid, by _grid_pairs. A k that grows with the slice puts out a
-    share of all pairs anyway and compares slices whole.
+    With a fixed k, slices over SMALL * k cells are searched by _searched, however uneven they are. A k that grows with
+    the slice puts out a share of all pairs anyway and compares slices whole.
     """
-    cells = cells.select("slice", "cell", "x", "y").where("x is not null and y is not null")
-    sizes = cells.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"))
+    finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('inf')" for c in ("x", "y"))
+    cells = cells.select("slice", "cell", "x", "y").where(finite)
+    sizes = cells.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("slice", "src").orderBy("d", "dst"))
     if isinstance(k, int):
-        # A slice of one place for all its cells has no grid; its pairs are all ties.
-        crowded = (F.col("n") > SMALL * k) & (F.col("side") > 0)
-        near = _pairs_within(cells.join(sizes.where(~crowded).select("slice"), "slice")).unionByName(_grid_pairs(cells, sizes.where(crowded), k))
+        crowded = sizes.where(F.col("n") > SMALL * k)
+        near = _pairs_within(cells.join(sizes.where(F.col("n") <= SMALL * k).select("slice"), "slice"))
+        if not crowded.isEmpty():
+            near = near.unionByName(_searched(cells.join(crowded.select("slice"), "slice"), k))
         return near.withColumn("rank", rank).where(F.col("rank") <= k)
     ranked = _pairs_within(cells).withColumn("rank", rank)
-    return ranked.join(F.broadcast(sizes.select("slice", "n")), "slice").where(F.col("rank") <= k).drop("n")
+    return ranked.join(sizes, "slice").where(F.col("rank") <= k).drop("n")
 
 
 def _ends(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,26 +73,76 @@ def _pairs_within(cells: DataFrame) -> DataFrame:
     return _distances(a.join(b, "slice"))
 
 
-def _grid_pairs(cells: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """slice, src, dst, d: for each cell of the slices of `sizes`, a few times k others, the k nearest and their ties among them.
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    Grids halve their boxes level by level. A cell's level is the deepest where its box and the eight around it hold k
-    others: those are all nearer than 2 * sqrt(2) sides of a box, so what is nearest lies at most three boxes away.
+def _reaches(cells: DataFrame, k: int) -> DataFrame:
+    """slice, cell, x, y, r: a distance within which the cell has k others, seldom much more than the least such.
+
+    Cells are boxed in grids that halve level by level; the deepest box of a cell that still holds k others is its own,
+    and its k-th distance there, or the diagonal of a box of many, is r. A grid is as deep as an even spread of its
+    cells needs. Boxes on its floor that are still crowded get a tight grid of their own, so a stray cell far off
+    or clusters inside clusters cost another round, not deeper grids for all; each round parts at least the two ends of a box.
+    """
+    key = ["slice", "grid", "level", "bx", "by"]
+    rest, found = cells.withColumn("grid", F.lit(0).cast("long")), None
+    while True:
+        half = lambda c: F.max(c) / 2 - F.min(c) / 2  # noqa: E731  no overflow at the ends of the number range
+        grids = rest.groupBy("slice", "grid").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(half("x"), half("y")).alias("half"))
+        grids = grids.withColumn("floor", F.when(F.col("half") > 0, F.greatest(F.lit(1), F.ceil(F.log(F.col("n") / k) / math.log(4)).cast("int") + 2)).otherwise(F.lit(0)))
+        wide = F.pow(F.lit(2.0), "level")
+        box = lambda c: F.when(F.col("half") > 0, F.least(wide - 1, F.floor((F.col(c) / 2 - F.col(f"{c}0") / 2) / F.col("half") * wide))).otherwise(F.lit(0)).cast("long")  # noqa: E731, B023
+        placed = rest.join(grids, ["slice", "grid"]).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("floor"))))
+        placed = placed.select("slice", "grid", "cell", "x", "y", "level", box("x").alias("bx"), box("y").alias("by"), "half", "floor")
+        full = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("held")).where((F.col("held") > k) | (F.col("level") == 0))
+        deepest = F.max_by(F.struct("x", "y", "level", "bx", "by", "held", "half", "floor"), "level").alias("own")
+        own = _written(placed.join(full, key).groupBy("slice", "grid", "cell").agg(deepest).select("slice", "grid", "cell", "own.*"), "boxes")
+        again = (F.col("held") > SMALL * k) & (F.col("level") == F.col("floor")) & (F.col("half") > 0)
+        done = own.where(~again)
+        a, b = _ends(done.where(F.col("held") <= SMALL * k))[0], _ends(placed.select(*key, "cell", "x", "y"))[1]
+        near = a.join(b, key).where("src <> dst").select("slice", F.col("src").alias("cell"), "x1", "y1", F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("d"))
+        exact = near.groupBy("slice", "cell").agg(F.first("x1").alias("x"), F.first("y1").alias("y"), F.element_at(F.sort_array(F.collect_list("d")), k).alias("r"))
+        diagonal = math.sqrt(2) * 2 * F.col("half") / F.pow(F.lit(2.0), "level")
+        reached = exact.unionByName(done.where(F.col("held") > SMALL * k).select("slice", "cell", "x", "y", diagonal.alias("r")))
+        found = reached if found is None else found.unionByName(reached)
+        deeper = own.where(again)
+        if deeper.isEmpty():
+            return found
+        rest = deeper.select("slice", "cell", "x", "y", F.xxhash64("grid", "level", "bx", "by").alias("grid"))
+
+
+def _searched(cells: DataFrame, k: int) -> DataFrame:
+    """slice, src, dst, d: for each cell of slices with more than k cells a few times k others, the k nearest and their ties by cell among them.
+
+    Of cells in one place the k + 1 smallest can be neighbours. A cell looks around as far as _reaches says, on a grid
+    of about that size; others stand on the grids of all sizes that their slice uses.
     """
-    depth = F.ceil(F.log(F.col("n") / k) / math.log(4)).cast("int") + 2
-    box = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * F.pow(F.lit(2.0), "level")).cast("long")
-    placed = cells.join(sizes, "slice").withColumn("level", F.explode(F.sequence(F.lit(0), depth))).select("slice", "cell", "x", "y", "level", box("x").alias("bx"), box("y").alias("by"))
-    key = ["slice", "level", "bx", "by"]
-
-    def around(rows: DataFrame, reach: int) -> DataFrame:
-        to = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - reach), F.least(F.pow(F.lit(2.0), "level").cast("long"), F.col(c) + reach)))
-        return rows.withColumn("bx", to("bx")).withColumn("by", to("by"))
-
-    counts = around(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), 1).groupBy(*key).agg(F.sum("n").alias("n"))
-    full = counts.where((F.col("n") > k) | (F.col("level") == 0)).drop("n")
-    own = placed.join(full, key).groupBy("slice", "cell").agg(F.max_by(F.struct("x", "y", "level", "bx", "by"), "level").alias("own")).select("slice", "cell", "own.*")
-    a, b = _ends(around(own, 3))[0], _ends(placed)[1]
-    return _distances(a.join(b, key))
+    first = F.row_number().over(Window.partitionBy("slice", "x", "y").orderBy("cell"))
+    ranked = _written(cells.withColumn("_first", first), "places")
+    others = ranked.where(F.col("_first") <= k + 1).drop("_first")
+    reached = _written(_reaches(others, k).unionByName(ranked.where(F.col("_first") > k + 1).select("slice", "cell", "x", "y", F.lit(0.0).alias("r"))), "reaches")
+    size = F.pow(F.lit(2.0), "e")
+
+    def line(v: Column) -> Column:
+        """v rounded down, as a double: places may be too far out for a long."""
+        return F.when(F.abs(v) < 2.0**52, F.floor(v).cast("double")).otherwise(v)
+
+    def span(c: str) -> Column:
+        low, high = (line((F.col(c) + s * F.col("r") * (1 + 1e-9)) / size) for s in (-1, 1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.least(F.lit(8.0), high - low).cast("int")), lambda i: low + i))
+
+    far = reached.where("r > 0").withColumn("e", F.greatest(F.lit(-1000), F.ceil(F.log2("r")).cast("int") - 1))
+    sizes = far.groupBy("slice").agg(F.collect_set("e").alias("sizes"))
+    key = ["slice", "e", "bx", "by"]
+    a = _ends(far.withColumn("bx", F.explode(span("x"))).withColumn("by", F.explode(span("y"))))[0]
+    b = _ends(others.join(sizes, "slice").withColumn("e", F.explode("sizes")).select("slice", "cell", "x", "y", "e", line(F.col("x") / size).alias("bx"), line(F.col("y") / size).alias("by")))[1]
+    d = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
+    around = a.join(b, key).where((F.col("src") != F.col("dst")) & (d <= F.col("r"))).select("slice", "src", "dst", d.alias("d"))
+    here = _ends(reached.where("r = 0").drop("r"))[0].join(_ends(others)[1].withColumnsRenamed({"x2": "x1", "y2": "y1"}), ["slice", "x1", "y1"])
+    return around.unionByName(here.where("src <> dst").select("slice", "src", "dst", F.lit(0.0).alias("d")))
 
 
 def knn_graph(cells: DataFrame, k: Column | int) -> DataFrame:

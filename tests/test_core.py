@@ -268,6 +268,39 @@ def test_neighbours_of_crowded_slices_against_all_pairs(spark, k):
     assert set(map(tuple, found)) == expected and len(found) == len(expected)
 
 
+def _uneven(kind, n=3000):
+    rng = np.random.default_rng(3)
+    if kind == "even":
+        return rng.uniform(0, 100, (n, 2))
+    if kind == "stray":
+        return np.concatenate((rng.uniform(0, 100, (n - 2, 2)), [[1e7, -1e7], [1e300, 1e300]]))
+    if kind == "tight":
+        return np.concatenate([rng.normal(c, 1e-6, (n // 4, 2)) for c in ((0, 0), (50, 50), (50, 0), (-9e4, 3))])
+    if kind == "nested":
+        return np.concatenate([rng.normal(7, 10.0**-i, (n // 10, 2)) for i in range(10)])
+    if kind == "line":
+        return np.stack((rng.uniform(0, 1, n) ** 9, np.full(n, 2.5)), axis=1)
+    return np.concatenate((np.repeat([[1.0, 2.0]], n - 40, 0), rng.uniform(0, 3, (40, 2))))  # "place": nearly all cells in one
+
+
+@pytest.mark.parametrize("kind", ["even", "stray", "tight", "nested", "line", "place"])
+def test_neighbours_of_uneven_slices_are_exact_and_put_out_few_pairs(spark, kind):
+    from sliceloom.operators import spatial
+
+    k, places = 6, _uneven(kind)
+    cells = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(places)], "slice long, cell long, x double, y double")
+    got = {}
+    for r in spatial.neighbours(cells, k).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    ids = np.arange(len(places))
+    for i, at in enumerate(places):
+        d = np.hypot(*(places - at).T)
+        order = np.lexsort((ids, d))
+        assert [j for _, j in sorted(got[i])] == [j for j in order[: k + 1] if j != i][:k]
+    pairs = spatial._searched(cells, k).count()
+    assert pairs <= (100 if kind == "nested" else 25) * len(places), pairs / len(places)
+
+
 def test_permutation_null_draws_the_smallest_hashes(spark):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
