@@ -336,6 +336,9 @@ def test_no_column_name_clashes(spark, rows):
     vectors = spark.createDataFrame([(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (None, [1.0, 0.1], "x")], "vec_id long, embedding array<double>, node string")
     assert sorted((r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(vectors).collect()) == [(2, 1)] * 3
     assert mixing.training_order(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+    names = ["date", "copy", "several", "refers_url", "refers_to", "payload", "value", "record_type", "_again", "_id", "_digest", "_o"]
+    pages = spark.createDataFrame([(i, "u", "p" * 2000, *["x"] * len(names)) for i in range(3)], "page_id long, url string, html string" + "".join(f", `{c}` string" for c in names))
+    assert sorted((r["page_id"], r["refers_to"]) for r in warc.round_trip(pages).collect()) == [(0, 2), (1, 2), (2, None)]
 
 
 def cosines(vectors, least):
@@ -432,6 +435,10 @@ def test_warc(spark):
     texts = [gzip.decompress(Path(f).read_bytes()) for f in glob.glob(f"{path}/part-*")]
     records = [fields for t in texts for fields, _ in warc.parse(io.BytesIO(t))]
     assert len(records) == len(pages) and all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(r) for r in records)
+    assert len({r["warc-record-id"] for r in records}) == len(records)  # repeated rows have names of their own
+    assert len({r["warc-date"] for r in records}) == 1 and records[0]["warc-date"] > "2020"  # one date a run
+    revisits = [r for r in records if r["warc-type"] == "revisit"]
+    assert all(r["page-refers-to"] == "5" and "warc-refers-to" not in r and r["warc-refers-to-target-uri"] == "u" for r in revisits)  # two records have page 5
     payloads = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, path).where("record_type = 'response' and page_id is not null").collect()}
     assert payloads == {p[0]: (p[2] or "").encode() for p in pages if p[0] in (3, 4, 5, 6, 7)}
     for broken in (b"WARC/1.0\r\n\r\n", texts[0][:-3] if texts[0] else b"x", b"WARC/1.1\r\nno header\r\n\r\n"):
@@ -439,6 +446,26 @@ def test_warc(spark):
             list(warc.parse(io.BytesIO(broken)))
 
 
+def test_warc_dates_long_pages_and_odd_columns(spark, monkeypatch):
+    """A column called date plays no part unless it is named and a date; a very long page full of record ends comes back whole."""
+    from datetime import datetime, timezone
+
+    long = "\r\n\r\nWARC/1.1\r\n é" * 400_000  # 8 MB
+    rows = [(1, "a", long, "unknown", datetime(2021, 5, 6)), (2, "b", "\r\n" * 700, "x", None), (3, "c", "\r\n" * 700, "y", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, date string, seen timestamp")
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(pages).collect()}
+    assert got == {1: (len(long.encode()), hashlib.sha1(long.encode()).hexdigest(), "response", None), 3: (1400, hashlib.sha1(b"\r\n" * 700).hexdigest(), "response", None), 2: (1400, hashlib.sha1(b"\r\n" * 700).hexdigest(), "revisit", 3)}
+    with pytest.raises(ValueError, match="date"):
+        warc.write_archives(pages, warc.shared_path(spark, "warc"), date_column="date")
+    path = warc.shared_path(spark, "warc")
+    warc.write_archives(pages, path, date_column="seen", run_date=datetime(2024, 1, 2, tzinfo=timezone.utc))
+    records = [fields for f in glob.glob(f"{path}/part-*") for fields, _ in warc.parse(io.BytesIO(gzip.decompress(Path(f).read_bytes())))]
+    assert {r["page-id"]: r["warc-date"] for r in records} == {"1": "2021-05-06T00:00:00Z", "2": "2024-01-02T00:00:00Z", "3": "2024-01-02T00:00:00Z"}
+    assert next(r for r in records if r["page-id"] == "2")["warc-refers-to"] == "<urn:page:3>"
+    whole = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, path).where("payload is not null").collect()}
+    assert whole == {1: long.encode(), 3: b"\r\n" * 700}
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) + 1
