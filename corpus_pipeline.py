@@ -13,7 +13,7 @@ from sliceloom.llm import minhash, mixing, packing, quality, secrets
 from sliceloom.llm.queries import table, tokenizer_path
 from sliceloom.llm.store import save
 
-#: Row order, component choice and packing are not expressible in SQL; the stages are tested against brute force.
+#: Component choice, the classifier and packing are not expressible in SQL; the stages are tested by what must hold after each.
 ORACLE_SQL = None
 
 
@@ -42,9 +42,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(mixing.training_order(docs))
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """docs with `training_place`, a number that rises with the order in which the stage before wrote its rows.
+
+    The mix is written range-sorted by training time, so number of the file and of the row in it are that order, however
+    the files are read. Each copy of a document has a place of its own.
+    """
+    at = docs.metadataColumn("_metadata")
+    file = lambda rx: F.regexp_extract(at["file_name"], rx, 1).cast("long")
+    place = F.shiftleft(file(r"^part-(\d+)"), 43) + F.shiftleft(file(r"-c(\d+)\."), 33) + at["row_index"]
+    return docs.withColumn("training_place", place)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences: a row for each piece of a document, with its place."""
-    return packing.pack(docs, tokenizer_path())
+    """The training sequences: a row for each piece of each copy of a document, with its place in its sequence and in training.
+
+    Documents that stand near each other in training are packed together; read in order of sequence_place, sequences
+    follow the mix's schedule.
+    """
+    return packing.pack(in_order(docs), tokenizer_path(), place="training_place")
 
 
 STAGES = [
