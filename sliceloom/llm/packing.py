@@ -9,16 +9,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sliceloom.llm.store import save
 
 CAPACITY = 2048
+_CUT = ["doc_id", "piece", "start", "length", "ids_crc32"]
 #: Pieces of one packing task.
 ITEMS = 4096
 #: Most pieces of a task in later rounds, however far the table is from its bound: what one task holds.
 MOST_ITEMS = 1 << 18
+#: Share of its pieces that a round must close for another to follow, once tasks can grow no more.
+LEAST_CLOSED = 1 / 16
 
 #: Fixed value: the word pattern of the public byte-level vocabularies.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,11 +72,13 @@ class Encoder:
         return cls._loaded[path]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids): every text's ids and a final 0, cut into pieces of at most `capacity`; only a first piece may be shorter than that.
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, place: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids, and place): every text's ids and a final 0, cut into pieces of at most `capacity`; only a first piece may be shorter than that.
 
-    A null text is empty: its one piece is the final 0. Rows are read once and stay apart; nothing is shuffled.
+    A null text is empty: its one piece is the final 0. place names a long column that goes with every piece. Rows are
+    read once and stay apart; nothing is shuffled.
     """
+    more = ["place"] * (place is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.load(path)
@@ -93,10 +98,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                         crc.append(zlib.crc32(ids[lo:hi].tobytes()))
                         if with_ids:
                             kept.append(ids[lo:hi].astype(np.int32))
+                at_place = [part.column("place").take(pa.array(row, pa.int32()))] if more else []
                 columns = [part.column("doc_id").take(pa.array(row, pa.int32())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []) + at_place, names=[*_CUT, *["ids"] * with_ids, *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    read = ["doc_id", "text", *[F.col(f"`{place}`").cast("long").alias("place") for _ in more]]
+    return docs.select(*read).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", place long" * len(more))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -163,38 +170,44 @@ def _pack(table: pa.Table, capacity: int, number: int, last: bool) -> pa.Table:
         if fill.min() < capacity:
             loose[int(fill.argmin())] = True
     task = number << 24 | table.column("part")[0].as_py()
-    out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+    out = table.select([c for c in table.column_names if c in (*_CUT, "place")])
     columns = {"sequence_id": bins + (task << 32), "offset": offsets, "open": loose[bins], "task_bins": np.full(len(bins), len(fill)), "bound": np.full(len(bins), bound)}
     for name, values in columns.items():
         out = out.append_column(name, pa.array(values))
     return out
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, task_bins long, bound long"
+_PACKED = "sequence_id long, offset long, open boolean, task_bins long, bound long"
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut (doc_id, piece, start, length, ids_crc32) + sequence_id, offset, certified: sequences of at most `capacity`, offsets gapless.
+    """cut (doc_id, piece, start, length, ids_crc32, perhaps place) + sequence_id, offset, certified, task_bins, bound: sequences of at most `capacity`, offsets gapless.
 
     Tasks of about ITEMS pieces pack by best-fit decreasing and compare with a lower bound. A task that meets it is
     certified and closed but for its emptiest bin; the others keep their full bins and send the rest on, dealt anew
-    by another hash into tasks of twice as many. Rounds go on while more than one task is left and the last round
-    closed something or tasks can still grow; the last closes all. certified: the task that closed the piece's
-    sequence needed no more bins than its bound. Only lengths and ids move, never tokens.
+    into tasks of twice as many. Rounds go on while more than one task is left and tasks can grow, or the last round closed a
+    share of LEAST_CLOSED of what it was given, so their number is bounded by the logarithm of the pieces; the last closes all. Pieces are dealt by a
+    hash, or, where they have a place, by ranges of it: then what is packed together stands together, and exchange is
+    between neighbours. task_bins, bound: the bins of the task that closed the piece's sequence, and how few any packing of the
+    task's pieces needs; certified: they are equal. Only lengths, ids and places move, never tokens.
     """
+    placed = "place" in cut.columns
     left, done, number, before = cut, [], 0, None
     while True:
         n = left.count()
         items = min(MOST_ITEMS, ITEMS << number)
         parts = max(1, -(-n // items))
-        last = parts == 1 or (items == MOST_ITEMS and n == before)
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int"))
-        packed = save(dealt.groupBy("part").applyInArrow(_packer(capacity, number, last), _PACKED), "packed")
-        closed = packed.where("not open").withColumn("certified", F.col("task_bins") <= F.col("bound"))
-        done.append(closed.drop("open", "task_bins", "bound"))
+        last = parts == 1 or (items == MOST_ITEMS and before is not None and before - n < LEAST_CLOSED * before)
+        if placed:
+            dealt = left.repartitionByRange(parts, "place", "piece").withColumn("part", F.spark_partition_id())
+        else:
+            dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int"))
+        kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields)
+        packed = save(dealt.groupBy("part").applyInArrow(_packer(capacity, number, last), f"{kept}, {_PACKED}"), "packed")
+        done.append(packed.where("not open").withColumn("certified", F.col("task_bins") <= F.col("bound")).drop("open"))
         if last:
             break
-        left, number, before = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32"), number + 1, n
+        left, number, before = packed.where("open").select(*cut.columns), number + 1, n
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
@@ -208,11 +221,16 @@ def _packer(capacity: int, number: int, last: bool):
     return call
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for every piece of docs (doc_id long, text).
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, place: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified, task_bins, bound for every piece of docs (doc_id long, text).
 
+    place: a long column with the rows' places in training, distinct. Sequences are then made of rows that stand near
+    each other, and the result has place and sequence_place, the least place in a sequence, by which sequences are read.
     Repeated rows, null ids and null texts are documents like others (a null text has only the final 0); other columns
-    play no part; an empty table gives an empty table. The deal also hashes a row's place in the written piece table, so
+    play no part; an empty table gives an empty table. Without places the deal also hashes a row's position in the written piece table, so
     that many equal rows spread over the tasks.
     """
-    return assign(save(pieces(docs, path, capacity), "pieces"), capacity)
+    out = assign(save(pieces(docs, path, capacity, place=place), "pieces"), capacity)
+    if place is None:
+        return out
+    return out.withColumn("sequence_place", F.min("place").over(Window.partitionBy("sequence_id")))

@@ -649,15 +649,67 @@ def test_train_is_the_penalised_optimum():
     assert got[0][0] == pytest.approx(w[0] * ratio[0], abs=0.02) and got[2] == pytest.approx(w[1], abs=0.02)
 
 
+def test_packing_by_place_keeps_neighbours_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS", 150)
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 101, 900)
+    cut = spark.createDataFrame([(i % 7, 0, 0, int(n), i, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long, place long").repartition(4)
+    got = packing.assign(cut, 100).collect()
+    assert sorted(r["place"] for r in got) == list(range(900)) and all(r["length"] == lengths[r["place"]] for r in got)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append(r)
+        assert r["certified"] == (r["task_bins"] <= r["bound"])
+    for parts in bins.values():
+        parts.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in parts] == np.cumsum([0, *[r["length"] for r in parts]])[:-1].tolist() and sum(r["length"] for r in parts) <= 100
+    spans = [max(r["place"] for r in b) - min(r["place"] for r in b) for b in bins.values() if len(b) > 1]
+    assert np.median(spans) < 150 and len(bins) <= (packing.best_fit(lengths, 100)[0].max() + 1) * 1.03
+
+
 def test_pipeline(spark, tmp_path, rows):
+    """What must hold after each stage, by brute force: one of each group of copies, no secret left, words at their targets in the schedule's order, and every copy packed at its place."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    planted = [(1000 + i, t, "en", f"s{i % 3}", 0, "x", "y") for i, (_, t) in enumerate(SECRETS)]
+    spark.createDataFrame([*rows, *planted, rows[7]], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs, after = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns, name
         out.write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
-    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == sorted(map(str, docs.drop("sequence_id", "offset").collect()))
+        after.append(docs)
+    clean, single, safe, mixed, packed = ([r.asDict() for r in df.collect()] for df in after)
+    sets = [shingles(r["text"]) for r in clean]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    groups = roots(range(len(sets)), links)
+    of = {(r["doc_id"], r["text"]): groups[i] for i, r in enumerate(clean)}
+    assert sorted(of[r["doc_id"], r["text"]] for r in single) == sorted(set(groups.values()))
+    assert sorted(r["doc_id"] for r in safe) == sorted(r["doc_id"] for r in single) and not any(base_spans(r["text"]) for r in safe)
+    words, size = lambda t: len(WORD.findall(t or "")), {}
+    for r in safe:
+        size[r["source"]] = size.get(r["source"], 0) + words(r["text"])
+    order = sorted(size, key=lambda x: (x is None, (x or "").encode()))
+    goal = mixing.targets(list(size.items()), {x: mixing.WEIGHTS[i % 3] for i, x in enumerate(order)}, sum(size.values()))
+    taken = {x: sum(words(r["text"]) for r in mixed if r["source"] == x) for x in size}
+    assert taken == {x: round(goal[x]) for x in size}
+    placed = corpus_pipeline.in_order(after[3]).orderBy("training_place").collect()
+    assert [(r["doc_id"], r["text"]) for r in placed] == [(r["doc_id"], r["text"]) for r in mixing.training_order(after[2]).collect()]
+    assert len({r["training_place"] for r in placed}) == len(placed) > len(safe)
+    encode, found, bins = packing.Encoder.load(tokenizer_path()), {}, {}
+    for r in packed:
+        found.setdefault(r["place"], []).append(r)
+        bins.setdefault(r["sequence_id"], []).append(r)
+    assert sorted(found) == [r["training_place"] for r in placed]
+    for r in placed:
+        ids, own = [*encode(r["text"] or ""), 0], sorted(found[r["training_place"]], key=lambda x: x["piece"])
+        assert sum(x["length"] for x in own) == len(ids) and {x["doc_id"] for x in own} == {r["doc_id"]}
+        assert all(zlib.crc32(np.array(ids[x["start"] : x["start"] + x["length"]], "<u4").tobytes()) == x["ids_crc32"] for x in own)
+    for parts in bins.values():
+        parts.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in parts] == np.cumsum([0, *[r["length"] for r in parts]])[:-1].tolist() and {r["sequence_place"] for r in parts} == {min(r["place"] for r in parts)}
+    whole = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    again = corpus_pipeline.run(spark, str(tmp_path)).select(*whole).collect()
+    assert sorted(map(str, again)) == sorted(map(str, after[4].select(*whole).collect()))
