@@ -108,13 +108,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, date_co
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _dates(pages, date_column, run_date).alias("date"))
     described = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
     headers = save(described.select("page_id", "url", "payload_bytes", "payload_digest"), "headers")
-    repeated = headers.where("page_id is not null").groupBy("page_id").count().where("count > 1").select("page_id")
-    resolved = resolve(headers, least_bytes).where("refers_to is not null").select("page_id", "payload_digest", "refers_to", "refers_url").distinct()
-    originals = repeated.select(F.col("page_id").alias("refers_to"), F.lit(True).alias("several"))
-    revisits = resolved.join(originals, "refers_to", "left").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to", "refers_url", F.coalesce("several", F.lit(False)).alias("several"))
-    joined = described.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
-    copies = repeated.select(F.col("page_id").alias("_again"))
-    joined = joined.join(copies, F.col("page_id") == F.col("_again"), "left")
+    repeated = headers.where("page_id is not null").groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("_again"))
+    several = repeated.withColumnRenamed("_again", "_several")
+    resolved = resolve(headers, least_bytes).join(repeated, F.col("page_id") == F.col("_again"), "left").where("refers_to is not null or _again is not null")
+    resolved = resolved.select("page_id", "payload_digest", "refers_to", "refers_url", "_again").distinct().join(several, F.col("refers_to") == F.col("_several"), "left")
+    notes = resolved.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to", "refers_url", "_again", F.col("_several").isNotNull().alias("several"))
+    joined = described.join(notes, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")  # the one join that payloads take part in
     copy = F.when(F.col("_again").isNotNull() | F.col("page_id").isNull(), F.monotonically_increasing_id())
     named = [F.col(c) for c in ("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", "date")]
     lines = joined.select(record(*named, copy, F.col("refers_url"), F.coalesce("several", F.lit(False))).alias("value"))
