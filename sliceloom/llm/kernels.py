@@ -92,17 +92,18 @@ def word_runs(starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> Iter
         i = j
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    return part_hashes(data, starts, ends, [ends], lower)[0]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, seed: int = 0) -> np.ndarray:
+    return part_hashes(data, starts, ends, [ends], lower, seed)[0]
 
 
-def part_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: list[np.ndarray], lower: bool) -> list[np.ndarray]:
-    """For each array of cuts (starts < cut <= ends) the hashes of the words' beginnings up to it; memory stays near that of 1 MiB of text, or of the longest word."""
+def part_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: list[np.ndarray], lower: bool, seed: int = 0) -> list[np.ndarray]:
+    """For each array of cuts (starts < cut <= ends) the hashes of the words' beginnings up to it; memory stays near that of 1 MiB of text, or of the longest word. Each seed is a hash of its own."""
+    base = U((int(_BASE) + 2 * seed * int(_WORD_BASE)) % 2**64)
     out = [np.empty(len(starts), U) for _ in cuts]
     for i, j in word_runs(starts, ends):
         lo = int(starts[i])
         part = data[lo : int(ends[j - 1])]
-        up, down = _powers(_BASE, len(part))
+        up, down = _powers(base, len(part))
         total = np.cumsum((_LOWER if lower else _VALUES)[part] * up[: len(part)])
         at = starts[i:j] - lo
         before, back = np.where(at > 0, total[at - 1], U(0)), down[at]
@@ -111,13 +112,13 @@ def part_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: li
     return out
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first) over all texts, block by block so that memory stays near the input's size."""
     parts, first, seen = [], [np.zeros(1, np.int64)], 0
     for i, j in blocks(offsets):
         part = data[offsets[i] : offsets[j]]
         starts, ends, at = word_bounds(part, offsets[i : j + 1] - offsets[i])
-        parts.append(word_hashes(part, starts, ends, lower))
+        parts.append(word_hashes(part, starts, ends, lower, seed))
         first.append(at[1:] + seen)
         seen += len(starts)
     return np.concatenate(parts) if parts else np.zeros(0, U), np.concatenate(first)

@@ -3,9 +3,11 @@
 Texts are dealt into buckets by a hash. Every text gives its non-overlapping blocks of half a window as anchors and
 every rolling block as probe; a window of 2 b words holds at least one whole anchor of b words wherever it starts,
 so two equal windows always meet at an anchor. Each bucket sends the distinct probes once, sorted and packed, so a
-passage that a third of all documents share costs a bucket one entry. Windows around met anchors are the maximal
-repeats; they are compared by two independent 64-bit hashes, 128 bits, with the smallest document that has them, and
-what a smaller one has goes. A passage costs a bucket its distinct windows, however many documents share it.
+passage that a third of all documents share costs a bucket one entry. Windows around met anchors are candidates, each
+distinct one sent once with the first place of its smallest document; every bucket learns the place of the smallest document
+that has its window. Windows in a row whose places are in a row too are one hit: it is extended while both texts go on
+alike, to a maximal exact repeat, and its words are compared with those at the other place, which travel once for each
+bucket that needs them. Hashes only find hits. Where the words of one differ, all is done again under other hashes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceloom.llm import kernels as K
-from sliceloom.llm.store import total_bytes
+from sliceloom.llm.store import save, total_bytes
 
 U = np.uint64
 WINDOW = 50
@@ -37,7 +39,7 @@ def _parts(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
 
 def _planes(values: np.ndarray) -> bytes:
     """Byte planes: bytes of equal rank together, which the shuffle's codec packs well."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
 
 
 def _unplanes(data: bytes, kind: type) -> np.ndarray:
@@ -55,14 +57,24 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(_unplanes(data[1:], np.uint32 if data[:1] == b"4" else U).astype(U), dtype=U)
 
 
+def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A bucket's rows by id and text, and their ids: a row's number is the same in every reading, but among equal rows."""
+    ids = table.column("doc_id").fill_null(_LAST).to_numpy()
+    order = np.lexsort((table.column("text_hash").to_numpy(), ids))
+    return table.take(pa.array(order)), ids[order]
+
+
 class _Bucket:
     """The words of a bucket's texts and its distinct probes; equal for equal rows in any order."""
 
-    def __init__(self, table: pa.Table, window: int, shift: int):
+    def __init__(self, table: pa.Table, window: int, shift: int, seed: int = 0, bits: int = 64):
         self.window, self.block, self.shift = window, window // 2, U(shift)
-        self.ids = table.column("doc_id").fill_null(_LAST).to_numpy()
+        self.number = table.column("bucket")[0].as_py() if len(table) else 0
+        table, self.ids = _ordered(table)
         self.data, self.offsets = K.buffers(table.column("text"))
-        hashes, self.first = K.hashed_words(self.data, self.offsets, lower=False)
+        hashes, self.first = K.hashed_words(self.data, self.offsets, lower=False, seed=seed)
+        if bits < 64:
+            hashes = hashes & U((1 << bits) - 1)
         counts = np.diff(self.first)
         self.n = len(hashes)
         self.owner = np.repeat(np.arange(len(counts)), counts)
@@ -96,10 +108,13 @@ class _Bucket:
         which[order] = np.cumsum(new) - 1
         return starts, one[order][new], two[order][new], which
 
-    def least(self, starts: np.ndarray, n: int, which: np.ndarray) -> np.ndarray:
-        out = np.full(n, _LAST)
-        np.minimum.at(out, which, self.ids[self.owner[starts]])
-        return out
+    def places(self, starts: np.ndarray, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct window the smallest id here and where it first stands in that row: row << 32 | word. Rows are in order of their ids."""
+        first = np.full(n, len(starts), np.int64)
+        np.minimum.at(first, which, np.arange(len(starts)))
+        at = starts[first]
+        row = self.owner[at]
+        return self.ids[row], row << 32 | (at - self.first[row])
 
     def bits(self, replies: pa.Table, hashes: np.ndarray, parts: int, shift: int) -> np.ndarray:
         ends, out = _parts(hashes << U(shift), parts), np.zeros(len(hashes), bool)
@@ -108,6 +123,27 @@ class _Bucket:
             out[i:j] = np.unpackbits(np.frombuffer(data, np.uint8), count=j - i).astype(bool)
         return out
 
+    def hits(self, blocks: pa.Table, windows: pa.Table, parts: int) -> pa.Table:
+        """Maximal repeats of what a smaller document has: row and word here, how many windows, and bucket, row and word there."""
+        starts, distinct, _, which = self.candidates(self.bits(blocks, self.probes, parts, int(self.shift)))
+        least, place = self.places(starts, len(distinct), which)
+        bucket = np.full(len(distinct), self.number, np.int64)
+        ends, elsewhere = _parts(distinct, parts), np.zeros(len(distinct), bool)
+        for part, data, there in zip(*(windows.column(c).to_pylist() for c in ("part", "bits", "places")), strict=True):
+            i, j = ends[part], ends[part + 1]
+            mine = i + np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), count=j - i))
+            elsewhere[mine] = True
+            half = len(there) // 3
+            bucket[mine], place[mine] = _unplanes(there[:half], np.int32), _unplanes(there[half:], np.int64)
+        gone = np.flatnonzero(elsewhere[which] | (self.ids[self.owner[starts]] > least[which]))
+        at, of = starts[gone], which[gone]
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) != 1) | (bucket[of][1:] != bucket[of][:-1]) | (place[of][1:] != place[of][:-1] + 1)
+        first = np.flatnonzero(new)
+        row = self.owner[at[first]]
+        columns = {"bucket": np.full(len(first), self.number), "row": row, "word": at[first] - self.first[row], "n": np.diff(np.append(first, len(at))), "its_bucket": bucket[of][first], "its_row": place[of][first] >> 32, "its_word": place[of][first] & 0xFFFFFFFF}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()})
+
 
 def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by both hashes, and where in it a new pair begins."""
@@ -122,11 +158,12 @@ def _blobs(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
     return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "probes": pa.array([r[1] for r in rows], pa.binary()), "extra": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _replies(part: int, buckets: list[int], bits: list[bytes], kind: str) -> pa.Table:
-    return pa.table({"bucket": pa.array(buckets, pa.int32()), "kind": pa.array([kind] * len(buckets), pa.string()), "part": pa.array([part] * len(buckets), pa.int32()), "bits": pa.array(bits, pa.binary())})
+def _replies(part: int, buckets: list[int], bits: list[bytes], places: list[bytes] | None = None) -> pa.Table:
+    kind = "block" if places is None else "window"
+    return pa.table({"bucket": pa.array(buckets, pa.int32()), "kind": pa.array([kind] * len(buckets), pa.string()), "part": pa.array([part] * len(buckets), pa.int32()), "bits": pa.array(bits, pa.binary()), "places": pa.array(places or [None] * len(buckets), pa.binary())})
 
 
-_REPLY = "bucket int, kind string, part int, bits binary"
+_REPLY = "bucket int, kind string, part int, bits binary, places binary"
 
 
 def _meet_blocks(table: pa.Table) -> pa.Table:
@@ -141,82 +178,137 @@ def _meet_blocks(table: pa.Table) -> pa.Table:
     out = np.empty(len(value), bool)
     out[order] = np.repeat(met, np.diff(np.append(new, len(value))))
     ends = np.cumsum([0, *map(len, probes)])
-    return _replies(table.column("part")[0].as_py(), table.column("bucket").to_pylist(), [np.packbits(out[i:j]).tobytes() for i, j in zip(ends, ends[1:])], "block")
+    return _replies(table.column("part")[0].as_py(), table.column("bucket").to_pylist(), [np.packbits(out[i:j]).tobytes() for i, j in zip(ends, ends[1:])])
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
-    """Windows whose smallest document is in another bucket."""
-    blobs = table.column("probes").to_pylist()
+    """Windows whose smallest document is in another bucket, and where it has them."""
+    blobs, buckets = table.column("probes").to_pylist(), table.column("bucket").to_pylist()
     one, two = (np.concatenate([_unplanes(x[k * len(x) // 2 : (k + 1) * len(x) // 2], U) for x in blobs]) for k in (0, 1))
-    ids = [_unplanes(x, np.int64) for x in table.column("extra").to_pylist()]
-    least = np.concatenate(ids)
-    order, begins = _grouped(one, two)
-    new = np.flatnonzero(begins)
-    smallest = np.repeat(np.minimum.reduceat(least[order], new), np.diff(np.append(new, len(order))))
-    out = np.empty(len(order), bool)
-    out[order] = smallest < least[order]
+    extra = table.column("extra").to_pylist()
+    ids, places = ([_unplanes(x[k * len(x) // 2 : (k + 1) * len(x) // 2], np.int64) for x in extra] for k in (0, 1))
+    bucket = np.repeat(np.array(buckets, np.int32), [len(x) for x in ids])
+    least, place = np.concatenate(ids), np.concatenate(places)
+    order = np.lexsort((bucket, least, two, one))
+    a, b = one[order], two[order]
+    begins = np.ones(len(order), bool)
+    begins[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    smallest = np.empty(len(order), np.int64)  # the entry of the smallest document that has the same window
+    smallest[order] = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+    out = least[smallest] < least
     ends = np.cumsum([0, *map(len, ids)])
-    return _replies(table.column("part")[0].as_py(), table.column("bucket").to_pylist(), [np.packbits(out[i:j]).tobytes() for i, j in zip(ends, ends[1:])], "window")
+    there = []
+    for i, j in zip(ends, ends[1:]):
+        mine = smallest[i:j][out[i:j]]
+        there.append(_planes(bucket[mine]) + _planes(place[mine]))
+    return _replies(table.column("part")[0].as_py(), buckets, [np.packbits(out[i:j]).tobytes() for i, j in zip(ends, ends[1:])], there)
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+_HIT = "bucket long, row long, word long, n long, its_bucket long, its_row long, its_word long"
+_THERE = ["its_bucket", "its_row", "its_word", "n"]
+_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, unlike long"
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept, the words left joined by spaces, for every row of docs (doc_id long, text).
+def _words(table: pa.Table, row: int) -> list[bytes]:
+    text = table.column("text")[row]
+    return bytes(text.as_buffer()).split() if text.is_valid else []
 
-    A word goes if a window of `window` words that covers it also starts in a row with a smaller doc_id; windows are
-    judged on the input. window must be even. Null and blank texts have no words; rows without doc_id come after all
-    others and take nothing from each other, nor do rows of one doc_id; other columns play no part. Rows are dealt by id
-    and text, so rows without id, or of one id, spread over the buckets.
-    Texts are shuffled once, by bucket, and all three readings share that exchange.
-    """
+
+def _passages(window: int):
+    """The words that hits of other buckets refer to, one row for each distinct place and length."""
+
+    def call(table: pa.Table, asked: pa.Table) -> pa.Table:
+        table, _ = _ordered(table)
+        asked = asked.sort_by("its_row")
+        row, words, found = None, [], []
+        for at, first, n in zip(*(asked.column(c).to_pylist() for c in _THERE[1:]), strict=True):
+            if at != row:
+                row, words = at, _words(table, at)
+            found.append(b" ".join(words[first : first + n + window - 1]))
+        return pa.table([*[asked.column(c) for c in _THERE], pa.array(found, pa.binary())], names=[*_THERE, "passage"])
+
+    return call
+
+
+def _kept(window: int, with_text: bool):
+    """Every text without the words of its hits; unlike counts the hits whose words are not those of the other place."""
+
+    def call(table: pa.Table, hits: pa.Table) -> pa.Table:
+        table, _ = _ordered(table)
+        by_row: dict[int, list[tuple[int, int, bytes]]] = {}
+        for row, first, n, passage in zip(*(hits.column(c).to_pylist() for c in ("row", "word", "n", "passage")), strict=True):
+            by_row.setdefault(row, []).append((first, n, passage))
+        out: list[list] = [[], [], [], [], []]
+        for row in range(len(table)):
+            words, unlike = _words(table, row), 0
+            total, left = len(words), words
+            if row in by_row:
+                gone = np.zeros(total, bool)
+                for first, n, passage in by_row[row]:
+                    unlike += b" ".join(words[first : first + n + window - 1]) != passage
+                    gone[first : first + n + window - 1] = True
+                left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            text = b" ".join(left)
+            for column, value in zip(out, (total, total - len(left), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None, unlike), strict=True):
+                column.append(value)
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.table([table.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "unlike"])
+
+    return call
+
+
+def _attempt(docs: DataFrame, window: int, with_text: bool, seed: int, bits: int) -> DataFrame:
+    """The result under one choice of hashes, written; unlike is not 0 where hashes took different words for equal."""
     whole = total_bytes(docs, "text")
     buckets = max(LEAST_BUCKETS, -(-whole // BUCKET_BYTES))
     parts = buckets
     shift = 64 - min(64, max(40, whole.bit_length() + 10))  # so many bits that probes of a table of any size seldom meet by chance
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")).repartition(buckets, "bucket")
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), spread).repartition(buckets, "bucket")
 
     def blocks_of(table: pa.Table) -> pa.Table:
-        return _Bucket(table, window, shift).probe_blobs(parts, table.column("bucket")[0].as_py())
+        return (bucket := _Bucket(table, window, shift, seed, bits)).probe_blobs(parts, bucket.number)
 
     def windows_of(table: pa.Table, replies: pa.Table) -> pa.Table:
-        bucket = _Bucket(table, window, shift)
+        bucket = _Bucket(table, window, shift, seed, bits)
         starts, distinct, second, which = bucket.candidates(bucket.bits(replies, bucket.probes, parts, shift))
-        least = bucket.least(starts, len(distinct), which)
+        least, place = bucket.places(starts, len(distinct), which)
         ends = _parts(distinct, parts)
         spans = [(k, ends[k], ends[k + 1]) for k in range(parts) if ends[k] < ends[k + 1]]
-        return _blobs(table.column("bucket")[0].as_py() if len(table) else 0, [(k, _planes(distinct[i:j]) + _planes(second[i:j]), _planes(least[i:j])) for k, i, j in spans])
+        return _blobs(bucket.number, [(k, _planes(distinct[i:j]) + _planes(second[i:j]), _planes(least[i:j]) + _planes(place[i:j])) for k, i, j in spans])
 
-    def results_of(table: pa.Table, replies: pa.Table) -> pa.Table:
-        bucket = _Bucket(table, window, shift)
+    def hits_of(table: pa.Table, replies: pa.Table) -> pa.Table:
         kind = np.asarray(replies.column("kind").to_pylist(), object)
         of = lambda k: replies.filter(pa.array(kind == k, pa.bool_()))
-        starts, distinct, _, which = bucket.candidates(bucket.bits(of("block"), bucket.probes, parts, shift))
-        elsewhere = bucket.bits(of("window"), distinct, parts, 0)
-        gone = starts[elsewhere[which] | (bucket.ids[bucket.owner[starts]] > bucket.least(starts, len(distinct), which)[which])]
-        cover = np.zeros(bucket.n + 1, np.int64)
-        np.add.at(cover, gone, 1)
-        np.add.at(cover, gone + window, -1)
-        covered = np.cumsum(cover)[: bucket.n] > 0
-        counts = np.diff(bucket.first)
-        removed = np.diff(np.concatenate(([0], np.cumsum(covered)))[bucket.first])
-        digests, kept = [], []
-        raw = bucket.data.tobytes()
-        for i in range(len(counts)):
-            words = raw[bucket.offsets[i] : bucket.offsets[i + 1]].split()
-            if removed[i]:
-                words = [w for w, c in zip(words, covered[bucket.first[i] : bucket.first[i + 1]], strict=True) if not c]
-            text = b" ".join(words)
-            digests.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.decode() if with_text else None)
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.string())})
+        return _Bucket(table, window, shift, seed, bits).hits(of("block"), of("window"), parts)
 
     block_replies = dealt.groupBy("bucket").applyInArrow(blocks_of, _BLOBS).repartition(parts, "part").groupBy("part").applyInArrow(_as_udf(_meet_blocks), _REPLY)
     window_blobs = dealt.groupBy("bucket").cogroup(block_replies.groupBy("bucket")).applyInArrow(windows_of, _BLOBS)
     window_replies = window_blobs.repartition(parts, "part").groupBy("part").applyInArrow(_as_udf(_meet_windows), _REPLY)
     replies = block_replies.unionByName(window_replies)
-    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(results_of, _RESULT)
+    hits = save(dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(hits_of, _HIT), "hits")
+    asked = hits.select(*_THERE).distinct().withColumn("bucket", F.col("its_bucket").cast("int"))
+    passages = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_passages(window), ", ".join(f"{c} long" for c in _THERE) + ", passage binary")
+    answered = hits.join(passages, _THERE).select(F.col("bucket").cast("int").alias("bucket"), "row", "word", "n", "passage")
+    return save(dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(_kept(window, with_text), _RESULT), "repeats")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept, the words left joined by spaces, for every row of docs (doc_id long, text).
+
+    A word goes if a window of `window` words that covers it also starts in a row with a smaller doc_id; windows are
+    judged on the input. window must be even. Null and blank texts have no words; rows without doc_id come after all
+    others and take nothing from each other, nor do rows of one doc_id; other columns play no part; an empty table gives
+    an empty table. Rows are dealt by id and text, so rows without id, or of one id, spread over the buckets; a text of any
+    length stands in one bucket. Texts are shuffled once by bucket. Every hit is confirmed on its words; should hashes
+    have taken different words for equal (bits: those of a word's hash at first), the whole is done again under others.
+    """
+    seed = 0
+    while True:
+        found = _attempt(docs, window, with_text, seed, bits if seed == 0 else 64)
+        if found.where("unlike > 0").isEmpty():
+            return found.drop("unlike")
+        seed += 1
 
 
 def _as_udf(f):

@@ -163,14 +163,41 @@ def test_repeats(docs, rows, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
-def test_windows_of_one_hash_but_different_words_are_apart():
+def test_windows_of_one_hash_but_another_second_hash_are_apart():
     import pyarrow as pa
 
     u = lambda *x: np.array(x, np.uint64)
-    sent = [(0, u(5, 9), u(1, 1), np.array([7, 7])), (1, u(5, 9), u(2, 1), np.array([8, 8]))]
-    table = pa.table({"part": [0, 0], "bucket": [s[0] for s in sent], "probes": [repeats._planes(s[1]) + repeats._planes(s[2]) for s in sent], "extra": [repeats._planes(s[3]) for s in sent]})
-    bits = repeats._meet_windows(table).column("bits").to_pylist()
-    assert [np.unpackbits(np.frombuffer(b, np.uint8), count=2).tolist() for b in bits] == [[0, 0], [0, 1]]
+    sent = [(0, u(5, 9), u(1, 1), np.array([7, 7]), np.array([70, 71])), (1, u(5, 9), u(2, 1), np.array([8, 8]), np.array([80, 81]))]
+    table = pa.table({"part": [0, 0], "bucket": [s[0] for s in sent], "probes": [repeats._planes(s[1]) + repeats._planes(s[2]) for s in sent], "extra": [repeats._planes(s[3]) + repeats._planes(s[4]) for s in sent]})
+    found = repeats._meet_windows(table)
+    assert [np.unpackbits(np.frombuffer(b, np.uint8), count=2).tolist() for b in found.column("bits").to_pylist()] == [[0, 0], [0, 1]]
+    place = found.column("places").to_pylist()[1]
+    assert repeats._unplanes(place[:4], np.int32).tolist() == [0] and repeats._unplanes(place[4:], np.int64).tolist() == [71]
+
+
+def test_different_words_of_one_hash_are_told_apart_by_their_words(spark):
+    """With hashes of no bits all windows seem equal: every hit is found unlike, and the next attempt is right."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    shared = draw(60)
+    rows = [(1, draw(80)), (2, draw(20) + " " + shared), (3, shared + " " + draw(70)), (4, draw(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats._attempt(docs, 50, True, 0, 0).where("unlike > 0").count() > 0
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs, bits=0).collect()}
+    assert got == {1: 0, 2: 0, 3: 60, 4: 0}
+
+
+def test_hits_extend_to_maximal_repeats():
+    """One hit for each longest run of words that stands in the same order in a smaller document."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), "x " + " ".join(words[20:140]) + " y " + " ".join(words[100:170]), " ".join(words[:49])]
+    table = pa.table({"doc_id": [1, 2, 3], "text": texts, "text_hash": [10, 20, 30], "bucket": pa.array([5, 5, 5], pa.int32())})
+    bucket = repeats._Bucket(table, 50, 0)
+    none = pa.table({"part": pa.array([], pa.int32()), "bits": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
+    found = bucket.hits(none, none, 1).to_pylist()
+    assert [(h["row"], h["word"], h["n"], h["its_bucket"], h["its_row"], h["its_word"]) for h in found] == [(1, 1, 71, 5, 0, 20), (1, 122, 21, 5, 0, 100)]
 
 
 def test_repeats_without_ids(spark):
