@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sliceloom.sources.tables import scratch
+from sliceloom.sources.tables import written
 
 
 def _pairs(slices: DataFrame) -> DataFrame:
@@ -73,12 +73,6 @@ def _pairs_within(cells: DataFrame) -> DataFrame:
     return _distances(a.join(b, "slice"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _reaches(cells: DataFrame, k: int) -> DataFrame:
     """slice, cell, x, y, r: a distance within which the cell has k others, seldom much more than the least such.
 
@@ -99,7 +93,7 @@ def _reaches(cells: DataFrame, k: int) -> DataFrame:
         placed = placed.select("slice", "grid", "cell", "x", "y", "level", box("x").alias("bx"), box("y").alias("by"), "half", "floor")
         full = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("held")).where((F.col("held") > k) | (F.col("level") == 0))
         deepest = F.max_by(F.struct("x", "y", "level", "bx", "by", "held", "half", "floor"), "level").alias("own")
-        own = _written(placed.join(full, key).groupBy("slice", "grid", "cell").agg(deepest).select("slice", "grid", "cell", "own.*"), "boxes")
+        own = written(placed.join(full, key).groupBy("slice", "grid", "cell").agg(deepest).select("slice", "grid", "cell", "own.*"), "boxes")
         again = (F.col("held") > SMALL * k) & (F.col("level") == F.col("floor")) & (F.col("half") > 0)
         done = own.where(~again)
         a, b = _ends(done.where(F.col("held") <= SMALL * k))[0], _ends(placed.select(*key, "cell", "x", "y"))[1]
@@ -121,9 +115,9 @@ def _searched(cells: DataFrame, k: int) -> DataFrame:
     of about that size; others stand on the grids of all sizes that their slice uses.
     """
     first = F.row_number().over(Window.partitionBy("slice", "x", "y").orderBy("cell"))
-    ranked = _written(cells.withColumn("_first", first), "places")
+    ranked = written(cells.withColumn("_first", first), "places")
     others = ranked.where(F.col("_first") <= k + 1).drop("_first")
-    reached = _written(_reaches(others, k).unionByName(ranked.where(F.col("_first") > k + 1).select("slice", "cell", "x", "y", F.lit(0.0).alias("r"))), "reaches")
+    reached = written(_reaches(others, k).unionByName(ranked.where(F.col("_first") > k + 1).select("slice", "cell", "x", "y", F.lit(0.0).alias("r"))), "reaches")
     size = F.pow(F.lit(2.0), "e")
 
     def line(v: Column) -> Column:

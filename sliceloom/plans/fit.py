@@ -32,6 +32,13 @@ def project_simplex(v: np.ndarray, k: int | None = None) -> np.ndarray:
     return out / out.sum()
 
 
+def age_kernel(ages: np.ndarray, gamma: float) -> np.ndarray:
+    """Gaussian kernel of z-scored ages; without spread all are alike."""
+    sd = ages.std(ddof=1) if len(ages) > 1 else 0.0
+    z = (ages - ages.mean()) / sd if sd > 1e-12 else np.zeros(len(ages))
+    return np.exp(-((z[:, None] - z[None]) ** 2) / gamma)
+
+
 @dataclass
 class Rows:
     """Spectral rows: slice number, eigenvalue, projection of the constant; rotated values beside them."""
@@ -241,7 +248,7 @@ def fit_factors(rows: Rows, values: np.ndarray, p: int, k: int | None = None, au
 
 
 def spectral_rows(cells: DataFrame, gamma: float, jitter: float = 1e-8) -> DataFrame:
-    """fit, slice, age, lam, u, v (the cell's eigenvector places), values, cells: one grouped task for each fit key and slice.
+    """fit, slice, i (the number of the eigenvalue), age, lam, u, values, vector, cells: one grouped task for each fit key and slice.
 
     cells: fit, slice, age, cell, x, y, genes. Coordinates are z-scored in the slice first; a constant one becomes 0.
     """
@@ -255,9 +262,9 @@ def spectral_rows(cells: DataFrame, gamma: float, jitter: float = 1e-8) -> DataF
         np.fill_diagonal(k, 1 + jitter)
         lam, v = np.linalg.eigh(k)
         rotated = v.T @ np.stack(pdf["genes"].to_list())
-        return pd.DataFrame({"fit": pdf["fit"].iloc[0], "slice": pdf["slice"].iloc[0], "age": pdf["age"].iloc[0], "lam": np.maximum(lam, 0), "u": v.sum(axis=0), "values": list(rotated), "vector": list(v.T), "cells": [pdf["cell"].tolist()] * len(pdf)})
+        return pd.DataFrame({"fit": pdf["fit"].iloc[0], "slice": pdf["slice"].iloc[0], "i": np.arange(len(lam)), "age": pdf["age"].iloc[0], "lam": np.maximum(lam, 0), "u": v.sum(axis=0), "values": list(rotated), "vector": list(v.T), "cells": [pdf["cell"].tolist()] * len(pdf)})
 
-    return cells.groupBy("fit", "slice").applyInPandas(one, "fit string, slice long, age double, lam double, u double, values array<double>, vector array<double>, cells array<long>")
+    return cells.groupBy("fit", "slice").applyInPandas(one, "fit string, slice long, i int, age double, lam double, u double, values array<double>, vector array<double>, cells array<long>")
 
 
 RESULT = "fit string, kind string, program int, key long, age double, value double, sd double"
@@ -275,10 +282,7 @@ def fit_keys(spectral: DataFrame, p: int, k: int | None = None, auto: bool = Fal
         number = {s: i for i, s in enumerate(slices.index)}
         pdf = pdf.assign(at=pdf["slice"].map(number)).sort_values(["at", "lam"], kind="stable")
         ages = slices.to_numpy()
-        sd = ages.std(ddof=1) if len(ages) > 1 else 0.0
-        z = (ages - ages.mean()) / sd if sd > 1e-12 else np.zeros(len(ages))
-        k_age = np.exp(-((z[:, None] - z[None]) ** 2) / gamma_age)
-        rows = Rows(pdf["at"].to_numpy(), pdf["lam"].to_numpy(), pdf["u"].to_numpy(), k_age)
+        rows = Rows(pdf["at"].to_numpy(), pdf["lam"].to_numpy(), pdf["u"].to_numpy(), age_kernel(ages, gamma_age))
         values = np.stack(pdf["values"].to_list())
         fs, trace = fit_factors(rows, values, p, k, auto)
         out = [("trial", t["factor_index"] - 1, int(t["keep"]), None, t["rel_improve_total"], None) for t in trace] if auto else []
@@ -332,9 +336,7 @@ def sufficient(values: DataFrame, genes: Sequence[str], cells: DataFrame) -> tup
 
 def fit_without_space(ages: np.ndarray, n: np.ndarray, sums: np.ndarray, gram: np.ndarray, p: int, k: int | None = None, gamma_age: float = 1.0, most: int = 200, tol: float = 1e-6) -> list[dict]:
     """Greedy temporal factors from slice sums and a Gram matrix. Scores are constant in a slice, so a factor leaves both in closed form."""
-    sd = ages.std(ddof=1) if len(ages) > 1 else 0.0
-    z = (ages - ages.mean()) / sd if sd > 1e-12 else np.zeros(len(ages))
-    rows = Rows(np.arange(len(n)), np.zeros(len(n)), np.sqrt(n), np.exp(-((z[:, None] - z[None]) ** 2) / gamma_age), spatial=False)
+    rows = Rows(np.arange(len(n)), np.zeros(len(n)), np.sqrt(n), age_kernel(ages, gamma_age), spatial=False)
     sums, gram, out = sums.copy(), gram.copy(), []
     for _ in range(p):
         w = project_simplex(np.abs(np.linalg.eigh(gram)[1][:, -1]))

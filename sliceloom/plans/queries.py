@@ -17,6 +17,7 @@ from sliceloom.operators import robustness as R
 from sliceloom.operators import spatial as S
 from sliceloom.operators import statistics as T
 from sliceloom.plans import fit as M
+from sliceloom.plans import spread as MS
 from sliceloom.plans import simulate as Z
 from sliceloom.sources import adapters as A
 from sliceloom.sources import tables as IO
@@ -533,13 +534,19 @@ def _fit_cells(spark, d):
 
 @query()
 def spectral_fit(spark, d):
-    return rounded(M.fit_keys(M.spectral_rows(_fit_cells(spark, d), 2.0), 2, 15), 4)
+    return rounded(MS.fit_all(IO.written(M.spectral_rows(_fit_cells(spark, d), 2.0), "spectral"), 2, 15), 4)
+
+
+@query()
+def spread_fit(spark, d):
+    """One fit as passes over rows in all tasks, with few iterations: two programs of 15 genes."""
+    return rounded(MS.fit_spread(IO.written(M.spectral_rows(_fit_cells(spark, d), 2.0), "spectral"), "embeddings", 2, 15, most=8, sweeps=1), 4)
 
 
 @query()
 def automatic_rank(spark, d):
     """The estimator with its number of programs chosen by the data: at most 6 of 15 genes."""
-    return rounded(M.fit_keys(M.spectral_rows(_fit_cells(spark, d), 2.0), 6, 15, auto=True), 4)
+    return rounded(MS.fit_all(IO.written(M.spectral_rows(_fit_cells(spark, d), 2.0), "spectral"), 6, 15, auto=True), 4)
 
 
 @query()

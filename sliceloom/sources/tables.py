@@ -102,6 +102,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(base or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in a fresh scratch path, read again: its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Gzip-compressed CSV with a header."""
     df.write.option("header", True).option("compression", "gzip").csv(path)
