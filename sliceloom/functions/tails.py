@@ -33,6 +33,30 @@ def _signed_rank(w: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(m) or m > 50 else float(tails(int(m))[math.ceil(a)]) for a, m in zip(w, n, strict=True)], dtype="float64")
 
 
+def _rank_sum(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """P(at least u of the n1 * n2 pairs are in order) when all orders of the rows are alike, without ties.
+
+    The counts are the coefficients of a Gaussian binomial: a product of (1 - q^(n + i)) / (1 - q^i), in whole numbers.
+    """
+    known: dict[tuple[int, int], np.ndarray] = {}
+
+    def tails(m: int, n: int) -> np.ndarray:
+        m, n = min(m, n), max(m, n)
+        if (m, n) not in known:
+            ways = np.zeros(m * n + 1, dtype=object)
+            ways[0] = 1
+            for i in range(1, m + 1):
+                if n + i <= m * n:
+                    ways[n + i :] = ways[n + i :] - ways[: m * n + 1 - n - i]
+                for r in range(min(i, m * n + 1)):
+                    ways[r::i] = np.add.accumulate(ways[r::i])
+            upper, whole = np.add.accumulate(ways[::-1])[::-1], sum(ways)
+            known[m, n] = np.array([x / whole for x in upper])
+        return known[m, n]
+
+    return pd.Series([None if pd.isna(a) else float(tails(int(x), int(y))[max(0, math.ceil(a))]) for a, x, y in zip(u, n1, n2, strict=True)], dtype="float64")
+
+
 def _hypergeometric(k: pd.Series, drawn: pd.Series, good: pd.Series, total: pd.Series) -> pd.Series:
     choose = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
 
@@ -80,6 +104,11 @@ def signed_rank_sf(w: Column | str, n: Column | str) -> Column:
     return F.pandas_udf(_signed_rank, "double")(w, n)
 
 
+def rank_sum_sf(u: Column | str, n1: Column | str, n2: Column | str) -> Column:
+    """Exact upper tail of the rank-sum statistic without ties; null where u is."""
+    return F.pandas_udf(_rank_sum, "double")(u, n1, n2)
+
+
 def hypergeometric_sf(k: Column | str, drawn: Column | str, good: Column | str, total: Column | str) -> Column:
     """P(at least k good ones among the drawn)."""
     return F.pandas_udf(_hypergeometric, "double")(k, drawn, good, total)
