@@ -13,6 +13,7 @@ from sliceloom.operators import programs as P
 from sliceloom.operators import recovery as R
 from sliceloom.plans import fit as M
 from sliceloom.plans import simulate as Z
+from sliceloom.plans import synthetic as Y
 from sliceloom.plans.queries import CELLS, COUNTS, POINTS, PROGRAMS, SPATIAL, query, rounded, slices_of
 from sliceloom.sources import adapters as A
 from sliceloom.sources import tables as IO
@@ -178,11 +179,12 @@ def gene_order(spark, d):
 
 @query()
 def simulated_counts(spark, d):
-    data = Z.counts(Z.generate(), share=0.3, library=500.0)
-    rows = [(t, i, int(g), int(v)) for t, s in enumerate(data["slices"]) for i, r in enumerate(s["counts"]) for g, v in enumerate(r) if v]
-    tiers = spark.createDataFrame([(g, str(t)) for g, t in enumerate(data["tiers"])], "gene int, tier string")
-    counts = spark.createDataFrame(rows, "slice int, cell int, gene int, value long")
-    return counts.join(F.broadcast(tiers), "gene").groupBy("tier").agg(F.countDistinct("gene").alias("genes"), F.sum("value").alias("total"))
+    """Counts drawn on the table's cells, summed by tier of genes."""
+    design = Y.Design(age=(1.0, 0.5, 0.0, 0.8), space=(0.6, 1.0, 0.8, 0.0))
+    rows, tiers, _ = Y.draw_counts(IO.written(Y.draw(A.spatial_cells(spark, d), design), "drawn"), Y.loadings(design), library=500.0, share=0.3)
+    named = spark.createDataFrame([(g, str(t)) for g, t in enumerate(tiers)], "gene int, tier string")
+    long = rows.select(F.posexplode("counts").alias("gene", "value")).where("value > 0")
+    return long.join(F.broadcast(named), "gene").groupBy("tier").agg(F.countDistinct("gene").alias("genes"), F.sum("value").alias("total"))
 
 
 @query()

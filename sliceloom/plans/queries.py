@@ -19,6 +19,7 @@ from sliceloom.operators import statistics as T
 from sliceloom.plans import fit as M
 from sliceloom.plans import spread as MS
 from sliceloom.plans import simulate as Z
+from sliceloom.plans import synthetic as Y
 from sliceloom.sources import adapters as A
 from sliceloom.sources import tables as IO
 
@@ -551,15 +552,23 @@ def automatic_rank(spark, d):
 
 @query()
 def simulated_recovery(spark, d):
-    data = Z.generate()
-    found = M.fit_keys(M.spectral_rows(Z.as_cells(spark, data), 2.0), 3, 10, gamma_age=0.5).where("kind = 'loading'")
-    found = found.select(F.col("program").cast("string").alias("program"), F.col("key").alias("gene"), F.col("value").alias("weight"))
-    truth = spark.createDataFrame([(str(j), g, float(v)) for j, w in enumerate(data["w"]) for g, v in enumerate(w)], "program string, gene long, weight double")
+    """One replicate drawn on the table's cells, fitted and matched to the truth."""
+    cells, design = A.spatial_cells(spark, d), Y.Design()
+    drawn = IO.written(Y.draw(cells, design), "drawn")
+    found = M.fit_keys(M.spectral_rows(drawn.select("fit", "slice", "age", "cell", "x", "y", "genes"), design.gamma_space), len(design.age), design.k, gamma_age=design.gamma_age).where("kind = 'loading'")
+    found = IO.written(found.select(F.col("program").cast("string").alias("program"), F.col("key").alias("gene"), F.col("value").alias("weight")), "found")
+    truth = Y.truth(cells, design)[0].drop("fit")
     near = P.distances(truth, found)
     best = P.align(near.select("p", "q", (1 - F.col("hellinger")).alias("cost")))
     return rounded(best.join(near, ["p", "q"]).join(P.matching(truth, found), ["p", "q"]), 4)
 
 
+@query()
+def simulated_study(spark, d):
+    """Methods by replicates on the table's cells."""
+    return rounded(Y.study(A.spatial_cells(spark, d), Y.Design(), 2), 4)
+
+
 @query()
 def principal_components(spark, d):
     counts, cells = C.log1p_normalize(A.counts(spark, d)), A.count_cells(spark, d)
