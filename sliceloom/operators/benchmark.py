@@ -182,3 +182,4 @@ def loading_check(loadings: DataFrame, by: Sequence[str], top: int = 10, toleran
     order = Window.partitionBy(*keys).orderBy(F.desc("weight"), "gene")
     rows = loadings.withColumns({"total": F.sum("weight").over(Window.partitionBy(*keys)), "rank": F.row_number().over(order)})
     return rows.where(F.col("rank") <= top).select(*keys, "total", (F.abs(F.col("total") - 1) <= tolerance).alias("sums_to_one"), "rank", "gene")
+

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,12 +147,41 @@ def knn_graph(cells: DataFrame, k: Column | int) -> DataFrame:
     return near.unionByName(near.select("slice", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+#: Cells whose distances one grouped call works out, against all of their slice.
+BLOCK = 4096
+
+
+def kth_distances(cells: DataFrame, share: float) -> DataFrame:
+    """slice, cell, n, k, d: the distance to the k-th nearest other cell of the slice, k = max(1, ceil(share * n)), at most n - 1; null for a lone cell.
+
+    k is a share of the slice, so every distance counts, but no pair is put out: a task holds the places of one slice
+    and works out the distances of a block of its cells, a few rows of the matrix at a time.
+    """
+    places = cells.select("slice", "cell", "x", "y").where("x is not null and y is not null")
+    sizes = places.groupBy("slice").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    both = places.join(sizes, "slice")
+    own = both.withColumn("_block", F.pmod(F.xxhash64("cell"), F.col("_blocks")).cast("int")).drop("_blocks")
+    others = both.select(F.col("slice").alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"))
+
+    def work(mine: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        x, y, n = every["_x"].to_numpy(float), every["_y"].to_numpy(float), len(every)
+        k = min(max(1, math.ceil(share * n)), n - 1)
+        out = np.full(len(mine), np.nan)
+        at = mine[["x", "y"]].to_numpy(float)
+        rows = max(1, (1 << 22) // max(1, n))
+        for i in range(0, len(mine) if k else 0, rows):
+            d = np.hypot(at[i : i + rows, :1] - x, at[i : i + rows, 1:] - y)
+            out[i : i + rows] = np.partition(d, k, axis=1)[:, k]  # the cell itself is one of them, at 0
+        return pd.DataFrame({"slice": mine["slice"], "cell": mine["cell"], "n": n, "k": k, "d": [None if np.isnan(v) else float(v) for v in out]})
+
+    kinds = dict(places.dtypes)
+    schema = f"slice {kinds['slice']}, cell {kinds['cell']}, n long, k long, d double"
+    return own.groupBy("slice", "_block").cogroup(others.groupBy("_s", "_b")).applyInPandas(work, schema)
+
+
 def spatial_bandwidth(cells: DataFrame, share: float = 0.05, rho: float = 0.9) -> DataFrame:
     """One row: (median over slices of the median distance to the k-th neighbour)^2 / |ln rho|, k = max(1, ceil(share * n)), at most n - 1; a lone cell counts 1."""
-    k = F.least(F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n"))), F.col("n") - 1)
-    sizes = cells.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    ranked = neighbours(cells, k).join(F.broadcast(sizes), "slice").where(F.col("rank") == k)
-    per = sizes.join(ranked.groupBy("slice").agg(F.median("d").alias("d")), "slice", "left").select(F.coalesce("d", F.lit(1.0)).alias("d"))
+    per = kth_distances(cells, share).groupBy("slice").agg(F.coalesce(F.median("d"), F.lit(1.0)).alias("d"))
     return per.agg((F.pow(F.median("d"), 2) / abs(math.log(rho))).alias("gamma"))
 
 

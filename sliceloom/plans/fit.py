@@ -247,10 +247,10 @@ def fit_factors(rows: Rows, values: np.ndarray, p: int, k: int | None = None, au
     return fs, trace
 
 
-def spectral_rows(cells: DataFrame, gamma: float, jitter: float = 1e-8) -> DataFrame:
+def spectral_rows(cells: DataFrame, gamma: float | None, jitter: float = 1e-8) -> DataFrame:
     """fit, slice, i (the number of the eigenvalue), age, lam, u, values, vector, cells: one grouped task for each fit key and slice.
 
-    cells: fit, slice, age, cell, x, y, genes. Coordinates are z-scored in the slice first; a constant one becomes 0.
+    cells: fit, slice, age, cell, x, y, genes, and, where gamma is None, the fit's gamma. Coordinates are z-scored in the slice first; a constant one becomes 0.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,7 +258,7 @@ def spectral_rows(cells: DataFrame, gamma: float, jitter: float = 1e-8) -> DataF
         xy = pdf[["x", "y"]].to_numpy()
         sd = xy.std(axis=0, ddof=1) if len(xy) > 1 else np.ones(2)
         xy = (xy - xy.mean(axis=0)) / np.where(sd > 0, sd, 1)
-        k = np.exp(-((xy[:, None] - xy[None]) ** 2).sum(-1) / gamma)
+        k = np.exp(-((xy[:, None] - xy[None]) ** 2).sum(-1) / (pdf["gamma"].iloc[0] if gamma is None else gamma))
         np.fill_diagonal(k, 1 + jitter)
         lam, v = np.linalg.eigh(k)
         rotated = v.T @ np.stack(pdf["genes"].to_list())
@@ -270,8 +270,8 @@ def spectral_rows(cells: DataFrame, gamma: float, jitter: float = 1e-8) -> DataF
 RESULT = "fit string, kind string, program int, key long, age double, value double, sd double"
 
 
-def fit_keys(spectral: DataFrame, p: int, k: int | None = None, auto: bool = False, gamma_age: float = 1.0) -> DataFrame:
-    """One task for each fit key. Rows by kind: loading (key: gene), theta (0 age, 1 space, 2 error), trajectory (key: slice), score and field (key: cell).
+def fit_keys(spectral: DataFrame, p: int, k: int | None = None, auto: bool = False, gamma_age: float | None = 1.0) -> DataFrame:
+    """One task for each fit key; where gamma_age is None, rows have their fit's gamma_age. Rows by kind: loading (key: gene), theta (0 age, 1 space, 2 error), trajectory (key: slice), score and field (key: cell).
 
     With auto at most p factors, and a row of kind trial for each one tried (key: 1 if it was kept, value: the share of the
     residual that it took).
@@ -282,7 +282,7 @@ def fit_keys(spectral: DataFrame, p: int, k: int | None = None, auto: bool = Fal
         number = {s: i for i, s in enumerate(slices.index)}
         pdf = pdf.assign(at=pdf["slice"].map(number)).sort_values(["at", "lam"], kind="stable")
         ages = slices.to_numpy()
-        rows = Rows(pdf["at"].to_numpy(), pdf["lam"].to_numpy(), pdf["u"].to_numpy(), age_kernel(ages, gamma_age))
+        rows = Rows(pdf["at"].to_numpy(), pdf["lam"].to_numpy(), pdf["u"].to_numpy(), age_kernel(ages, pdf["gamma_age"].iloc[0] if gamma_age is None else gamma_age))
         values = np.stack(pdf["values"].to_list())
         fs, trace = fit_factors(rows, values, p, k, auto)
         out = [("trial", t["factor_index"] - 1, int(t["keep"]), None, t["rel_improve_total"], None) for t in trace] if auto else []

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceloom.operators import benchmark as B
+from sliceloom.operators import spatial as S
 from sliceloom.plans.control import Rules, control, slice_key
-from sliceloom.plans.queries import COUNTS, POINTS, query, rounded
+from sliceloom.plans.queries import COUNTS, POINTS, SPATIAL, query, rounded
+from sliceloom.plans.sweep import sweep
 from sliceloom.sources import adapters as A
 
 # quality control
@@ -155,3 +157,15 @@ def settings_completion(spark, d):
 @query(f"WITH {_LOADINGS} SELECT setting_id, side, program, round(sum(weight) OVER (PARTITION BY setting_id, side, program), 6) AS total, true AS sums_to_one, row_number() OVER (PARTITION BY setting_id, side, program ORDER BY weight DESC, gene) AS rank, gene FROM w QUALIFY rank <= 10")
 def loading_checks(spark, d):
     return rounded(B.loading_check(_loadings(spark, d), ["setting_id", "side"]))
+
+
+@query()
+def kernel_sweep(spark, d):
+    """All 12 settings on both halves of the cells: a fit each, and how the baseline's pairs of programs fare."""
+    cells = A.spatial_cells(spark, d).withColumn("side", F.when(F.col("cell") % 2 == 0, "left").otherwise("right"))
+    return rounded(sweep(cells, ("left", "right"))["aligned"], 4)
+
+
+@query(f"WITH {SPATIAL}, n AS (SELECT slice, count(*) AS n FROM sp GROUP BY slice), r AS (SELECT a.slice, a.cell, n, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.cell ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS r FROM sp a JOIN sp b ON a.slice = b.slice AND a.cell <> b.cell JOIN n ON n.slice = a.slice) SELECT slice, cell, n, CAST(r AS BIGINT) AS k, round(d, 6) AS d FROM r WHERE r = least(greatest(1, ceil(0.1 * n)), n - 1)")
+def kth_distances(spark, d):
+    return rounded(S.kth_distances(A.spatial_cells(spark, d), 0.1))
