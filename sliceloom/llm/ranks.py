@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sliceloom.llm.store import save
+
 ROWS_PER_BUCKET = 1024
 
 
@@ -34,3 +36,14 @@ def running(df: DataFrame, group: list[str], order: Column, ties: list[Column],
     inside = Window.partitionBy(*group, "_bucket").orderBy("_order", *ties).rowsBetween(Window.unboundedPreceding, -1)
     ranked = keyed.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
     return ranked.join(offsets, same).withColumn(out, F.col("_inside") + F.col("_offset")).drop("_order", "_bucket", "_weight", "_inside", "_offset", "_b", *[f"_g{i}" for i in range(len(group))])
+
+
+def name_ranks(rows: DataFrame, column: str, null_last: bool = False) -> DataFrame:
+    """name, rank: the distinct values of a column by code point from 0, null first or last. Names are dealt by their order, so no task sorts them all."""
+    names = rows.select(F.col(column).alias("name")).distinct()
+    order = F.col("name").asc_nulls_last() if null_last else F.col("name").asc_nulls_first()
+    dealt = save(names.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "names")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return dealt.withColumn("_place", place).join(offsets, F.col("_part") == F.col("_p")).select("name", (F.col("_place") + F.col("_offset")).cast("long").alias("rank"))

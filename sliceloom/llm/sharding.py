@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sliceloom.llm.ranks import hashed_order, running
+from sliceloom.llm.ranks import hashed_order, name_ranks, running
 from sliceloom.llm.store import save
 
 #: Equal bins of a node's range in each pass of the median search; bounds what the driver gets.
@@ -24,16 +24,6 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))  # a row for each node of the tree
 
 
-def name_ranks(rows: DataFrame, column: str) -> DataFrame:
-    """name, rank: the distinct values of a column by code point from 0, null first. Names are dealt by their order, so no task sorts them all."""
-    names = rows.select(F.col(column).alias("name")).distinct()
-    dealt = save(names.repartitionByRange(F.col("name").asc_nulls_first()).sortWithinPartitions(F.col("name").asc_nulls_first()).withColumn("_part", F.spark_partition_id()), "names")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("name").asc_nulls_first())) - 1
-    return dealt.withColumn("_place", place).join(offsets, F.col("_part") == F.col("_p")).select("name", (F.col("_place") + F.col("_offset")).cast("long").alias("rank"))
-
-
 def _median_cuts(items: DataFrame, nodes: dict[int, tuple[int, int, float]], slack: float) -> dict[int, int]:
     """nodes: node -> (least key, greatest key, share of the weight for the left) -> node -> cut; keys below it go left.
 

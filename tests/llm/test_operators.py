@@ -532,9 +532,55 @@ def test_every_copy_follows_the_schedule(spark, drift):
     assert [r["doc_id"] for r in mixing.training_order(docs, drift=drift).collect()] == [i for _, i in sorted(want)]
 
 
-def test_targets_reshare():
+def test_given_schedules_are_integrated_and_inverted(spark):
+    """Piecewise schedules with idle times, for some sources: training order against demand inverted by bisection."""
+    given = {"a": [(0, 0), (0.5, 0), (0.6, 4), (1, 1)], None: [(0, 3), (0.25, 0), (0.75, 0), (1, 0.5)]}
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 7), ["a", "b", None][i % 3]) for i in range(60)], "doc_id long, text string, source string")
+
+    def demand(points, t):
+        area = lambda end: sum((min(b, end) - a) * (x + (x + (y - x) * (min(b, end) - a) / (b - a))) / 2 for (a, x), (b, y) in zip(points, points[1:]) if a < end)
+        return area(t) / area(1)
+
+    want = []
+    for r in mixing.mix(docs, schedules=given).where("taken > 0").collect():
+        points = given.get(r["source"], [(0, 1.0), (1, 1.0)])  # b is the middle one of three: no drift
+        before = demand(points, r["position"])
+        for copy in range(r["copies"]):
+            lo, hi, y = 0.0, 1.0, before + copy * r["source_size"] / r["target"]
+            for _ in range(60):
+                t = (lo + hi) / 2
+                lo, hi = (t, hi) if demand(points, t) <= y + 1e-12 else (lo, t)
+            want.append((round(lo, 6), r["doc_id"]))
+        if r["source"] == "a":
+            assert r["position"] >= 0.5
+    got = [r["doc_id"] for r in mixing.training_order(docs, schedules=given).collect()]
+    place = {}
+    for i, d in enumerate(got):
+        place.setdefault(d, []).append(i)
+    assert len(got) == len(want) and sorted(got) == sorted(i for _, i in want)
+    at = {}
+    for t, i in sorted(want):
+        at.setdefault(i, []).append(t)
+    times = [at[d][place[d].index(i)] for i, d in enumerate(got)]
+    assert all(a <= b + 1e-5 for a, b in zip(times, times[1:]))
+    for bad in ([(0, 1)], [(0, 1), (0.5, 1)], [(0, 0), (1, 0)], [(0, 1), (1, -1)]):
+        with pytest.raises(ValueError, match="schedule"):
+            mixing.segments(bad)
+
+
+def test_targets_reshare(spark, monkeypatch):
     goal = mixing.targets([("a", 10), ("b", 100), ("c", 100)], {"a": 5, "b": 2, "c": 1}, 210)
     assert goal == pytest.approx({"a": 30.0, "b": 120.0, "c": 60.0})
+    rng = np.random.default_rng(3)
+    sizes = {f"s{i}": int(n) for i, n in enumerate(rng.integers(0, 400, 40) ** 2 // 50)} | {None: 7, "": 90}
+    sized = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(3)
+    names = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    want = mixing.targets(list(sizes.items()), {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}, sum(sizes.values()))
+    got, n = mixing.source_table(sized)
+    assert n == len(sizes) and {r["source"]: r["target"] for r in got.collect()} == pytest.approx(want)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    docs = spark.createDataFrame([(i, "w " * (i % 5), f"s{i % 4}") for i in range(40)], "doc_id long, text string, source string")
+    assert sum(r["taken"] for r in mixing.mix(docs).collect()) == pytest.approx(80, abs=4)
 
 
 def test_sharding(docs, rows, empty):
