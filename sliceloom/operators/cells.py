@@ -173,3 +173,53 @@ def set_score(counts: DataFrame, cells: DataFrame, genes: Sequence[str]) -> Data
     zero = stats.agg(F.sum(-F.col("mu") / F.col("sd")).alias("z"), F.count(F.lit(1)).alias("g"))
     scaled = rows.join(F.broadcast(stats), "gene").groupBy("cell").agg(F.sum(F.col("value") / F.col("sd")).alias("v"))
     return cells.select("cell").join(scaled, "cell", "left").crossJoin(F.broadcast(zero)).select("cell", ((F.coalesce("v", F.lit(0.0)) + F.col("z")) / F.col("g")).alias("score"))
+
+
+def demeaned_slice_means(values: DataFrame, cells: DataFrame) -> DataFrame:
+    """slice, gene, mean of values minus their gene's mean over all cells. Zeros are counted, not made: the work follows the stored values, and the result has a row for each slice and gene."""
+    n = cells.agg(F.count(F.lit(1)).alias("_n"))
+    whole = values.join(cells.select("cell"), "cell", "left_semi").groupBy("gene").agg(F.sum("value").alias("_s")).crossJoin(n).select("gene", (F.col("_s") / F.col("_n")).alias("_m"))
+    frame = cells.select("slice").distinct().crossJoin(whole)
+    return frame.join(slice_means(values, cells), ["slice", "gene"], "left").select("slice", "gene", (F.coalesce("mean", F.lit(0.0)) - F.col("_m")).alias("mean"))
+
+
+def gene_zscores(values: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cell, gene, z of the stored values; gene, zero, the z of every value that is not stored): columns scaled by mean and sd over all cells, n - 1, an sd under 1e-12 as 1."""
+    moments = gene_moments(values, cells)
+    stored = values.join(moments, "gene").select("cell", "gene", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
+    return stored, moments.select("gene", (-F.col("mean") / F.col("sd")).alias("zero"))
+
+
+def balanced_values(counts: DataFrame, cells: DataFrame, most: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """(cell, gene, value of the stored counts; gene, centre): log1p of counts scaled to the median library by at most `most`, minus the centre; a count that is not stored has minus the centre."""
+    library = qc_metrics(counts).where("total > 0")
+    target = library.agg(F.median("total").alias("_target"))  # one row
+    scale = F.least(F.lit(most), F.col("_target") / F.col("total"))
+    centres = balanced_centres(counts, cells, most)
+    scaled = counts.join(library, "cell").crossJoin(target).withColumn("value", F.log1p(F.col("value") * scale))
+    return scaled.join(centres, "gene").select("cell", "gene", (F.col("value") - F.col("centre")).alias("value")), centres
+
+
+def centred_counts(counts: DataFrame, cells: DataFrame, target: float = 250.0) -> DataFrame:
+    """slice, gene, mean of counts scaled to `target` a cell, logged and minus their gene's mean: what centred inputs look like, slice by slice."""
+    return demeaned_slice_means(log1p_normalize(counts, target), cells)
+
+
+def centering(values: DataFrame, cells: DataFrame, tolerance: float = 1e-2) -> DataFrame:
+    """One row: the largest and the mean absolute gene mean over all cells, and whether the largest is within tolerance."""
+    n = cells.agg(F.count(F.lit(1)).alias("_n"))
+    means = values.groupBy("gene").agg(F.sum("value").alias("_s")).crossJoin(n).select(F.abs(F.col("_s") / F.col("_n")).alias("_m"))
+    return means.agg(F.max("_m").alias("largest"), F.avg("_m").alias("mean")).withColumn("centred", F.col("largest") <= tolerance)
+
+
+def standard_ages(slices: DataFrame) -> DataFrame:
+    """slices with z, the z-score (n - 1) of age over them; 0 where there are fewer than two or all are alike."""
+    moments = slices.agg(F.count("age").alias("_n"), F.avg("age").alias("_m"), F.stddev_samp("age").alias("_s"))
+    z = F.when((F.col("_n") < 2) | F.isnan("_s") | (F.col("_s") < 1e-12), 0.0).otherwise((F.col("age") - F.col("_m")) / F.col("_s"))
+    return slices.crossJoin(moments).select(*slices.columns, z.alias("z"))
+
+
+def scaled_covariates(cells: DataFrame, within: bool = False) -> DataFrame:
+    """cell, age01, x01, y01: ages scaled to [0, 1] over all cells, places over all or (within) over their slice; a column without range raises."""
+    rows = minmax(cells, {"age01": "age"})
+    return minmax(rows, {"x01": "x", "y01": "y"}, ["slice"] if within else []).select("cell", "age01", "x01", "y01")

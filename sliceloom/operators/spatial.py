@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sliceloom.operators.cells import standard_ages
 from sliceloom.sources.tables import written
 
 
@@ -18,8 +19,10 @@ def _pairs(slices: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(slices.select(F.col("slice").alias("s2"), F.col("age").alias("a2"))))
 
 
-def temporal_kernel(slices: DataFrame, kind: str = "rbf", gamma: float = 1.0, rho: float = 0.75, jitter: float = 0.0) -> DataFrame:
-    """s1, s2, k. rbf: exp(-(age difference)^2 / gamma); ar1: rho^|difference of dense age ranks|."""
+def temporal_kernel(slices: DataFrame, kind: str = "rbf", gamma: float = 1.0, rho: float = 0.75, jitter: float = 0.0, scaled: bool = False) -> DataFrame:
+    """s1, s2, k. rbf: exp(-(age difference)^2 / gamma), of z-scored ages if scaled; ar1: rho^|difference of dense age ranks|. jitter is added to the diagonal."""
+    if scaled:
+        slices = standard_ages(slices).select("slice", F.col("z").alias("age"))
     if kind == "rbf":
         rows = _pairs(slices).withColumn("k", F.exp(-F.pow(F.col("a1") - F.col("a2"), 2) / gamma))
     elif kind == "ar1":
@@ -185,15 +188,19 @@ def spatial_bandwidth(cells: DataFrame, share: float = 0.05, rho: float = 0.9) -
     return per.agg((F.pow(F.median("d"), 2) / abs(math.log(rho))).alias("gamma"))
 
 
-def spatial_kernel(cells: DataFrame, gamma: float, kind: str = "gaussian") -> DataFrame:
-    """slice, src, dst, k for src <= dst; gaussian exp(-d^2 / gamma), cauchy 1 / (1 + d^2 / gamma), quadratic 1 - d^2 / (d^2 + gamma)."""
+def spatial_kernel(cells: DataFrame, gamma: float, kind: str = "gaussian", jitter: float = 0.0, scaled: bool = False) -> DataFrame:
+    """slice, src, dst, k for src <= dst; gaussian exp(-d^2 / gamma), cauchy 1 / (1 + d^2 / gamma), quadratic 1 - d^2 / (d^2 + gamma); jitter on the diagonal. scaled: of places z-scored in their slice, a coordinate without spread as 0."""
+    if scaled:
+        spread = lambda c: F.when(F.col(f"_{c}") > 0, (F.col(c) - F.col(f"_m{c}")) / F.col(f"_{c}")).otherwise(0.0).alias(c)
+        moments = cells.groupBy("slice").agg(*[f(c).alias(n + c) for c in ("x", "y") for f, n in ((F.avg, "_m"), (F.stddev_samp, "_"))])
+        cells = cells.join(moments, "slice").select("slice", "cell", spread("x"), spread("y"))
     a = cells.select("slice", F.col("cell").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = cells.select("slice", F.col("cell").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     d2 = F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2)
     forms = {"gaussian": F.exp(-d2 / gamma), "cauchy": 1 / (1 + d2 / gamma), "quadratic": 1 - d2 / (d2 + gamma)}
     if kind not in forms:
         raise ValueError(f"unknown kernel: {kind}")
-    return a.join(b, "slice").where("src <= dst").select("slice", "src", "dst", forms[kind].alias("k"))
+    return a.join(b, "slice").where("src <= dst").select("slice", "src", "dst", (forms[kind] + F.when(F.col("src") == F.col("dst"), jitter).otherwise(0.0)).alias("k"))
 
 
 def reference_kernel(cells: DataFrame, gamma: float) -> DataFrame:

@@ -124,7 +124,7 @@ def gene_moments(spark, d):
 def log_demeaned(spark, d):
     values = A.counts(spark, d).withColumn("value", F.log1p("value"))
     cells = A.count_cells(spark, d)
-    return rounded(C.demean(values, cells).join(cells.select("cell", "slice"), "cell").groupBy("gene", "slice").agg(F.avg("value").alias("mean")))
+    return rounded(C.demeaned_slice_means(values, cells).select("gene", "slice", "mean"))
 
 
 @query(f"""WITH {COUNTS}, {CELLS}, lib AS (SELECT cell, sum(value) AS total FROM counts GROUP BY cell HAVING sum(value) > 0), t AS (SELECT median(total) AS target FROM lib),

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceloom.operators import benchmark as B
+from sliceloom.operators import cells as C
 from sliceloom.operators import spatial as S
+from sliceloom.operators import trends as T
 from sliceloom.plans.control import Rules, control, slice_key
-from sliceloom.plans.queries import COUNTS, POINTS, SPATIAL, query, rounded
+from sliceloom.plans.queries import CELLS, COUNTS, POINTS, SPATIAL, query, rounded, slices_of
 from sliceloom.plans.sweep import sweep
 from sliceloom.sources import adapters as A
 
@@ -169,3 +171,69 @@ def kernel_sweep(spark, d):
 @query(f"WITH {SPATIAL}, n AS (SELECT slice, count(*) AS n FROM sp GROUP BY slice), r AS (SELECT a.slice, a.cell, n, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.cell ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS r FROM sp a JOIN sp b ON a.slice = b.slice AND a.cell <> b.cell JOIN n ON n.slice = a.slice) SELECT slice, cell, n, CAST(r AS BIGINT) AS k, round(d, 6) AS d FROM r WHERE r = least(greatest(1, ceil(0.1 * n)), n - 1)")
 def kth_distances(spark, d):
     return rounded(S.kth_distances(A.spatial_cells(spark, d), 0.1))
+
+
+# normalisation, kernels and trends
+
+
+@query(f"WITH {COUNTS}, {CELLS}, n AS (SELECT count(*) AS n FROM cells), s AS (SELECT gene, sum(value) / any_value(n) AS m, sqrt((sum(value * value) - sum(value) * sum(value) / any_value(n)) / (any_value(n) - 1)) AS sd FROM counts, n GROUP BY 1) SELECT cell, gene, round((value - m) / sd, 6) AS z FROM counts JOIN s USING (gene) UNION ALL SELECT NULL, gene, round(-m / sd, 6) FROM s")
+def gene_zscores(spark, d):
+    """Stored values, and, without a cell, what all others have."""
+    stored, zero = C.gene_zscores(A.counts(spark, d), A.count_cells(spark, d))
+    return rounded(stored.unionByName(zero.select(F.lit(None).cast("long").alias("cell"), "gene", F.col("zero").alias("z"))))
+
+
+@query(f"""WITH {COUNTS}, {CELLS}, lib AS (SELECT cell, sum(value) AS total FROM counts GROUP BY cell HAVING sum(value) > 0), t AS (SELECT median(total) AS target FROM lib),
+    v AS (SELECT counts.cell, gene, ln(1 + value * least(10, target / total)) AS v FROM counts JOIN lib USING (cell), t), nt AS (SELECT slice, count(*) AS n FROM cells GROUP BY slice),
+    m AS (SELECT slice, gene, sum(v) / any_value(n) AS m FROM v JOIN cells USING (cell) JOIN nt USING (slice) GROUP BY slice, gene), c AS (SELECT gene, sum(m) / (SELECT count(*) FROM nt) AS centre FROM m GROUP BY gene)
+    SELECT cell, gene, round(v - centre, 6) AS value FROM v JOIN c USING (gene)""")
+def balanced_values(spark, d):
+    return rounded(C.balanced_values(A.counts(spark, d), A.count_cells(spark, d))[0])
+
+
+@query(f"""WITH {COUNTS}, {CELLS}, v AS (SELECT cell, gene, ln(1 + value * 250 / sum(value) OVER (PARTITION BY cell)) AS v FROM counts), n AS (SELECT count(*) AS n FROM cells), m AS (SELECT gene, sum(v) / any_value(n) AS m FROM v, n GROUP BY 1), k AS (SELECT slice, count(*) AS n FROM cells GROUP BY 1),
+    s AS (SELECT slice, gene, sum(v) AS s FROM v JOIN cells USING (cell) GROUP BY 1, 2) SELECT k.slice, m.gene, round(coalesce(s, 0) / k.n - m, 6) AS mean FROM k CROSS JOIN m LEFT JOIN s ON s.slice = k.slice AND s.gene = m.gene""")
+def centred_slice_means(spark, d):
+    return rounded(C.centred_counts(A.counts(spark, d), A.count_cells(spark, d)))
+
+
+@query(f"WITH {COUNTS}, {CELLS}, m AS (SELECT gene, abs(sum(value) / (SELECT count(*) FROM cells)) AS m FROM counts GROUP BY 1) SELECT round(max(m), 6) AS largest, round(avg(m), 6) AS mean, max(m) <= 0.01 AS centred FROM m")
+def centering_check(spark, d):
+    return rounded(C.centering(A.counts(spark, d), A.count_cells(spark, d)))
+
+
+@query(f"WITH {SPATIAL} SELECT cell, round((age - min(age) OVER ()) / (max(age) OVER () - min(age) OVER ()), 6) AS age01, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 6) AS x01, round((y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w), 6) AS y01, within FROM sp, (VALUES (true), (false)) v(within) WINDOW w AS (PARTITION BY within, CASE WHEN within THEN slice END)")
+def scaled_covariates(spark, d):
+    cells = A.spatial_cells(spark, d)
+    both = [C.scaled_covariates(cells, w).withColumn("within", F.lit(w)) for w in (True, False)]
+    return rounded(both[0].unionByName(both[1]))
+
+
+@query(f"WITH {CELLS}, s AS (SELECT slice, (age - avg(age) OVER ()) / stddev_samp(age) OVER () AS z FROM (SELECT DISTINCT slice, age FROM cells)) SELECT a.slice AS s1, b.slice AS s2, round(exp(-pow(a.z - b.z, 2) / 0.8) + CASE WHEN a.slice = b.slice THEN 0.001 ELSE 0 END, 6) AS k FROM s a, s b")
+def scaled_age_kernel(spark, d):
+    return rounded(S.temporal_kernel(slices_of(A.count_cells(spark, d)), "rbf", 0.8, jitter=0.001, scaled=True))
+
+
+@query(f"WITH {SPATIAL}, z AS (SELECT slice, cell, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS x, (y - avg(y) OVER w) / stddev_samp(y) OVER w AS y FROM sp WINDOW w AS (PARTITION BY slice)), d AS (SELECT a.slice, a.cell AS src, b.cell AS dst, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS d2 FROM z a JOIN z b ON a.slice = b.slice AND a.cell <= b.cell) SELECT slice, src, dst, round(1 - d2 / (d2 + 2) + CASE WHEN src = dst THEN 0.01 ELSE 0 END, 6) AS k FROM d")
+def scaled_quadratic_kernel(spark, d):
+    return rounded(S.spatial_kernel(A.spatial_cells(spark, d), 2.0, "quadratic", 0.01, scaled=True))
+
+
+@query()
+def kernel_conditions(spark, d):
+    """Wide and narrow kernels over the ages."""
+    slices = slices_of(A.count_cells(spark, d))
+    both = [S.temporal_kernel(slices, "rbf", g, scaled=True).withColumn("gamma", F.lit(g)) for g in (0.01, 4.0)]
+    return T.kernel_condition(both[0].unionByName(both[1]), ["gamma"]).select("gamma", "size", "status")
+
+
+@query()
+def smooth_trends(spark, d):
+    return rounded(T.smooth_trend(A.points(spark, d), ["celltype"], "age", "y", 30), 4)
+
+
+@query()
+def domain_times(spark, d):
+    """Time along paths through the types of cells, in the space of places and genes."""
+    cells = A.spatial_cells(spark, d).withColumn("v", F.concat(F.array("x", "y"), "genes"))
+    return rounded(T.path_times(cells, "celltype", "v"), 4)
