@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sliceloom.llm.ranks import hashed_order, name_ranks, running
 from sliceloom.llm.store import save
 
-#: Equal bins of a node's range in each pass of the median search; bounds what the driver gets.
+#: Equal bins of a node's range in each pass of the median search.
 BINS = 1024
 
 
@@ -20,36 +20,39 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")) + 1
 
 
+#: Nodes of a tree whose table, some tens of bytes a row, is sent to every task; more meet the items by a shuffle.
+BROADCAST_NODES = 1 << 17
+
+
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))  # a row for each node of the tree
+    """A row for each node of the tree."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_NODES else table
 
 
 def _median_cuts(items: DataFrame, nodes: dict[int, tuple[int, int, float]], slack: float) -> dict[int, int]:
     """nodes: node -> (least key, greatest key, share of the weight for the left) -> node -> cut; keys below it go left.
 
-    Histogram refinement over all nodes at once: a pass reads the item table once and returns at most BINS rows a
-    node, and the next looks only into the bin that holds the median. A node is done when that bin is one key or
-    weighs no more than `slack` of it.
+    Histogram refinement over all nodes at once: a pass reads the item table once and finds on the cluster the bin that
+    holds each node's median, so one row a node returns, and the next looks only into that bin. A node is done when the
+    bin is one key or weighs no more than `slack` of it.
     """
     spark, cuts = items.sparkSession, {}
     search = {k: (lo, hi + 1, 0, None) for k, (lo, hi, _) in nodes.items()}
     while search:
         steps = {k: -(-(hi - lo) // BINS) for k, (lo, hi, _, _) in search.items()}
-        table = _table(spark, [(k, Decimal(s[0]), Decimal(s[1]), Decimal(steps[k])) for k, s in search.items()], "node long, lo decimal(38,0), hi decimal(38,0), step decimal(38,0)")
+        rows = [(k, Decimal(lo), Decimal(hi), Decimal(steps[k]), below, None if goal is None else float(goal), float(nodes[k][2])) for k, (lo, hi, below, goal) in search.items()]
+        table = _table(spark, rows, "node long, lo decimal(38,0), hi decimal(38,0), step decimal(38,0), below long, goal double, share double")
         inside = items.join(table, "node").where("key >= lo and key < hi")
-        bins: dict[int, list[tuple[int, int]]] = {k: [] for k in search}
-        for r in inside.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("weight").alias("w")).collect():
-            bins[r["node"]].append((r["bin"], r["w"]))
-        for k, (lo, _, below, goal) in list(search.items()):
-            whole = sum(w for _, w in bins[k])
-            goal = nodes[k][2] * whole if goal is None else goal
-            for b, w in sorted(bins[k]):
-                if below + w >= goal:
-                    break
-                below += w
-            start = lo + b * steps[k]
+        bins = inside.groupBy("node", F.expr("cast((key - lo) div step as long)").alias("bin")).agg(F.sum("weight").alias("w"), F.first("below").alias("below"), F.first("goal").alias("goal"), F.first("share").alias("share"))
+        node = Window.partitionBy("node")
+        upto = bins.withColumns({"upto": F.col("below") + F.sum("w").over(node.orderBy("bin")), "goal": F.coalesce("goal", F.col("share") * F.sum("w").over(node))})
+        first = F.struct((F.col("upto") < F.col("goal")).alias("short"), F.when(F.col("upto") >= F.col("goal"), F.col("bin")).otherwise(-F.col("bin")).alias("at"))  # the first that reaches the goal, or the last
+        for r in upto.groupBy("node").agg(F.min_by(F.struct("bin", "w", "upto", "goal"), first).alias("b")).collect():
+            k, (b, w, reached, goal) = r["node"], r["b"]
+            below, start = reached - w, search[k][0] + b * steps[k]
             if steps[k] == 1 or w <= slack * goal:
-                cuts[k] = start if goal - below <= below + w - goal else start + steps[k]
+                cuts[k] = start if goal - below <= reached - goal else start + steps[k]
                 del search[k]
             else:
                 search[k] = (start, start + steps[k], below, goal)
@@ -61,7 +64,7 @@ def kd_leaves(items: DataFrame, dimensions: Sequence[str], leaves: int, slack: f
 
     items: long columns `dimensions` of at least 0, a long `weight`, and a long `tie` under 2^40 that tells items of
     equal value apart; no nulls. A node is cut along the dimension whose range, over the whole table's range, is
-    widest in it. Only one row a node and histograms of at most BINS rows a node reach the driver.
+    widest in it. Only one row a node reaches the driver in a pass.
     """
     spark = items.sparkSession
     bounds = [f(d).alias(f"{n}{i}") for i, d in enumerate(dimensions) for n, f in (("lo", F.min), ("hi", F.max))]
