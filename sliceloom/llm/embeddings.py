@@ -159,19 +159,30 @@ def range_join(vectors: DataFrame, least: float) -> DataFrame:
     return left.unionByName(right).groupBy("task").applyInArrow(lambda t: _compare(t, least), "node long, other long, n long")
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
+def _classes(rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with node, classes): a number for each distinct vector, null for vectors that link with nothing. Vectors of one number are compared; where two differ, all are numbered anew."""
+    salt = 0
+    while True:
+        low = F.lit((1 << bits) - 1 if bits < 64 and not salt else -1).cast("long")
+        numbered = rows.withColumn("node", F.when(F.col("good"), F.xxhash64("vector", F.lit(salt)).bitwiseAND(low)))
+        classes = save(numbered.where("good").groupBy("node", "vector").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "classes")
+        if classes.groupBy("node").count().where("count > 1").isEmpty():
+            return numbered, classes
+        salt += 1
+
+
+def near_duplicates(embeddings: DataFrame, least: float = 0.9, bits: int = 64) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id long, embedding array of float or double).
 
     Rows link at a cosine of at least `least` in double precision; only vectors of equal length are compared. Equal
     vectors are one class, joined as one vector and counted by its rows, so a very common vector costs one. Null or
     zero vectors and those with null or non-finite components link with nothing and are kept. A row without vec_id
     counts as a link of others but is never a component's id. Repeated rows are vectors like others; other columns
-    play no part; an empty table gives an empty table.
+    play no part; an empty table gives an empty table. bits: of the numbers of distinct vectors at first.
     """
     rows = embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
     bad = F.col("vector").isNull() | F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("vector", lambda x: x != 0.0)
-    rows = save(rows.withColumn("node", F.when(~F.coalesce(bad, F.lit(True)), F.xxhash64("vector"))), "vectors")
-    classes = save(rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "classes")
+    rows, classes = _classes(save(rows.withColumn("good", ~F.coalesce(bad, F.lit(True))), "vectors"), bits)
     found = None
     for (length,) in classes.select(F.size("vector").alias("k")).distinct().collect():  # a row for each length of vector
         part = range_join(classes.where(F.size("vector") == length).select("node", "vector", "n"), least)
