@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sliceloom.llm import kernels as K
+from sliceloom.llm.store import save, total_bytes
 
 #: Insults by what they call somebody, in lists that share no word, and frequent function words of four languages.
 INSULTS = (
@@ -35,6 +36,8 @@ INSULTS = (
 COMMON = "a an and are as at be by for from he her his i in is it of on or that the this to was were with you " "der die das und ist nicht ein eine zu den dem von mit auf für im es ich sie er sich des " "le la les de et un une des du en est que qui dans pour pas sur au par ce " "el los las y que en un una por con se su para del al es lo como"
 #: Bound of the sample that trains the scorer and the lexicon, in documents, by expectation; the sample is fixed by a hash of the id.
 SAMPLE = 6000
+#: Bound of the UTF-8 bytes of its texts, by expectation: where the texts are longer, the sample is thinned evenly.
+SAMPLE_BYTES = 64 << 20
 #: Code points of a word's beginnings that are features beside the word.
 STEMS = (3, 4, 5, 6)
 #: UTF-8 bytes and texts of a block that Python looks at in one go.
@@ -430,6 +433,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _thinned(chosen: DataFrame) -> DataFrame:
+    """chosen, written, and where its texts are over SAMPLE_BYTES an even part of it by a hash of the text, at the lower rate that makes."""
+    chosen = save(chosen, "sample")
+    over = total_bytes(chosen, "text") / SAMPLE_BYTES
+    if over <= 1:
+        return chosen
+    return chosen.where(F.shiftrightunsigned(F.xxhash64("text", F.lit(13)), 33) < 2**31 / over).withColumn("rate", F.col("rate") / over)
+
+
 def _gathered(chosen: DataFrame) -> Sample:
     """chosen (text, said_prose, said_abuse, half, rate): about as many rows as the sample's bound, brought to the driver.
 
@@ -501,7 +513,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
         rates = part(sample / 2, rare), part(sample / 2, told - rare)
         ids = said.withColumn("rate", F.when(bad, rates[0]).otherwise(rates[1])).withColumnRenamed("_id", "doc_id").where(hashed < F.col("rate") * 2**31)
         chosen = texts.join(F.broadcast(ids), "doc_id")  # about `sample` ids
-        rows = _gathered(chosen.select("text", "said_prose", "said_abuse", "half", "rate"))
+        rows = _gathered(_thinned(chosen.select("text", "said_prose", "said_abuse", "half", "rate")))
         lexicons = _cross_fitted(rows)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +539,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
         heard = lambda p, a: (p % 3**PROSE > 0) | (a % 3**ABUSE > 0)
         loud = sum(r["n"] for r in counts if heard(r["prose"], r["abuse"]))
         rates = part(sample / 2, sum(r["n"] for r in counts) - loud), part(sample / 2, loud)
-        rows = _gathered(_by_votes(texts.withColumn("hashed", hashed), rates, said))
+        rows = _gathered(_thinned(_by_votes(texts.withColumn("hashed", hashed), rates, said).select("text", "said_prose", "said_abuse", "half", "rate")))
     patterns = rows.prose, _sample_votes(rows, lexicons)
     targets = [known.bad(p) for known, p in zip((prose, abuse), patterns, strict=True)]
     scorers = [train(rows.vocabulary, rows.place, rows.first, s, t, rows.share, rows.rate) for s, t in zip((rows.shapes, None), targets, strict=True)]
@@ -589,5 +601,10 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the classifier keeps, with their columns."""
+    """The rows of docs that the classifier keeps, with their columns, whatever their names.
+
+    A null or blank text has no words and no signs and is judged like any other short text; very long texts are read
+    whole, block by block; repeated rows are kept or go alike; rows without doc_id are judged, but no annotation is theirs.
+    labels may be empty or None: then the heuristics alone teach. An empty table gives an empty table.
+    """
     return docs.where(_marks(F.col("text"), F.col("doc_id"), fit(docs, labels, sample))["kept"])

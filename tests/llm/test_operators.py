@@ -393,6 +393,29 @@ def test_embeddings(spark, monkeypatch, fine):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_different_vectors_of_one_number_stay_apart(spark):
+    """With numbers of two bits most vectors share one; they are compared and numbered anew."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 8))
+    x[20:30] = x[:10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    linked = cosines(x, 0.9)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, bits=2).collect()}
+    want = roots(range(40), zip(*(a.tolist() for a in np.nonzero(linked))))
+    assert got == {i: (linked[i].sum(), want[i]) for i in range(40)}
+
+
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    rows = [(f"text {i} " + "w " * 500, 1, 0, i % 2, 0.5) for i in range(400)]
+    chosen = spark.createDataFrame(rows, "text string, said_prose long, said_abuse long, half int, rate double").repartition(3)
+    assert quality._thinned(chosen).count() == 400
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100_000)
+    kept = quality._thinned(chosen).collect()
+    whole = sum(len(r[0]) for r in rows)
+    assert sum(len(r["text"]) for r in kept) < 150_000 and len(kept) > 50
+    assert all(r["rate"] == pytest.approx(0.5 * 100_000 / whole) for r in kept)
+
+
 def test_tokens_equal_the_tokenizer(rows):
     from tokenizers import Tokenizer
 
