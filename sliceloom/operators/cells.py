@@ -223,3 +223,9 @@ def scaled_covariates(cells: DataFrame, within: bool = False) -> DataFrame:
     """cell, age01, x01, y01: ages scaled to [0, 1] over all cells, places over all or (within) over their slice; a column without range raises."""
     rows = minmax(cells, {"age01": "age"})
     return minmax(rows, {"x01": "x", "y01": "y"}, ["slice"] if within else []).select("cell", "age01", "x01", "y01")
+
+
+def bucket_means(df: DataFrame, value: str, buckets: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """by, mean, buckets: the mean over buckets of their means, each weighing alike; rows without a value are left out."""
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return rows.groupBy(*by, *buckets).agg(F.avg(value).alias("_m")).groupBy(*by).agg(F.avg("_m").alias("mean"), F.count(F.lit(1)).alias("buckets"))

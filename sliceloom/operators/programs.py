@@ -21,6 +21,18 @@ def project_simplex(loadings: DataFrame, k: int | None = None) -> DataFrame:
     return cut.select("program", "gene", (F.col("u") / F.sum("u").over(Window.partitionBy("program"))).alias("weight"))
 
 
+def sparsify_absolute(loadings: DataFrame, share: float | None = 0.1, top: int | None = None, project: bool = True) -> DataFrame:
+    """program, gene, weight: absolute weights, only the `top` largest of each program, or the share of all genes, rounded up and at least one; the others 0. project: then onto the simplex, as all of them with neither share nor top."""
+    rows = loadings.withColumn("weight", F.abs("weight"))
+    if top is not None or share is not None:
+        genes = F.count(F.lit(1)).over(Window.partitionBy("program"))
+        k = F.lit(top) if top is not None else F.greatest(F.lit(1), F.ceil(F.lit(share) * genes))
+        order = Window.partitionBy("program").orderBy(F.desc("weight"), "gene")
+        rows = rows.withColumn("weight", F.when(F.row_number().over(order) <= k, F.col("weight")).otherwise(0.0))
+    rows = rows.select("program", "gene", "weight")
+    return project_simplex(rows) if project else rows
+
+
 def top_genes(loadings: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("program").orderBy(F.desc("weight"), "gene")
     return loadings.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

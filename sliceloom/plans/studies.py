@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from sliceloom.operators import benchmark as B
 from sliceloom.operators import cells as C
+from sliceloom.operators import programs as P
 from sliceloom.operators import spatial as S
 from sliceloom.operators import trends as T
 from sliceloom.plans.control import Rules, control, slice_key
-from sliceloom.plans.queries import CELLS, COUNTS, POINTS, SPATIAL, query, rounded, slices_of
+from sliceloom.plans.queries import CELLS, COUNTS, POINTS, PROGRAMS, SPATIAL, query, rounded, slices_of
 from sliceloom.plans.sweep import sweep
 from sliceloom.sources import adapters as A
+from sliceloom.sources import results as K
+from sliceloom.sources import tables as IO
 
 # quality control
 
@@ -237,3 +240,61 @@ def domain_times(spark, d):
     """Time along paths through the types of cells, in the space of places and genes."""
     cells = A.spatial_cells(spark, d).withColumn("v", F.concat(F.array("x", "y"), "genes"))
     return rounded(T.path_times(cells, "celltype", "v"), 4)
+
+
+# results and their layouts
+
+
+@query(f"WITH {PROGRAMS} SELECT 'first' AS method, 3 AS seed, program, gene, round(weight, 6) AS weight FROM pa UNION ALL SELECT 'second', 5, program, gene, round(weight, 6) FROM pb")
+def result_store(spark, d):
+    """Two results kept with their parameters, and all read in one scan."""
+    root = IO.scratch(spark, "results")
+    for method, seed, by in (("first", 3, "o_orderstatus"), ("second", 5, "l_returnflag")):
+        K.resume(spark, root, [(method, seed)], lambda m, s, by=by: K.save_result(root, m, s, {"by": by}, A.programs(spark, d, by)))
+    K.load_result(spark, root, "first", 3, {"by": "o_orderstatus"})
+    return rounded(K.load_all(spark, root))
+
+
+@query(f"WITH {PROGRAMS} SELECT v.layout, layout || '-' || program AS program, gene, round(weight, 6) AS weight FROM pa, (VALUES ('long'), ('wide'), ('transposed'), ('replicates')) v(layout)")
+def result_layouts(spark, d):
+    """One set of loadings through every layout that a method may leave."""
+    w, root = A.programs(spark, d, "o_orderstatus"), IO.scratch(spark, "layouts")
+    names = lambda df, c: [r[0] for r in df.select(c).distinct().orderBy(c).collect()]
+    w.write.parquet(f"{root}/long")
+    IO.write_csv(IO.to_wide(w, names(w, "gene")), f"{root}/wide")
+    IO.write_csv(w.groupBy("gene").pivot("program", names(w, "program")).agg(F.first("weight")), f"{root}/transposed")
+    w.withColumn("replicate", F.explode(F.array(F.lit(-0.5), F.lit(0.5)))).withColumn("weight", F.col("weight") * (1 + F.col("replicate"))).write.parquet(f"{root}/replicates")
+    out = None
+    for layout in ("long", "wide", "transposed", "replicates"):
+        rows = K.load_loadings(spark, f"{root}/{layout}", layout, f"{layout}-").withColumn("layout", F.lit(layout))
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out)
+
+
+@query(f"WITH {POINTS} SELECT 'type_' || celltype AS cohort, count(*) AS n, round(sum(y), 4) AS total FROM points GROUP BY 1")
+def cohort_files(spark, d):
+    """A file for each type of cell, read by one path pattern."""
+    root, points = IO.scratch(spark, "cohorts"), A.points(spark, d)
+    for name in [r[0] for r in points.select("celltype").distinct().collect()]:
+        points.where(F.col("celltype") == name).write.parquet(f"{root}/type_{name}.parquet")
+    return K.read_cohort_files(spark, f"{root}/type_*.parquet").groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 4).alias("total"))
+
+
+@query(f"""WITH {PROGRAMS}, v AS (SELECT program, gene, abs(weight * 20 - 0.9) AS v0 FROM pa), k AS (SELECT program, gene, CASE WHEN row_number() OVER (PARTITION BY program ORDER BY v0 DESC, gene) <= greatest(1, ceil(0.2 * count(*) OVER (PARTITION BY program))) THEN v0 ELSE 0 END AS v FROM v),
+    r AS (SELECT *, row_number() OVER w AS r, sum(v) OVER w AS cs FROM k WINDOW w AS (PARTITION BY program ORDER BY v DESC, gene)), t AS (SELECT program, max_by((cs - 1) / r, r) AS theta FROM r WHERE v * r > cs - 1 GROUP BY program), u AS (SELECT program, gene, greatest(v - theta, 0) AS u FROM r JOIN t USING (program))
+    SELECT program, gene, round(u / sum(u) OVER (PARTITION BY program), 6) AS weight FROM u""")
+def absolute_simplex(spark, d):
+    return rounded(P.sparsify_absolute(A.programs(spark, d, "o_orderstatus").withColumn("weight", F.col("weight") * 20 - 0.9), 0.2))
+
+
+@query("SELECT status, round(avg(m), 6) AS mean, count(*) AS buckets FROM (SELECT o_orderstatus AS status, o_orderpriority AS p, o_custkey % 5 AS c, avg(o_totalprice) AS m FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1, 2, 3) GROUP BY 1")
+def bucket_means(spark, d):
+    """Buckets weigh alike, however many rows they hold; rows without a value are left out."""
+    o = A.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("p"), (F.col("o_custkey") % 5).alias("c"), F.when(F.col("o_custkey") % 7 != 0, F.col("o_totalprice").cast("double")).alias("v"))
+    return rounded(C.bucket_means(o, "v", ["p", "c"], ["status"]))
+
+
+@query("SELECT o_orderpriority AS priority, max(o_totalprice) FILTER (o_orderstatus = 'F') AS f, max(o_totalprice) FILTER (o_orderstatus = 'O') AS o, max(o_totalprice) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+def pivot_largest(spark, d):
+    wide = A.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.max("o_totalprice"))
+    return wide.toDF("priority", "f", "o", "p")
