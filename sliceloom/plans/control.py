@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceloom.operators.cells import bbox_area, marker_fraction, qc_metrics
-from sliceloom.operators.spatial import radius_pairs
+from sliceloom.operators.spatial import nearest_within
 
 
 @dataclass(frozen=True)
@@ -65,5 +65,5 @@ def control(cells: DataFrame, counts: DataFrame, rules: Rules) -> DataFrame:
     if rules.markers:
         shares = marker_fraction(counts, rules.markers)
         passed = passed.join(shares, "cell", "left").fillna(0.0, ["fraction"]).where(neuron | (F.col("fraction") <= rules.most_fraction))
-    near = radius_pairs(passed.where(~neuron).select("slice", "cell", "x", "y"), passed.where(neuron), rules.least_distance).where(F.col("d") < rules.least_distance)
+    near = nearest_within(passed.where(~neuron).select("slice", "cell", "x", "y"), passed.where(neuron), rules.least_distance).where(F.col("d") < rules.least_distance)
     return passed.join(near.select("cell").distinct(), "cell", "left_anti")
