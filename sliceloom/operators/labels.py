@@ -59,6 +59,58 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     return labels
 
 
+#: Cells of a slice up to which its Laplacian is a matrix; beyond, only its links are held.
+DENSE = 1024
+
+
+def _nearest_rows(x: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest other rows of each, nearest first, ties by place. A product of matrices, a few rows at a time, tells who can be among them; their distances are then worked out by differences."""
+    n, out = len(x), np.empty((len(x), m), np.int64)
+    squares = (x * x).sum(axis=1)
+    doubt = 1e-9 * (1 + squares.max())
+    rows = max(1, (1 << 22) // n)
+    for i in range(0, n, rows):
+        part = x[i : i + rows]
+        d = squares[i : i + rows, None] + squares[None] - 2 * part @ x.T
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+        at, to = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1 : m] + doubt)
+        exact = np.concatenate([((part[at[j : j + (1 << 16)]] - x[to[j : j + (1 << 16)]]) ** 2).sum(-1) for j in range(0, len(at), 1 << 16)])
+        order = np.lexsort((to, exact, at))
+        first = np.searchsorted(at, np.arange(len(d)))
+        out[i : i + rows] = to[order][first[:, None] + np.arange(m)]
+    return out
+
+
+def _smooth_vectors(near: np.ndarray, k: int, tol: float = 1e-10, width: int = 8, most: int = 200) -> np.ndarray:
+    """The k smallest eigenvectors of the normalised Laplacian of the symmetric graph, over the roots of the degrees: block Krylov spaces with restarts, on the links alone."""
+    n, m = near.shape
+    a, b = np.repeat(np.arange(n), m), near.ravel()
+    code = np.unique(np.concatenate((a * n + b, b * n + a)))
+    to = code % n
+    first = np.searchsorted(code, np.arange(n) * n)
+    root = 1 / np.sqrt(np.diff(np.append(first, len(code))))
+    smoothed = lambda v: root[:, None] * np.stack([np.add.reduceat((root * c)[to], first) for c in v.T], axis=1)
+    block = np.random.default_rng(n).normal(size=(n, k + width))
+    block[:, 0] = 1 / root  # the known one, of eigenvalue 0
+    block = np.linalg.qr(block)[0]
+    for _ in range(most):
+        basis, last = block, block
+        for _step in range(10):
+            last = smoothed(last)
+            for _twice in range(2):
+                last = last - basis @ (basis.T @ last)
+            last = np.linalg.qr(last)[0]
+            basis = np.concatenate((basis, last), axis=1)
+        image = smoothed(basis)
+        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        turn = turn[:, ::-1][:, : k + width]
+        block, moved = basis @ turn, image @ turn
+        if np.abs(moved[:, :k] - block[:, :k] * values[::-1][:k]).max() < tol:
+            break
+        block = np.linalg.qr(block)[0]
+    return block[:, :k] * root[:, None]
+
+
 def spectral_labels(cells: DataFrame, k: int) -> DataFrame:
     """slice, cell, label: k-means on the smallest eigenvectors of the normalised Laplacian of the symmetric graph of max(2, round(sqrt(n))) nearest neighbours, slice by slice. Slices of at most k cells get their place modulo k."""
 
@@ -69,14 +121,16 @@ def spectral_labels(cells: DataFrame, k: int) -> DataFrame:
         if n <= k:
             return pd.DataFrame({"slice": pdf["slice"], "cell": pdf["cell"], "label": np.arange(n) % k})
         x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        d = ((x[:, None] - x[None]) ** 2).sum(-1)
-        np.fill_diagonal(d, np.inf)
         m = min(max(2, round(n**0.5)), n - 1)
-        near = np.zeros((n, n))
-        near[np.repeat(np.arange(n), m), np.argsort(d, axis=1, kind="stable")[:, :m].ravel()] = 1
-        near = np.maximum(near, near.T)
-        root = 1 / np.sqrt(near.sum(axis=1))
-        vectors = np.linalg.eigh(np.eye(n) - root[:, None] * near * root[None])[1][:, :k] * root[:, None]
+        near = _nearest_rows(x, m)
+        if n <= DENSE:
+            linked = np.zeros((n, n))
+            linked[np.repeat(np.arange(n), m), near.ravel()] = 1
+            linked = np.maximum(linked, linked.T)
+            root = 1 / np.sqrt(linked.sum(axis=1))
+            vectors = np.linalg.eigh(np.eye(n) - root[:, None] * linked * root[None])[1][:, :k] * root[:, None]
+        else:
+            vectors = _smooth_vectors(near, k)
         vectors *= np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)])
         return pd.DataFrame({"slice": pdf["slice"], "cell": pdf["cell"], "label": _kmeans(vectors, k)})
 
