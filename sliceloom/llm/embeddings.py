@@ -99,13 +99,74 @@ def _crossings(d: np.ndarray, cell: np.ndarray, between: np.ndarray, r: float) -
     return crosses
 
 
+def _every_pair(vectors: DataFrame, total: int, least: float) -> DataFrame:
+    """range_join where nothing can be left out: blocks of about CHUNK vectors against blocks, read again for each other block instead of shuffled for it, so that the disk holds the vectors once and again as blocks."""
+    blocks = max(1, -(-total // CHUNK))
+
+    def packed(table: pa.Table) -> pa.Table:
+        return pa.table({"block": table.column("block").slice(0, 1), "node": [table.column("node").to_pylist()], "n": [table.column("n").to_pylist()], "vectors": [_packed(table.column("vector").combine_chunks())]}, schema=pa.schema([("block", pa.int64()), ("node", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("vectors", pa.binary())]))
+
+    dealt = vectors.select(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(blocks)).cast("long").alias("block"), "node", "n", "vector")
+    held = save(dealt.groupBy("block").applyInArrow(packed, "block long, node array<long>, n array<long>, vectors binary"), "blocks")
+    spread = min(blocks, max(32, -(-blocks // 4)))  # tasks: its square; a task gets few pairs of blocks at once
+    side = lambda name: held.select(*[F.col(c).alias(f"{name}_{c}") for c in held.columns]).repartition(spread, f"{name}_block")
+    names = ("block", "node", "n", "vectors")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                home, other = ([batch.column(f"{s}_{c}")[at] for c in names] for s in ("a", "b"))
+                found = _compare_blocks(_unpacked(home), _unpacked(other), home[0].as_py() == other[0].as_py(), least)
+                yield from found.to_batches()
+
+    pairs = side("a").hint("shuffle_replicate_nl").crossJoin(side("b")).where("a_block <= b_block")
+    return pairs.mapInArrow(compare, "node long, other long, n long")
+
+
+def _packed(column: pa.Array | pa.ChunkedArray) -> bytes:
+    """Components as they are: in single precision where that loses nothing."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).astype(np.float64)
+    with np.errstate(over="ignore"):
+        short = flat.astype(np.float32)
+    return b"4" + short.tobytes() if (short == flat).all() else b"8" + flat.tobytes()
+
+
+def _unpacked(block: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, node, n, held = block
+    raw = held.as_py()
+    flat = np.frombuffer(raw, np.float32 if raw[:1] == b"4" else np.float64, offset=1).astype(np.float64)
+    node = node.values.to_numpy()
+    return node, n.values.to_numpy(), _matrix(pa.FixedSizeListArray.from_arrays(pa.array(flat), len(flat) // len(node)))
+
+
+def _compare_blocks(home: tuple, other: tuple, same: bool, least: float) -> pa.Table:
+    """_compare of one block with another, seen from both ends; of a block with itself, once."""
+    (node, n, x), (theirs, m, y) = home, other
+    mine, yours, edges = np.zeros(len(node), np.int64), np.zeros(len(theirs), np.int64), []
+    for k in range(0, len(node), 1024):
+        linked = _linked(x[k : k + 1024], y, least) & (node[k : k + 1024, None] != theirs[None])
+        mine[k : k + 1024] = linked @ m
+        if not same:
+            yours += n[k : k + 1024] @ linked
+        if linked.any():
+            label, both = _components(linked), np.concatenate((node[k : k + 1024], theirs))
+            edge = np.flatnonzero(both[label] != both)
+            edges.append((both[edge], both[label][edge]))
+    a, b = np.flatnonzero(mine), np.flatnonzero(yours)
+    nodes = np.concatenate([node[a], theirs[b], *[e for e, _ in edges]])
+    others = pa.concat_arrays([pa.nulls(len(a) + len(b), pa.int64()), *[pa.array(o, pa.int64()) for _, o in edges]])
+    counts = np.concatenate([mine[a], yours[b], np.zeros(len(nodes) - len(a) - len(b), np.int64)])
+    return pa.table([pa.array(nodes, pa.int64()), others, pa.array(counts, pa.int64())], names=["node", "other", "n"])
+
+
 def range_join(vectors: DataFrame, least: float) -> DataFrame:
     """vectors (node long, vector array<double>, n long), of one length each -> (node, other, n) as in _compare, exact at `least`.
 
     Every vector has a home, the cell of its nearest pivot, and also visits each cell whose border its ball of the
     join radius can cross: by the distance to the bisecting plane of the two pivots, and by the triangle inequality
     with the cell's radius. Homes of a cell meet its homes and visitors, so each pair is seen from both ends and cells
-    stay independent. Large cells are cut into chunks; pivots are a sample fixed by a hash, of at most PIVOTS;
+    stay independent. Where even coarse cells are mostly crossed, blocks of vectors meet as they are (see _every_pair). Large cells are cut into chunks; pivots are a sample fixed by a hash, of at most PIVOTS;
     where the sample shows that balls reach many cells, as in high dimensions without clusters, cells are coarser, so that
     vectors are not sent to ever more cells for the same comparisons.
     """
@@ -124,6 +185,10 @@ def range_join(vectors: DataFrame, least: float) -> DataFrame:
     np.fill_diagonal(d, np.inf)  # a pivot is judged as a vector of some other cell
     if len(p) > coarse and _crossings(d, d.argmin(axis=1), _distances(p, p), r).sum(axis=1).mean() > FEW_VISITS:
         p = p[:coarse]
+        d = _distances(p[:512], p)
+        np.fill_diagonal(d, np.inf)
+        if len(p) > FEW_VISITS and _crossings(d, d.argmin(axis=1), _distances(p, p), r).sum(axis=1).mean() > len(p) / 2:
+            return _every_pair(vectors, total, least)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
