@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -705,6 +706,18 @@ def test_quality_generalises(spark):
     assert np.mean([got[i] for i, q, t in held if q and not t]) >= 0.98
 
 
+def test_quality_leaves_the_sample_to_a_task(spark):
+    """The driver's Python holds neither the sample nor what is fitted on it, with labels and without, also of no rows."""
+    rows, labels = invented(4)
+    docs, said = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for given, table in ((said, docs), (None, docs), (said, docs.limit(0))):
+        tracemalloc.start()
+        model = quality.fit(table, given)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held < 4 << 20 and 0 < model.prose.prior <= 0.5
+
+
 def test_estimate_recovers_accuracies():
     """Independent labellers of known accuracy."""
     rng = np.random.default_rng(5)
