@@ -592,6 +592,29 @@ def test_given_schedules_are_integrated_and_inverted(spark):
             mixing.segments(bad)
 
 
+def test_every_copy_has_its_place_and_its_words(spark):
+    """Positions of all copies by bisection of the integrated schedule; what is taken is what it demands by the end."""
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 7), "abc"[min(2, i // 12)]) for i in range(90)], "doc_id long, text string, source string")
+    given = {"b": [(0, 0), (0.25, 2), (1, 0.5)]}
+    shape = {"a": [(0, 1.5), (1, 0.5)], "b": given["b"], "c": [(0, 0.5), (1, 1.5)]}
+
+    def demand(points, t):
+        area = lambda end: sum((min(b, end) - a) * (x + (x + (y - x) * (min(b, end) - a) / (b - a))) / 2 for (a, x), (b, y) in zip(points, points[1:]) if a < end)
+        return area(t) / area(1)
+
+    got = mixing.mix(docs, schedules=given).collect()
+    most = 0
+    for s in "abc":
+        rows = [r for r in got if r["source"] == s]
+        read = sorted((t, min(r["size"], r["taken"] - i * r["size"])) for r in rows for i, t in enumerate(r["positions"]))
+        before, target, most = 0, rows[0]["target"], max(most, *(len(r["positions"]) for r in rows))
+        for t, words in read:
+            assert demand(shape[s], t) * target == pytest.approx(before, abs=1e-6)
+            before += words
+        assert before == round(target) and all(len(r["positions"]) == r["copies"] and 0 <= t <= 1 for r in rows for t in r["positions"])
+    assert most == 3
+
+
 def test_targets_reshare(spark, monkeypatch):
     goal = mixing.targets([("a", 10), ("b", 100), ("c", 100)], {"a": 5, "b": 2, "c": 1}, 210)
     assert goal == pytest.approx({"a": 30.0, "b": 120.0, "c": 60.0})
