@@ -258,7 +258,7 @@ def result_store(spark, d):
 @query(f"WITH {PROGRAMS} SELECT v.layout, layout || '-' || program AS program, gene, round(weight, 6) AS weight FROM pa, (VALUES ('long'), ('wide'), ('transposed'), ('replicates')) v(layout)")
 def result_layouts(spark, d):
     """One set of loadings through every layout that a method may leave."""
-    w, root = A.programs(spark, d, "o_orderstatus"), IO.scratch(spark, "layouts")
+    w, root = IO.written(A.programs(spark, d, "o_orderstatus"), "programs"), IO.scratch(spark, "layouts")  # read by every layout
     names = lambda df, c: [r[0] for r in df.select(c).distinct().orderBy(c).collect()]
     w.write.parquet(f"{root}/long")
     IO.write_csv(IO.to_wide(w, names(w, "gene")), f"{root}/wide")
