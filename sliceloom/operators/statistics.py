@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sliceloom.functions.tails import hypergeometric_sf, normal_sf, signed_rank_sf
 from sliceloom.operators.programs import average_rank
-from sliceloom.operators.spatial import nearest_within, shell_counts
+from sliceloom.operators.spatial import masks_within, nearest_within, shell_counts
+from sliceloom.sources.tables import written
 
 
 def bh(df: DataFrame, p: str, out: str = "q", by: Sequence[str] = (), missing: str = "skip") -> DataFrame:
@@ -142,22 +143,62 @@ def shell_enrichment(targets: DataFrame, others: DataFrame, value: str, inner: f
     return s.join(test, keys).where((F.col("nh") >= least) & (F.col("nl") >= least)).withColumn("log2_ratio", F.log2((F.col("hi") + 0.05) / (F.col("lo") + 0.05)))
 
 
+#: Draws in a word of bits.
+WORD = 64
+
+
+def _drawn(others: DataFrame, kind: str, draws: int, seed: int) -> DataFrame:
+    """others' slice, cell, x, y, and _d0, _d1, ...: bits of the draws that a cell is in, for the slices that have the type.
+
+    A draw is the n smallest hashes of a slice, n its cells of the type. The n-th one is sought between n - 10 sqrt(n) - 50
+    and n + 10 sqrt(n) + 50 expected hashes, and only those are shuffled and ranked; it lies elsewhere with a chance below
+    1e-12. Then every cell tells its draws from the last hash and cell of each.
+    """
+    sizes = others.groupBy("slice").agg(F.count_if(F.col("celltype") == kind).alias("n"), F.count(F.lit(1)).alias("of")).where("n > 0")
+    spare = 10 * F.sqrt("n") + 50
+    bounds = sizes.select("slice", "n", ((F.col("n") - spare) / F.col("of")).alias("low"), ((F.col("n") + spare) / F.col("of")).alias("high"))
+    hashed = lambda draw, cell: F.xxhash64(F.lit(seed), draw, cell)
+    pool = others.select("slice", "cell").join(bounds, "slice").crossJoin(F.broadcast(others.sparkSession.range(draws).withColumnRenamed("id", "draw")))
+    pool = pool.withColumn("hash", hashed(F.col("draw"), F.col("cell"))).withColumn("at", F.col("hash") / 2.0**64 + 0.5)
+    sure = pool.where("at < low").groupBy("draw", "slice").agg(F.count(F.lit(1)).alias("sure"))
+    ranked = pool.where("at >= low and at <= high").withColumn("r", F.row_number().over(Window.partitionBy("draw", "slice").orderBy("hash", "cell")))
+    last = ranked.join(sure, ["draw", "slice"], "left").where(F.col("r") == F.col("n") - F.coalesce("sure", F.lit(0)))
+    word = lambda k: F.collect_list(F.when(F.floor(F.col("draw") / WORD) == k, F.struct("draw", "hash", "cell"))).alias(f"_l{k}")
+    words = range(-(-draws // WORD))
+    limits = written(last.groupBy("slice").agg(*[word(k) for k in words]), "draws")
+
+    def bit(t: Column) -> Column:
+        h = hashed(t["draw"], F.col("cell"))
+        in_ = (h < t["hash"]) | ((h == t["hash"]) & (F.col("cell") <= t["cell"]))
+        return F.when(in_, F.call_function("shiftleft", F.lit(1).cast("long"), (t["draw"] % WORD).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+    return others.select("slice", "cell", "x", "y").join(limits, "slice").select("slice", "cell", "x", "y", *[F.aggregate(f"_l{k}", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(bit(t))).alias(f"_d{k}") for k in words])
+
+
 def permutation_null(targets: DataFrame, others: DataFrame, kind: str, value: str, near: float, far: float, draws: int = 100, seed: int = 0, least: int = 8, add_one: bool = False) -> DataFrame:
     """observed, p, sd: the pooled effect of a type against that of as many cells of each slice drawn by a hash.
 
-    A draw is the n smallest hashes of a slice, so only hashes under a bound are shuffled: n + 10 sqrt(n) + 50 are
-    expected under it, and fewer than n come with a chance below 1e-12.
+    All draws meet the targets at once, as bits of the cells around them; a row for each target and draw is made only
+    inside tasks, and only draws of a slice with `least` targets near and far come to the medians.
     """
     of_kind = others.where(F.col("celltype") == kind)
     observed = matched_effects(targets, of_kind, value, near, far, least)
-    sizes = others.groupBy("slice").agg(F.count_if(F.col("celltype") == kind).alias("n"), F.count(F.lit(1)).alias("of")).where("n > 0")
-    bounds = sizes.select("slice", "n", ((F.col("n") + 10 * F.sqrt("n") + 50) / F.col("of")).alias("share"))
-    spark = targets.sparkSession
-    pool = others.join(bounds, "slice").crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))
-    hashed = pool.withColumn("hash", F.xxhash64(F.lit(seed), "draw", "cell")).where(F.col("hash") / 2.0**64 + 0.5 <= F.col("share"))
-    order = Window.partitionBy("draw", "slice").orderBy("hash", "cell")
-    drawn = hashed.withColumn("r", F.row_number().over(order)).where("r <= n").drop("n", "share", "hash", "r").withColumn("celltype", F.col("draw").cast("string"))
-    null = matched_effects(targets, drawn, value, near, far, least)
+    words = range(-(-draws // WORD))
+    drawn = _drawn(others, kind, draws, seed)
+    there = of_kind.where("slice is not null").select("slice").distinct()
+    met = written(masks_within(targets.join(there, "slice", "left_semi").select("slice", "cell", "x", "y", value), drawn, [f"_d{k}" for k in words], near, far).select("slice", value, *[f"{c}_{k}" for c in ("near", "far") for k in words]), "draws-met")
+
+    def told(df: DataFrame) -> DataFrame:
+        """A row for each target and draw."""
+        rows = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        bit = lambda c: F.call_function("shiftright", F.element_at(F.array(*[F.col(f"{c}_{k}") for k in words]), F.floor(F.col("draw") / WORD).cast("int") + 1), F.col("draw") % WORD).bitwiseAND(F.lit(1).cast("long")) == 1
+        return rows.select("slice", "draw", value, bit("near").alias("_near"), (~bit("far")).alias("_far"))
+
+    there = F.col(value).isNotNull()
+    enough = told(met).groupBy("slice", "draw").agg(F.count_if(F.col("_near") & there).alias("nn"), F.count_if(F.col("_far") & there).alias("nf")).where((F.col("nn") >= least) & (F.col("nf") >= least))
+    enough = written(enough.groupBy("slice").agg(F.collect_set("draw").alias("_enough")), "draws-enough")
+    rows = told(met.join(enough.select("slice"), "slice", "left_semi")).where("_near or _far").join(enough, "slice").where(F.array_contains("_enough", F.col("draw")))
+    null = pooled(block_effects(rows, value, F.col("_near"), F.col("_far"), ["draw", "slice"], least), ["draw"])
     extra = 1 if add_one else 0
     both = null.select(F.col("effect").alias("e")).crossJoin(F.broadcast(observed.select(F.col("effect").alias("observed"))))
     return both.groupBy("observed").agg(((F.count_if(F.abs("e") >= F.abs("observed")) + extra) / (F.count(F.lit(1)) + extra)).alias("p"), F.stddev_pop("e").alias("sd"))

@@ -79,3 +79,18 @@ def test_absolute_weights_are_cut_and_projected(spark):
             assert [got[f"p{j}", g] for g in range(15)] == pytest.approx([abs(v) if abs(v) >= cut else 0.0 for v in w[j]])
         sums = P.sparsify_absolute(long, share, top).groupBy("program").sum("weight").collect()
         assert [r[1] for r in sums] == pytest.approx([1.0, 1.0])
+
+
+def test_layouts_make_the_loadings_once(spark, monkeypatch):
+    from sliceloom.plans import studies
+
+    rows = spark.createDataFrame([(p, g, 0.25) for p in "FO" for g in "wxyz"], "program string, gene string, weight double").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(studies.A, "programs", lambda *_: rows.mapInArrow(counted, rows.schema))
+    assert studies.result_layouts(spark, "unused").count() == 32 and seen.value == 8
