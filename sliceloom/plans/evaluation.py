@@ -191,7 +191,7 @@ def simulated_counts(spark, d):
 def spatial_components(spark, d):
     """Spatial factor model over all slices, with a common loading and a block-diagonal kernel."""
     cells = A.spatial_cells(spark, d).withColumn("fit", F.lit("embeddings"))
-    found = Z.spatial_pca_keys(M.spectral_rows(cells, 2.0), 2)
+    found = Z.spatial_pca_keys(M.spectral_rows(cells, 2.0, vectors=False), 2, scores=False)
     return rounded(found.where("kind in ('tau', 'error', 'loading')"), 4)
 
 

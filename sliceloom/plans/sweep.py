@@ -38,10 +38,10 @@ def sweep_fits(cells: DataFrame, grid: DataFrame, sides: list[str], p: int = 3,
     spatial = wide.select("side", "spatial_rho", "gamma").distinct()
     key = F.concat_ws("|", "side", F.col("spatial_rho").cast("string"))
     rows = cells.join(F.broadcast(spatial), "side").withColumn("fit", key)
-    spectral = written(spectral_rows(rows.select("fit", "slice", "age", "cell", "x", "y", "genes", "gamma"), None), "spectral")
+    spectral = written(spectral_rows(rows.select("fit", "slice", "age", "cell", "x", "y", "genes", "gamma"), None, vectors=False), "spectral")
     fits = F.broadcast(wide.select(key.alias("fit"), F.concat_ws("|", "setting_id", "side").alias("_name"), "gamma_age"))
     named = spectral.join(fits, "fit").drop("fit").withColumnRenamed("_name", "fit")
-    found = fit_keys(named.select("fit", *[c for c in named.columns if c != "fit"]), p, k, gamma_age=None).where("kind = 'loading'")
+    found = fit_keys(named.select("fit", *[c for c in named.columns if c != "fit"]), p, k, gamma_age=None, scores=False).where("kind = 'loading'")
     parts = F.split("fit", "\\|")
     return found.select(parts[0].alias("setting_id"), parts[1].alias("side"), F.col("program").cast("string").alias("program"), F.col("key").alias("gene"), F.col("value").alias("weight"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceloom.operators import benchmark as B
-from sliceloom.plans.fit import age_kernel, fit_keys, project_simplex, spectral_rows
+from sliceloom.plans.fit import WHOLE, age_kernel, fit_keys, kernel_root, project_simplex, spectral_rows
 from sliceloom.sources.tables import written
 
 
@@ -51,6 +51,23 @@ def gaussian(covariance: np.ndarray, rng: np.random.Generator, jitter: float = 1
     return np.linalg.cholesky(covariance + jitter * np.eye(len(covariance))) @ rng.standard_normal(len(covariance))
 
 
+def gaussian_of(root: np.ndarray, variance: float, noise: float, rng: np.random.Generator, block: int = 256) -> np.ndarray:
+    """The draw of gaussian() for the covariance variance * root root^T + noise on the diagonal, which is not made: cells in order, a block at a time given those before, as Cholesky's steps are."""
+    if not variance:
+        return np.zeros(len(root))
+    z, out = rng.standard_normal(len(root)), np.empty(len(root))
+    mean, spread = np.zeros(root.shape[1]), variance * np.eye(root.shape[1])
+    for i in range(0, len(z), block):
+        rows, own = root[i : i + block], z[i : i + block]
+        across = rows @ spread
+        lower = np.linalg.cholesky(across @ rows.T + noise * np.eye(len(rows)))
+        gain = np.linalg.solve(lower, across)
+        out[i : i + block] = rows @ mean + lower @ own
+        mean += gain.T @ own
+        spread -= gain.T @ gain
+    return out
+
+
 def loadings(design: Design, replicate: int = 0) -> np.ndarray:
     """Programs by genes: Dirichlet shares of k genes each, those under 1 / (2 k) cut, summing to 1."""
     rng, p = np.random.default_rng(make_seed("loadings", design, replicate)), len(design.age)
@@ -83,8 +100,9 @@ def trajectories(ages: np.ndarray, design: Design, replicate: int = 0) -> np.nda
 def draw(cells: DataFrame, design: Design, replicate: int = 0) -> DataFrame:
     """fit, slice, age, cell, x, y, h, b, genes for cells (slice, age, cell, x, y): scores, fields and values; fit names the replicate.
 
-    A grouped task holds one slice and its dense kernel, as the estimator's does. Places are z-scored in the slice.
+    A grouped task holds one slice and its kernel, beyond WHOLE cells as the kernel's root. Places are z-scored in the slice.
     """
+    whole = WHOLE
     slices = cells.groupBy("slice").agg(F.min("age").alias("age")).orderBy("age", "slice").collect()
     alpha = trajectories(np.array([r["age"] for r in slices], float), design, replicate)
     number, w, p = {r["slice"]: i for i, r in enumerate(slices)}, loadings(design, replicate), len(design.age)
@@ -97,8 +115,14 @@ def draw(cells: DataFrame, design: Design, replicate: int = 0) -> DataFrame:
             xy = pdf[["x", "y"]].to_numpy(float)
             sd = xy.std(axis=0, ddof=1) if n > 1 else np.ones(2)
             xy = (xy - xy.mean(axis=0)) / np.where(sd > 0, sd, 1)
-            kernel = np.exp(-((xy[:, None] - xy[None]) ** 2).sum(-1) / design.gamma_space) + 1e-6 * np.eye(n)
-            b = np.stack([gaussian(v * kernel, np.random.default_rng(make_seed("field", replicate, j, s))) for j, v in enumerate(design.space)], axis=1)
+            rngs = [np.random.default_rng(make_seed("field", replicate, j, s)) for j in range(p)]
+            if n <= whole:
+                kernel = np.exp(-((xy[:, None] - xy[None]) ** 2).sum(-1) / design.gamma_space) + 1e-6 * np.eye(n)
+                fields = [gaussian(v * kernel, rng) for v, rng in zip(design.space, rngs, strict=True)]
+            else:
+                root = kernel_root(xy, design.gamma_space)
+                fields = [gaussian_of(root, v, 1e-6 * v + 1e-10, rng) for v, rng in zip(design.space, rngs, strict=True)]
+            b = np.stack(fields, axis=1)
         h = alpha[:, number[s]] + b
         noise = np.random.default_rng(make_seed("noise", replicate, s)).normal(0, np.sqrt(design.error), (n, design.genes))
         out = pdf[["slice", "age", "cell", "x", "y"]].assign(h=list(h), b=list(b), genes=list(h @ w + noise))
@@ -260,8 +284,8 @@ def study(cells: DataFrame, design: Design, replicates: int = 10, k: int | None
     for r, more in enumerate(drawn[1:], 1):
         every, real = every.unionByName(more), real.unionByName(truth(cells, design, r)[0])
     every = written(every, "drawn")
-    spectral = written(spectral_rows(every.select("fit", "slice", "age", "cell", "x", "y", "genes"), design.gamma_space), "spectral")
-    fitted = fit_keys(spectral, p, k, gamma_age=design.gamma_age).where("kind = 'loading'")
+    spectral = written(spectral_rows(every.select("fit", "slice", "age", "cell", "x", "y", "genes"), design.gamma_space, vectors=False), "spectral")
+    fitted = fit_keys(spectral, p, k, gamma_age=design.gamma_age, scores=False).where("kind = 'loading'")
     fitted = fitted.select("fit", F.col("program").cast("string").alias("program"), F.col("key").alias("gene"), F.col("value").alias("weight"))
     found = written(fitted.withColumn("method", F.lit("estimator")).unionByName(components(every, p).withColumn("method", F.lit("components"))), "found")
     methods = F.explode(F.array(F.lit("estimator"), F.lit("components")))
