@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,42 @@ def quantile_filter(metrics: DataFrame, least_total: float, least_genes: float,
     return kept.select(*metrics.columns)
 
 
+#: Ranks that a quantile's sketch may be off by, as a part of the rows; so many of them around a rank are sorted.
+SHARP = 10000
+
+
+def quantiles(rows: DataFrame, wanted: Mapping[str, tuple[Column, float]], sharp: int = SHARP) -> dict[str, float | None]:
+    """The exact quantile of each column at its share, between two ranks by their distance, nulls left out; None without values.
+
+    A sketch tells two values around each rank. What is below them is counted, and only the distinct values between them
+    are put in order, so no task holds a column. A rank that lies elsewhere, which the counts tell, gets percentile().
+    """
+    value = {name: c.cast("double") for name, (c, _) in wanted.items()}
+    share = {name: q for name, (_, q) in wanted.items()}
+    ends = lambda q: F.array(F.lit(max(0.0, q - 3 / sharp)), F.lit(min(1.0, q + 3 / sharp)))
+    first = rows.agg(*[f.alias(n + name) for name, v in value.items() for n, f in (("n_", F.count(v)), ("e_", F.percentile_approx(v, ends(share[name]), F.lit(sharp))))]).first()
+    held = {name: first["e_" + name] for name in value if first["n_" + name]}
+    if not held:
+        return dict.fromkeys(value)
+    below = rows.agg(*[F.count_if(value[name] < F.lit(low)).alias(name) for name, (low, _) in held.items()]).first()
+    near = F.array(*[F.when(value[name].between(F.lit(low), F.lit(high)), F.struct(F.lit(name).alias("name"), value[name].alias("v"))) for name, (low, high) in held.items()])
+    inside = rows.select(F.explode(F.array_compact(near)).alias("r")).groupBy("r.name", "r.v").agg(F.count(F.lit(1)).alias("n"))
+    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("name").orderBy("v")))
+    place = {name: (first["n_" + name] - 1) * share[name] for name in held}
+    ranks = [F.create_map(*[F.lit(v) for name in held for v in (name, int(f(place[name])) - below[name])])[F.col("name")] for f in (math.floor, math.ceil)]
+    met = inside.where(ranks[0] >= 0).groupBy("name").agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))).alias(c) for c, r in zip(("low", "high"), ranks, strict=True)])
+    found = {r["name"]: (r["low"], r["high"]) for r in met.collect()}
+    out: dict[str, float | None] = dict.fromkeys(value)
+    for name in held:
+        low, high = found.get(name, (None, None))
+        if low is None or high is None:
+            out[name] = rows.agg(F.percentile(value[name], F.lit(share[name]))).first()[0]
+        else:
+            over = place[name] - math.floor(place[name])
+            out[name] = low if low == high or not over else (math.ceil(place[name]) - place[name]) * low + over * high
+    return out
+
+
 def exclude_rows(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows that match every column of a row of keys go."""
     return df.join(keys, keys.columns, "left_anti")

@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceloom.operators.cells import bbox_area, marker_fraction, qc_metrics
+from sliceloom.operators.cells import bbox_area, marker_fraction, qc_metrics, quantiles
 from sliceloom.operators.spatial import nearest_within
+from sliceloom.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -44,26 +45,28 @@ def control(cells: DataFrame, counts: DataFrame, rules: Rules) -> DataFrame:
     cells: cell, slice, celltype, x, y, min_x, max_x, min_y, max_y (and anisotropy); counts: cell, gene, value. Types
     and genes are restricted first; all quantiles are taken over what is left then, before any other filter, and
     without missing values, which pass. Then other cells rich in the neurons' markers go, and last those nearer to a neuron
-    of their slice than least_distance; neurons stay. Limits are one row; counts are read twice and shuffled by cell.
+    of their slice than least_distance; neurons stay. Counts are read and shuffled by cell once: what is measured is
+    written before the limits, and what passes them before distances, as several steps read each.
     """
     kept = bbox_area(cells.where(F.col("celltype").isin(list(rules.celltypes))))
     counts = counts.where(~F.col("gene").isin(list(rules.drop_genes))) if rules.drop_genes else counts
     rows = _measured(kept, counts)
+    if shares := bool(rules.neurons and rules.markers):
+        rows = rows.join(marker_fraction(counts, rules.markers), "cell", "left").fillna(0.0, ["fraction"])
+    rows = written(rows, "measured")
     real = lambda c: F.when(~F.isnan(c), F.col(c))
-    limits = [F.percentile(c, F.lit(rules.top)).alias(f"_{c}") for c in ("total", "n_genes")]
-    limits += [F.percentile(real("area"), F.lit(q)).alias(n) for n, q in (("_lo", rules.low), ("_hi", rules.top))]
+    wanted = {c: (F.col(c), rules.top) for c in ("total", "n_genes")} | {n: (real("area"), q) for n, q in (("lo", rules.low), ("hi", rules.top))}
     if rules.anisotropy is not None:
-        limits.append(F.percentile(real("anisotropy"), F.lit(rules.anisotropy)).alias("_a"))
-    ok = (F.col("total") >= rules.least_total) & (F.col("total") <= F.col("_total")) & (F.col("n_genes") >= rules.least_genes) & (F.col("n_genes") <= F.col("_n_genes"))
-    ok = ok & (real("area").isNull() | (F.abs("area") == float("inf")) | F.col("area").between(F.col("_lo"), F.col("_hi")))
+        wanted["a"] = (real("anisotropy"), rules.anisotropy)
+    limit = {name: F.lit(v).cast("double") for name, v in quantiles(rows, wanted).items()}
+    ok = (F.col("total") >= rules.least_total) & (F.col("total") <= limit["total"]) & (F.col("n_genes") >= rules.least_genes) & (F.col("n_genes") <= limit["n_genes"])
+    ok = ok & (real("area").isNull() | (F.abs("area") == float("inf")) | F.col("area").between(limit["lo"], limit["hi"]))
     if rules.anisotropy is not None:
-        ok = ok & (real("anisotropy").isNull() | (F.col("anisotropy") <= F.col("_a")))
-    passed = rows.crossJoin(F.broadcast(rows.agg(*limits))).where(ok).select(*rows.columns)
+        ok = ok & (real("anisotropy").isNull() | (F.col("anisotropy") <= limit["a"]))
+    passed = rows.where(ok)
     if not rules.neurons:
         return passed
     neuron = F.col("celltype").isin(list(rules.neurons))
-    if rules.markers:
-        shares = marker_fraction(counts, rules.markers)
-        passed = passed.join(shares, "cell", "left").fillna(0.0, ["fraction"]).where(neuron | (F.col("fraction") <= rules.most_fraction))
+    passed = written(passed.where(neuron | (F.col("fraction") <= rules.most_fraction)) if shares else passed, "passed")
     near = nearest_within(passed.where(~neuron).select("slice", "cell", "x", "y"), passed.where(neuron), rules.least_distance).where(F.col("d") < rules.least_distance)
     return passed.join(near.select("cell").distinct(), "cell", "left_anti")
