@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sliceloom.operators import benchmark as B
 from sliceloom.operators.cells import standardize
-from sliceloom.operators.spatial import spatial_bandwidth, temporal_bandwidth
+from sliceloom.operators.spatial import TASKS, spatial_bandwidth, temporal_bandwidth
 from sliceloom.plans.fit import fit_keys, spectral_rows
 from sliceloom.sources.tables import written
 
@@ -38,6 +38,8 @@ def sweep_fits(cells: DataFrame, grid: DataFrame, sides: list[str], p: int = 3,
     spatial = wide.select("side", "spatial_rho", "gamma").distinct()
     key = F.concat_ws("|", "side", F.col("spatial_rho").cast("string"))
     rows = cells.join(F.broadcast(spatial), "side").withColumn("fit", key)
+    slices = rows.select("fit", "slice").distinct().count()  # few bytes each and much work: left to the sizes of partitions, many end in one task
+    rows = rows.repartition(max(1, min(4 * slices, TASKS)), "fit", "slice")
     spectral = written(spectral_rows(rows.select("fit", "slice", "age", "cell", "x", "y", "genes", "gamma"), None, vectors=False), "spectral")
     fits = F.broadcast(wide.select(key.alias("fit"), F.concat_ws("|", "setting_id", "side").alias("_name"), "gamma_age"))
     named = spectral.join(fits, "fit").drop("fit").withColumnRenamed("_name", "fit")
